@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .language import op7_language_id
+from .mixing import op9_source_mixing
 from .packing import op1_best_fit_packing
+from .quality import op4_quality
 from .token_count import op10_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing,
+        op4_quality,
+        op7_language_id,
+        op9_source_mixing,
         op10_token_counts,
     )
 }
