@@ -10,6 +10,7 @@ from .language import op7_language_id
 from .mixing import op9_source_mixing
 from .near_duplicates import op6_near_duplicates
 from .packing import op1_best_fit_packing
+from .pii import op2_personal_data
 from .quality import op4_quality
 from .token_count import op10_token_counts
 
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing,
+        op2_personal_data,
         op4_quality,
         op6_near_duplicates,
         op7_language_id,
