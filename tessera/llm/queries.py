@@ -13,15 +13,19 @@ from .packing import op1_best_fit_packing
 from .pii import op2_personal_data
 from .quality import op4_quality
 from .token_count import op10_token_counts
+from .top_k import op8_top_k
+from .vector_links import op3_vector_links
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing,
         op2_personal_data,
+        op3_vector_links,
         op4_quality,
         op6_near_duplicates,
         op7_language_id,
+        op8_top_k,
         op9_source_mixing,
         op10_token_counts,
     )
