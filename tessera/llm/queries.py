@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import sql
 from .language import op7_language_id
 from .mixing import op9_source_mixing
 from .near_duplicates import op6_near_duplicates
@@ -15,6 +16,7 @@ from .quality import op4_quality
 from .token_count import op10_token_counts
 from .top_k import op8_top_k
 from .vector_links import op3_vector_links
+from .warc import op5_warc_packages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -23,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_personal_data,
         op3_vector_links,
         op4_quality,
+        op5_warc_packages,
         op6_near_duplicates,
         op7_language_id,
         op8_top_k,
@@ -31,4 +34,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_warc_packages": sql.OP5, "op8_top_k": sql.OP8}
