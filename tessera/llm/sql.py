@@ -14,12 +14,12 @@ from p left join g on p.digest = g.digest and p.n >= 1000
 
 OP8 = """
 with v as (
-  select vec_id, list_transform(embedding, x -> cast(floor(1024 * cast(x as double)) as bigint)) as e
+  select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as e
   from embeddings
   where embedding is not null and len(embedding) > 0
-    and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (
-  select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.e, c.e), z -> z[1] * z[2])) as bigint) as score
+  select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) as bigint) as score
   from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0)
 select query_id, cast(row_number() over w as integer) as rank, vec_id, score
 from s window w as (partition by query_id order by score desc, vec_id) qualify row_number() over w <= 10
