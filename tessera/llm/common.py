@@ -39,6 +39,27 @@ def bucket_of(column, modulus: int):
     return F.crc32(column.cast("string").cast("binary")) % modulus
 
 
+#: Bits of a map of ids that is broadcast; more ids only make it less selective.
+MAP_BITS = 1 << 24
+
+
+def marked(df: DataFrame, ids: DataFrame, id_col: str, output: str) -> DataFrame:
+    """Adds ``output``: false where the row's id is surely not among ``ids`` (id), else true.
+
+    The ids' hashes set bits of a map of at most MAP_BITS bits, which is broadcast whatever their
+    number, so that a join on ids need only move rows that may match.  Null ids are false.
+    """
+    place = F.pmod(F.xxhash64(id_col), F.lit(MAP_BITS))
+    own = F.pmod(F.xxhash64("id"), F.lit(MAP_BITS))
+    bits = ids.where("id is not null").select(own.alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("tessera_w"))
+    bits = written(bits.agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("tessera_v")), "map")
+    row = df.withColumn("tessera_p", place).withColumn("tessera_w", F.shiftright("tessera_p", 6).cast("int"))
+    row = row.join(F.broadcast(bits), "tessera_w", "left")
+    hit = F.expr("shiftright(tessera_v, cast(tessera_p % 64 as int)) & 1L") == 1
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return row.select(*columns, (F.coalesce(hit, F.lit(False)) & F.col(f"`{id_col}`").isNotNull()).alias(output))
+
+
 def slices(sizes: list[int], limit: int) -> Iterator[slice]:
     """Consecutive slices of about ``limit`` in total size (an item above it stands alone)."""
     begin = total = 0

@@ -136,21 +136,22 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
     return Centroids(idf, centres, [r["lang"] for r in found], np.array([r["least"] for r in found]))
 
 
-def with_language(docs: DataFrame, model: Centroids, text: str = "text") -> DataFrame:
-    """Adds lang_pred, score (cosine, 0 to 1) and rejected; replaces columns of those names.
+def with_language(docs: DataFrame, model: Centroids, text: str = "text", outputs: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """Adds the predicted language, its score (cosine, 0 to 1) and whether the text is rejected.
 
     Null texts and texts without a letter are 'und' with score 0 and rejected.  Texts of any length
-    are read whole.  Other columns pass unchanged; repeated rows are predicted each.
+    are read whole.  Columns named as the ``outputs`` are replaced, others pass unchanged; repeated
+    rows are predicted each.
     """
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
+    kept = [c for c in docs.columns if c not in outputs]
     given = docs.select(*[F.col(f"`{c}`") for c in kept])
     at = kept.index(text)
-    schema = given.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected")).schema
+    schema = given.select("*", F.lit("").alias(outputs[0]), F.lit(0.0).alias(outputs[1]), F.lit(True).alias(outputs[2])).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, scores, rejected = model.predict(batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores), pa.array(rejected)], names=[*kept, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores), pa.array(rejected)], names=[*kept, *outputs])
 
     return given.mapInArrow(run, schema)
 

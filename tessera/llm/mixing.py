@@ -119,7 +119,7 @@ def mix(docs: DataFrame, quota: DataFrame, seed: int = 17) -> DataFrame:
     rows of their own, and where they tie their order is of no consequence.
     """
     extra = [c for c in docs.columns if c not in ("doc_id", "source", "size")]
-    rows = docs.select("doc_id", "source", "size", F.struct(*[F.col(f"`{c}`") for c in extra] or [F.lit(0)]).alias("tessera_row"))
+    rows = docs.select("doc_id", "source", "size", F.struct(*[F.col(f"`{c}`") for c in extra] or [F.lit(0)]).alias("tessera_others"))
     shards = quota.select("source", "shards").groupBy("source").agg(F.first("shards").alias("shards"))
     rows = _join_sources(rows, shards, ["shards"])
     rows = rows.withColumn("shard", _shard(F.col("doc_id"), F.col("shards"), seed)).drop("shards")
@@ -141,17 +141,18 @@ def mix(docs: DataFrame, quota: DataFrame, seed: int = 17) -> DataFrame:
         "second_until": within(F.greatest(zero, stop - F.col("words"))),
     })
     rows = rows.withColumn("taken", F.col("turns") * (end - begin) + F.col("first_until") - F.col("first_from") + F.col("second_until"))
-    back = [F.col("tessera_row")[c].alias(c) for c in extra]
+    back = [F.col("tessera_others")[c].alias(c) for c in extra]
     return rows.select("doc_id", *back, "source", "size", "source_size", "target", "taken", "turns", "first_from", "first_until", "second_from", "second_until")
 
 
-def draw(mixed: DataFrame, columns: list[str], text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
+def draw(mixed: DataFrame, row: str, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
     """The mix itself: a row for each whole copy of a document and for each part taken of one.
 
-    A part is the words of its range with the white space between them; ``n_chars``, if there,
-    follows the text.  Rows of size 0, of which the mix takes nothing, go.
+    ``row`` is a column of ``mixed`` that holds the document's own columns.  A part is the words of
+    its range with the white space between them; ``n_chars``, if there, follows the text.  Rows of
+    size 0, of which the mix takes nothing, go.
     """
-    size = F.col("size")
+    size, fields = F.col("size"), mixed.schema[row].dataType
     whole = (F.col("first_from") == 0) & (F.col("first_until") == size)
     ranges = F.concat(
         F.when(F.col("turns") > 0, F.array_repeat(F.struct(F.lit(0).cast("long").alias("a"), size.alias("b")), F.col("turns").cast("int"))).otherwise(F.array()),
@@ -159,14 +160,19 @@ def draw(mixed: DataFrame, columns: list[str], text: str = "text", n_chars: str
         F.when(F.col("second_until") > 0, F.array(F.struct(F.col("second_from").alias("a"), F.col("second_until").alias("b")))).otherwise(F.array()),
     )
     rows = mixed.where(size > 0).withColumn("tessera_range", F.explode(ranges))
-    a, b = F.col("tessera_range.a"), F.col("tessera_range.b")
-    words = F.regexp_extract_all(F.col(text), F.lit(f"({WORD_AND_SPACE})"), F.lit(1))
-    part = F.array_join(F.slice(words, (a + 1).cast("int"), (b - a).cast("int")), "")
-    own = F.when((a == 0) & (b == size), F.col(text)).otherwise(F.regexp_replace(part, r"[\x20\x09-\x0D]+$", ""))
-    rows = rows.withColumn(text, own)
-    if n_chars and n_chars in columns:
-        rows = rows.withColumn(n_chars, F.length(text).cast(mixed.schema[n_chars].dataType))
-    return rows.select(*columns)
+    a, b, own = F.col("tessera_range.a"), F.col("tessera_range.b"), F.col(row)[text]
+    words = F.regexp_extract_all(own, F.lit(f"({WORD_AND_SPACE})"), F.lit(1))
+    part = F.regexp_replace(F.array_join(F.slice(words, (a + 1).cast("int"), (b - a).cast("int")), ""), r"[\x20\x09-\x0D]+$", "")
+    rows = rows.select(row, F.when((a == 0) & (b == size), own).otherwise(part).alias("tessera_text"))
+    return rows.select(*[_field(row, f, text, n_chars) for f in fields])
+
+
+def _field(row: str, field, text: str, n_chars: str) -> Column:
+    if field.name == text:
+        return F.col("tessera_text").alias(text)
+    if field.name == n_chars:
+        return F.length("tessera_text").cast(field.dataType).alias(n_chars)
+    return F.col(row)[field.name].alias(field.name)
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

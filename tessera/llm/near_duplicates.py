@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import slices, table, written
+from .common import marked, slices, table, written
 from .components import components
 from .hashing import mixed, words
 
@@ -31,8 +31,6 @@ ROWS = 6
 SLICE_CHARS = 2_000_000
 #: Open buckets up to this size compare all their cross pairs in one round.
 SMALL_BUCKET = 24
-#: Bits of the map of wanted ids that is sent to tasks; more ids only make it less selective.
-MAP_BITS = 1 << 25
 
 
 def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
@@ -111,23 +109,8 @@ def _sketch(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs (id, text) whose id is among ``ids``, by a bit map of bounded size first."""
-    place = F.pmod(F.xxhash64("id"), F.lit(MAP_BITS))
-    set_words = ids.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("v"))
-    bits = np.zeros(MAP_BITS // 64, np.int64)
-    for r in set_words.toArrow().to_batches():
-        bits[r.column(0).to_numpy()] = r.column(1).to_numpy()
-    flags = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
-    names = ["id", "text"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.frombuffer(flags.value, np.uint8)
-        for batch in batches:
-            p = batch.column(2).to_numpy()
-            keep = (own[p >> 3] >> (p & 7).astype(np.uint8)) & 1
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=names).filter(pa.array(keep.astype(bool)))
-
-    return docs.select("id", "text", place.alias("p")).where("id is not null").mapInArrow(run, docs.select(*names).schema)
+    """The rows of docs (id, text) whose id is among ``ids``, and perhaps a few others."""
+    return marked(docs, ids, "id", "tessera_wanted").where("tessera_wanted").select("id", "text")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -229,5 +212,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
+def without_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each group of near-duplicates, the one with the least id, all columns.
+
+    Rows of one id are one document, of which one row stays; rows with a null id stay.  Only rows
+    that may go are moved: the others pass where they are.
+    """
+    found = near_duplicates(docs, text, id_col, shingle, percent)
+    gone = written(found.where("not kept").select(F.col(id_col).alias("id")), "gone")
+    again = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+    rows = marked(docs, gone.union(again), id_col, "tessera_maybe")
+    maybe = rows.where("tessera_maybe").drop("tessera_maybe")
+    maybe = maybe.join(gone.distinct(), maybe[id_col] == gone["id"], "left_anti").dropDuplicates([id_col])
+    return rows.where("not tessera_maybe").drop("tessera_maybe").unionByName(maybe)
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
