@@ -1,13 +1,29 @@
-"""Connected components of a distributed edge list."""
+"""Connected components: of a distributed edge list, and of a few edges inside a task."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 
 
+def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least reachable index for each of n nodes with links a-b."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 def components(edges: DataFrame, jumps: int = 2) -> DataFrame:
     """(node, component): the least node reachable, for every node of ``edges`` (a, b).
 

@@ -6,10 +6,11 @@ the bin alone.  Runs of ``rows`` bins are bands; documents with an equal band sh
 
 Documents of equal shingle sets are one class, and only its least id enters the buckets.  In each
 bucket the least id is a hub and stands in candidate pairs with the others: a star, not all pairs.
-Candidates are confirmed on the full sets.  Components of confirmed links close most buckets; in
-what stays open the next ids become hubs, four times as many each round (all cross pairs at once
-where a bucket is small), until every bucket is one component or each of its ids has been a hub.  So a pair that shares a bucket is
-either compared or already in one component.
+Every id is confirmed, on the full sets, against the hub that it shares most buckets with, and the
+components of these links close most buckets.  In what stays open, ids of different components are
+compared exactly: pair by pair in small buckets, as products of matrices in large ones, where only
+ids outside the largest component meet the others and only a spanning forest leaves.  So any two
+ids that share a bucket have been compared or are in one component already.
 """
 
 from __future__ import annotations
@@ -19,18 +20,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import marked, slices, table, written
-from .components import components
+from .components import components, local_roots
 from .hashing import mixed, words
 
 BINS = 256
 ROWS = 6
 SLICE_CHARS = 2_000_000
-#: Open buckets up to this size compare all their cross pairs in one round.
+#: Open buckets up to this size compare all pairs across components; larger ones form crowds.
 SMALL_BUCKET = 24
+#: Rows of the two sides of a comparison in a crowd.
+BLOCK_FEW, BLOCK_ALL = 256, 1024
 
 
 def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
@@ -146,6 +149,83 @@ def _labelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(open_.select("bucket", "size"), "bucket")
 
 
+def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b: all pairs of a bucket's ids that lie in different components, where the sizes allow a link."""
+    x = rows.select("bucket", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
+    y = rows.select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+    pairs = x.join(y, "bucket").where("a < b and ca <> cb").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    return pairs.select("a", "b").distinct()
+
+
+def _crowds(rows: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Edges (a, b) of a spanning forest of all links across components in large open buckets.
+
+    Ids that such buckets tie together are a crowd.  Those outside its largest component are few
+    beside it; blocks of them meet blocks of the whole crowd, and a pair of blocks counts common
+    shingles as a product of matrices.  Only edges leave it, at most one for each id.
+    """
+    hubs = rows.groupBy("bucket").agg(F.min("id").alias("hub"))
+    ids = rows.join(hubs, "bucket").select("id", "component", "hub")
+    crowd = components(ids.select(F.col("hub").alias("a"), F.col("id").alias("b")))
+    member = rows.select("id", "component").distinct().join(crowd.select(F.col("node").alias("id"), F.col("component").alias("crowd")), "id")
+    member = written(member, "crowds")
+    sizes = member.groupBy("crowd", "component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("crowd").agg(F.sum("n").alias("all"), F.max_by("component", F.struct("n", (-F.col("component")).alias("first"))).alias("main"), F.max("n").alias("most"))
+    blocks = sizes.select("crowd", "main", F.ceil((F.col("all") - F.col("most")) / BLOCK_FEW).cast("int").alias("few"), F.ceil(F.col("all") / BLOCK_ALL).cast("int").alias("whole"))
+    member = member.join(blocks, "crowd")
+    own = lambda column, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(column)).cast("int")
+    every = lambda column: F.explode(F.sequence(F.lit(0), F.col(column) - 1))
+    few = member.where("component <> main").select("crowd", "id", "component", F.lit(True).alias("few"), own("few", 61).alias("i"), every("whole").alias("j"))
+    whole = member.select("crowd", "id", "component", F.lit(False).alias("few"), every("few").alias("i"), own("whole", 67).alias("j"))
+    parts = few.unionByName(whole.select("crowd", "id", "component", "few", "i", "j")).join(texts, "id")
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def compare(group: pa.Table) -> pa.Table:
+        side = np.array(group["few"].to_pylist())
+        ids, component = group["id"].to_numpy(), group["component"].to_numpy()
+        sets = shingle_sets(group["text"].to_pylist(), size)
+        left, right = np.flatnonzero(side), np.flatnonzero(~side)
+        none = pa.table({"a": pa.array([], group["id"].type), "b": pa.array([], group["id"].type)})
+        if not len(left) or not len(right):
+            return none
+        both = common_counts([sets[i] for i in left], [sets[i] for i in right])
+        n = np.array([len(s) for s in sets])
+        linked = 100 * both >= percent * (n[left][:, None] + n[right][None, :] - both)
+        linked &= component[left][:, None] != component[right][None, :]
+        x, y = np.nonzero(linked)
+        if not len(x):
+            return none
+        distinct, place = np.unique(ids, return_inverse=True)
+        root = local_roots(len(distinct), place[left[x]], place[right[y]])
+        moved = np.flatnonzero(root != np.arange(len(distinct)))
+        return pa.table({"a": pa.array(distinct[moved], group["id"].type), "b": pa.array(distinct[root[moved]], group["id"].type)})
+
+    return written(parts.groupBy("crowd", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}"), "crowds")
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """Sizes of the intersections of all left with all right sets (sorted, distinct)."""
+    known = np.unique(np.concatenate(left))
+    out = np.zeros((len(left), len(right)), np.int64)
+    sides = []
+    for sets in (left, right):
+        flat = np.concatenate(sets)
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+        hit = known[at] == flat
+        order = np.argsort(at[hit], kind="stable")
+        sides.append((at[hit][order], row[hit][order], len(sets)))
+    for begin in range(0, len(known), columns):
+        dense = []
+        for at, row, n in sides:
+            s, e = np.searchsorted(at, [begin, begin + columns])
+            m = np.zeros((n, min(columns, len(known) - begin)), np.float32)
+            m[row[s:e], at[s:e] - begin] = 1
+            dense.append(m)
+        out += np.rint(dense[0] @ dense[1].T).astype(np.int64)
+    return out
+
+
 def _stars(buckets: DataFrame, percent: int) -> DataFrame:
     """Each bucket's least id with every other: (a, b, shared), where the sizes allow a link."""
     hubs = buckets.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("hub"))
@@ -176,36 +256,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     best = stars.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
     best = written(best, "best")
     links = written(_confirmed(best, texts, shingle, percent), "links")
+    rows = written(_labelled(buckets, components(links)), "open")
+    cross = _cross_pairs(rows.where(F.col("size") <= SMALL_BUCKET), percent).join(best, ["a", "b"], "left_anti")
+    links = links.unionByName(written(_confirmed(written(cross, "cross"), texts, shingle, percent), "links"))
+    links = links.unionByName(_crowds(rows.where(F.col("size") > SMALL_BUCKET), texts, shingle, percent))
     labels = components(links)
-    tried = best
-    side_a, side_b = labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    rest = stars.join(side_a, "a", "left").join(side_b, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").join(tried, ["a", "b"], "left_anti")
-    turn, gone, hubs = rest, None, 1
-    while True:
-        turn = written(turn, "turn")
-        if not turn.isEmpty():
-            tried = tried.unionByName(turn)
-            links = links.unionByName(written(_confirmed(turn, texts, shingle, percent), "links"))
-            labels = components(links)
-        rows = written(_labelled(buckets, labels), "open")
-        small, large = rows.where(F.col("size") <= SMALL_BUCKET), rows.where(F.col("size") > SMALL_BUCKET)
-        x = small.select("bucket", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-        y = small.select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-        cross = x.join(y, "bucket").where("a < b and ca <> cb").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        cross = cross.select("a", "b").distinct()
-        # larger buckets: the least id that has not been a hub there
-        was = buckets.groupBy("bucket").agg(F.min("id").alias("id")) if gone is None else gone
-        was = written(was, "hubs")
-        place = F.row_number().over(Window.partitionBy("bucket").orderBy("id"))
-        fresh = large.join(was, ["bucket", "id"], "left_anti").withColumn("place", place).where(F.col("place") <= hubs)
-        fresh = written(fresh.select("bucket", F.struct("id", "n", "component").alias("hub")), "hubs")
-        hubs *= 4
-        star = large.join(fresh, "bucket").where((F.col("component") != F.col("hub.component")) & (100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")))
-        star = star.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
-        turn = written(cross.unionByName(star).distinct().join(tried, ["a", "b"], "left_anti"), "turn")
-        gone = was.unionByName(fresh.select("bucket", F.col("hub.id").alias("id")))
-        if turn.isEmpty() and fresh.isEmpty():
-            break
     root = classes.join(labels.select(F.col("node").alias("class"), "component"), "class", "left").select("print", F.coalesce("component", "class").alias("component_id"))
     out = sketch.select("id", "n_shingles", "print").join(root, "print", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
-from .components import components
+from .components import components, local_roots
 from .embeddings import main_dimension, matrix, usable
 
 #: Rows of a block; a pair of blocks is what one comparison holds.
@@ -57,21 +57,6 @@ def tables_for(rows: int, threshold: float, recall: float, bucket: int = 64, lea
     return run, max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree)))
 
 
-def _local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least reachable index for each of n nodes with links a-b."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
-        while (new[new] != new).any():
-            new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def _compare(key: tuple, ids, codes, x, weight, block, threshold: float, tie: float = 1e-12):
     """Counts of links and star edges among the rows of one pair of blocks."""
     t, i, j = key
@@ -103,7 +88,7 @@ def _compare(key: tuple, ids, codes, x, weight, block, threshold: float, tie: fl
     order = np.argsort(ids, kind="stable")  # so that the least index is the least id
     place = np.empty(len(ids), np.int64)
     place[order] = np.arange(len(ids))
-    root = ids[order][_local_roots(len(ids), place[a], place[b])][place]
+    root = ids[order][local_roots(len(ids), place[a], place[b])][place]
     some = np.flatnonzero(count)
     return ids[some], count[some], root[some]
 
