@@ -41,9 +41,9 @@ def conjecture(baseline: Column, experimental: Column, least: float = params.MIN
     """(passed, message): whether the gain reaches the absolute bar."""
     gain = experimental - baseline
     message = (
-        F.when(gain >= least, F.format_string("PASS: +%.3f", gain))
-        .when(gain > 0, F.concat(F.format_string("FAIL: +%.3f", gain), F.lit(f" < {least} required")))
-        .otherwise(F.concat(F.lit("FAIL: no improvement ("), F.format_string("%.3f", gain), F.lit(")")))
+        F.when(gain >= least, F.format_string("PASS: +%.3f", F.bround(gain, 3)))
+        .when(gain > 0, F.concat(F.format_string("FAIL: +%.3f", F.bround(gain, 3)), F.lit(f" < {least} required")))
+        .otherwise(F.concat(F.lit("FAIL: no improvement ("), F.format_string("%.3f", F.bround(gain, 3)), F.lit(")")))
     )
     return F.struct((gain >= least).alias("passed"), message.alias("message"))
 

@@ -13,6 +13,7 @@ from ..operators import metrics as M
 from ..operators import pool as P
 from ..operators import search as R
 from ..operators import stats as ST
+from ..operators.stages import cut
 from . import views as V
 from .registry import long, query, r6
 
@@ -119,7 +120,8 @@ def _pool(spark, sf) -> DataFrame:
     """The hybrid pool with every factor and grade; its ranks are pool_rank."""
     docs, asked = V.documents(spark, sf), V.asked(spark, sf)
     factors = R.relevance_factors(R.hybrid_search(R.build_index(docs), asked), docs, asked, as_of())
-    return factors.join(V.judged(spark, sf), ["query_idx", "doc_idx"], "left").withColumn("grade", F.coalesce("grade", F.lit(0.0))).withColumnRenamed("rank", "pool_rank")
+    graded = factors.join(V.judged(spark, sf), ["query_idx", "doc_idx"], "left").withColumn("grade", F.coalesce("grade", F.lit(0.0)))
+    return cut(graded.withColumnRenamed("rank", "pool_rank"))
 
 
 def _reranked(name: str, pool: DataFrame, **options) -> DataFrame:
@@ -174,14 +176,14 @@ _EXTRA = {"arms": _ARMS_SQL, "metrics": _METRICS_SQL}
 
 
 def _rankings(spark, sf) -> DataFrame:
-    pool = _pool(spark, sf).persist()
+    pool = _pool(spark, sf)
     bm25 = R.bm25_search(_index(spark, sf), V.asked(spark, sf), params.POOL_K).select(F.lit("bm25").alias("arm"), "query_idx", "doc_idx", "rank")
     arms = [bm25, *[_reranked(n, pool, **o) for n, (o, _) in _ABLATIONS.items()], *[P.arm(pool, n, F.col(c)) for n, c in _KEYS.items()]]
     return reduce(DataFrame.unionByName, arms)
 
 
 def _metrics(spark, sf) -> DataFrame:
-    return M.per_query(_rankings(spark, sf), V.judged(spark, sf))
+    return cut(M.per_query(cut(_rankings(spark, sf)), V.judged(spark, sf)))
 
 
 @query("select arm, query_idx, round(cast(p as double), 6) as p, round(ndcg, 6) as ndcg, round(cast(mrr as double), 6) as mrr from metrics", *_NEEDS, extra=_EXTRA)
@@ -262,7 +264,7 @@ def set_03_pooled_documents(spark, sf):
 
 @query("select p.query_idx, count(*) as pairs from pool p join pool q on p.query_idx = q.query_idx and p.grade > q.grade group by 1", "pool")
 def jon_12_grade_dominance(spark, sf):
-    pool = _pool(spark, sf).select("query_idx", "grade").persist()
+    pool = _pool(spark, sf).select("query_idx", "grade")
     pairs = pool.alias("a").join(pool.alias("b"), F.expr("a.query_idx = b.query_idx and a.grade > b.grade"))
     return pairs.groupBy(F.col("a.query_idx").alias("query_idx")).agg(F.count(F.lit(1)).alias("pairs"))
 
@@ -386,7 +388,7 @@ _COMPOSED_SQL = " union all ".join(f"select '{n}' as arm, query_idx, doc_idx, ro
 
 
 def _composed(spark, sf) -> DataFrame:
-    rows = P.normalised(_modules(spark, sf)).persist()
+    rows = cut(P.normalised(_modules(spark, sf)))
     own = lambda c=None: rows.join(F.broadcast(P.gate_table(spark, c)), "question_type")
     total = lambda off=("applicability",): reduce(lambda a, b: a + b, [F.col(f"z_{m}") for m in _MODS if m not in off])
     arms = [P.arm(rows, "B0", -F.col("pool_rank")), P.arm(own(), "M", P.gated(rows, None)), P.arm(rows, "U", total()), P.arm(own(), "V", P.gated(rows, None, ("applicability", "evidence")))]
@@ -403,7 +405,7 @@ _COMPOSED_EXTRA = _POOL_EXTRA | {"arms": _COMPOSED_SQL, "metrics": _METRICS_SQL}
 
 
 def _composed_metrics(spark, sf) -> DataFrame:
-    return M.per_query(_composed(spark, sf), V.judged(spark, sf)).persist()
+    return cut(M.per_query(cut(_composed(spark, sf)), V.judged(spark, sf)))
 
 
 @query("select count(*) as n, round(avg(d), 6) as mean, round(coalesce(stddev_samp(d), 0), 6) as sd, count(*) filter (d > 0) as wins, count(*) filter (d < 0) as losses, count(*) filter (d = 0) as ties, round(2.8 * coalesce(stddev_samp(d), 0) / sqrt(count(*)), 6) as mde80 from (select round(a.ndcg - b.ndcg, 9) as d from metrics a join metrics b on a.query_idx = b.query_idx and a.arm = 'M' and b.arm = 'B0')", "pool", "judged", "ideal", extra=_COMPOSED_EXTRA)
@@ -499,7 +501,8 @@ def arm_34_learned_ranker(spark, sf):
     """Held-out scores of the pairwise ranker, three folds and two penalties."""
     from ..operators import ranker
 
-    rows = P.normalised(_modules(spark, sf))
+    rows = cut(P.normalised(_modules(spark, sf)))
     items = rows.select("query_idx", "doc_idx", "pool_rank", "grade", P.features(rows).alias("features"))
+    items = cut(items)
     scored, _ = ranker.cross_fit(items, V.judged(spark, sf), folds=3, grid=[0.01, 0.1])
     return scored.select("query_idx", "doc_idx", r6("score").alias("score"))
