@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_of, slices, table, written
+from .common import bucket_of, slices, table, text_parts, written
 from .hashing import joined
 
 BUCKETS = 4096
@@ -121,7 +121,7 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
     total = sum(r["n"] for r in counted)
     df = sum((np.frombuffer(r["df"], "<i8") for r in counted), np.zeros(BUCKETS, np.int64))
     idf = np.log((1 + total) / (1 + df)).astype(np.float32)
-    idf += np.float32(0.05)
+    idf += np.float32(1)
 
     def clusters(rows: pa.Table) -> pa.Table:
         texts = rows.sort_by("text")["text"].to_pylist()
@@ -150,8 +150,9 @@ def with_language(docs: DataFrame, model: Centroids, text: str = "text", outputs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores, rejected = model.predict(batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores), pa.array(rejected)], names=[*kept, *outputs])
+            for own, texts in text_parts(batch, at, SLICE_CHARS):
+                names, scores, rejected = model.predict(texts)
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(names, pa.string()), pa.array(scores), pa.array(rejected)], names=[*kept, *outputs])
 
     return given.mapInArrow(run, schema)
 
