@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,11 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]++"
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of a batch that goes to a Python worker while a table is written; bounds its memory.
+BATCH_ROWS = 2000
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; a temporary one only where none is set (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -25,9 +33,26 @@ def shared_folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame as a Parquet table in the shared folder: lineage ends here, and executors may go."""
-    path = f"{shared_folder(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def give_back() -> None:
+    """Returns memory that is free, but still held by the allocators of this worker, to the system.
+
+    Workers are kept between tasks; without this each would hold what its largest task ever took.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +98,15 @@ def slices(sizes: list[int], limit: int) -> Iterator[slice]:
         yield slice(begin, len(sizes))
 
 
+def text_parts(batch: pa.RecordBatch, at: int, limit: int) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """The batch in pieces of about ``limit`` bytes of the texts in column ``at``, with these texts."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()
+    for part in slices(sizes, limit):
+        own = batch.slice(part.start, part.stop - part.start)
+        yield own, own.column(at).to_pylist()
+    give_back()
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 

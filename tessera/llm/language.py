@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import bucket_of, slices, table, text_parts, written
 from .hashing import joined
+from .transducer import forget
 
 BUCKETS = 4096
 SLICE_CHARS = 1_000_000
@@ -149,6 +150,7 @@ def with_language(docs: DataFrame, model: Centroids, text: str = "text", outputs
     schema = given.select("*", F.lit("").alias(outputs[0]), F.lit(0.0).alias(outputs[1]), F.lit(True).alias(outputs[2])).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for own, texts in text_parts(batch, at, SLICE_CHARS):
                 names, scores, rejected = model.predict(texts)

@@ -19,17 +19,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import marked, slices, table, written
+from .common import marked, table, text_parts, written
 from .components import components, local_roots
 from .hashing import mixed, words
+from .transducer import forget
 
 BINS = 256
 ROWS = 6
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 #: Open buckets up to this size compare all pairs across components; larger ones form crowds.
 SMALL_BUCKET = 24
 #: Rows of the two sides of a comparison in a crowd.
@@ -92,18 +94,21 @@ def _sketch(docs: DataFrame, size: int) -> DataFrame:
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for part in slices([len(t or "") for t in texts], SLICE_CHARS):
-                sets = shingle_sets(texts[part], size)
+            for own, texts in text_parts(batch, 1, SLICE_CHARS):
+                sets = shingle_sets(texts, size)
                 full = [s for s in sets if len(s)]
-                banded = iter(bands(signatures(full)).tolist()) if full else iter(())
+                flat = bands(signatures(full)) if full else np.zeros((0, 1), np.int64)
+                places = np.concatenate([[0], np.cumsum([flat.shape[1] * (len(s) > 0) for s in sets])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(places), pa.array(flat.ravel()))
+                there = pa.array([len(s) > 0 for s in sets])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(part.start, len(sets)),
+                        own.column(0),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                        pa.array([next(banded) if len(s) else None for s in sets], pa.list_(pa.int64())),
+                        pc.if_else(there, lists, pa.scalar(None, lists.type)),
                     ],
                     names=["id", "n_shingles", "print", "bands"],
                 )
@@ -122,20 +127,18 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
-            rows = batch.to_pydict()
-            own_sets: dict = {}
-            keep = np.zeros(len(rows["a"]), bool)
-            for part in slices([len(t) for t in rows["text_b"]], SLICE_CHARS):
-                others = shingle_sets(rows["text_b"][part], size)
-                for i, other in zip(range(part.start, part.stop), others, strict=True):
-                    a = rows["a"][i]
-                    if a not in own_sets:
-                        own_sets = {a: shingle_sets([rows["text_a"][i]], size)[0]}
-                    own = own_sets[a]
-                    both = len(np.intersect1d(own, other, assume_unique=True))
-                    keep[i] = 100 * both >= percent * (len(own) + len(other) - both)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            for own, others in text_parts(batch, 3, SLICE_CHARS):
+                first: dict = {}
+                keep = np.zeros(own.num_rows, bool)
+                sets = shingle_sets(others, size)
+                for i, (a, other) in enumerate(zip(own.column(0).to_pylist(), sets, strict=True)):
+                    if a not in first:
+                        first = {a: shingle_sets([own.column(2)[i].as_py()], size)[0]}
+                    both = len(np.intersect1d(first[a], other, assume_unique=True))
+                    keep[i] = 100 * both >= percent * (len(first[a]) + len(other) - both)
+                yield own.select(["a", "b"]).filter(pa.array(keep))
 
     joined = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
     return joined.mapInArrow(run, pairs.select("a", "b").schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, tokenizer_path, written
+from .common import table, text_parts, tokenizer_path, written
 from .transducer import machine
 
 SLICE_CHARS = 2_000_000
@@ -38,9 +38,8 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", capacity
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = machine(path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for part in slices([len(t or "") for t in texts], SLICE_CHARS):
-                yield _cut(encoder, batch.column(0).slice(part.start, part.stop - part.start), texts[part], capacity, end_id)
+            for own, texts in text_parts(batch, 1, SLICE_CHARS):
+                yield _cut(encoder, own.column(0), texts, capacity, end_id)
 
     return given.mapInArrow(run, PIECES.format(id=kind))
 

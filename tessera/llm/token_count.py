@@ -8,10 +8,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, tokenizer_path
+from .common import table, text_parts, tokenizer_path
 from .transducer import machine
 
-#: Characters of text that run through the machine at once.
+#: Bytes of text that run through the machine at once.
 SLICE_CHARS = 2_000_000
 
 
@@ -31,11 +31,8 @@ def with_token_counts(docs: DataFrame, text: str = "text", output: str = "n_toke
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = machine(path)
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for part in slices([len(t or "") for t in texts], SLICE_CHARS):
-                counts = pa.array(counter.count(texts[part]), pa.int64())
-                own = batch.slice(part.start, part.stop - part.start)
-                yield pa.RecordBatch.from_arrays([*own.columns, counts], names=[*kept, output])
+            for own, texts in text_parts(batch, at, SLICE_CHARS):
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(counter.count(texts), pa.int64())], names=[*kept, output])
 
     return given.mapInArrow(run, schema)
 

@@ -54,7 +54,7 @@ def byte_symbols() -> list[str]:
 class Transducer:
     """Compiled tokenizer; ``path`` is a tokenizers JSON file with a word-end BPE model."""
 
-    def __init__(self, path: str, max_transitions: int = 2_000_000, chunk: int = 1024):
+    def __init__(self, path: str, max_transitions: int = 1_200_000, chunk: int = 1024):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -64,16 +64,17 @@ class Transducer:
         if model["type"] != "BPE" or model.get("end_of_word_suffix") != _END:
             raise ValueError("the transducer is compiled from a BPE model with word-end symbols")
         self.ids: dict[str, int] = model["vocab"]
+        self.names = {t: t for t in self.ids}
         self.rank = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): i for i, m in enumerate(model["merges"])}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.chunk, self.max_transitions = chunk, max_transitions
         self.symbol = byte_symbols()
-        self.growing: set[str] = set()
+        self.growing: dict[str, str] = {}  # every string that may yet become a token, once
         for token in self.ids:
             body = token[: -len(_END)] if token.endswith(_END) else token
-            self.growing.update(body[:n] for n in range(1, len(body)))
+            self.growing.update((body[:n], body[:n]) for n in range(1, len(body)))
             if token.endswith(_END):
-                self.growing.add(body)
+                self.growing[body] = body
         self._pairs: dict[tuple[str, str], bool] = {}
         self._alone: dict[str, bool] = {}
         self.kind = np.full(0x110000, UNKNOWN, np.uint8)
@@ -124,6 +125,7 @@ class Transducer:
 
     def _reset(self) -> None:
         self.state_of: dict[tuple, int] = {}
+        self.facts: dict[tuple, tuple] = {}  # parts of states, shared between them
         self.chains: list[tuple | None] = [None]  # state 0: inside a word whose start is not known
         self.last, self.last_len, self.final, self.final_len, self.end_weight = ([0] for _ in range(5))
         self._arrays: tuple | None = None
@@ -171,9 +173,9 @@ class Transducer:
                 ok = self._alone[token] = self._merge(self._symbols(token)) == [token]
             return ok
         if (ok := self._pairs.get((before, token))) is None:
-            if len(self._pairs) > 2_000_000:
+            if len(self._pairs) > 400_000:
                 self._pairs.clear()
-            ok = self._pairs[before, token] = self._merge(self._symbols(before) + self._symbols(token)) == [before, token]
+            ok = self._pairs[before, self.names[token]] = self._merge(self._symbols(before) + self._symbols(token)) == [before, token]
         return ok
 
     def _state(self, chain: tuple) -> int:
@@ -207,8 +209,9 @@ class Transducer:
             token = suffix + byte
             if token in self.ids and self._fits(before, token):
                 weight = less + 1
-                grown = [(s + byte, b, n - weight) for s, b, n in chain if s + byte in self.growing]
-                return self._state((*grown, ("", token, 0))), weight
+                grown = [(self.growing[s + byte], b, n - weight) for s, b, n in chain if s + byte in self.growing]
+                grown.append(("", self.names[token], 0))
+                return self._state(tuple(self.facts.setdefault(f, f) for f in grown)), weight
         raise ValueError("a byte without a token")
 
     def _compile(self, keys: np.ndarray) -> None:
@@ -418,7 +421,12 @@ class Transducer:
         return out, tokens_through[np.searchsorted(begins, through)]
 
 
-_MACHINES: dict[tuple, Transducer] = {}
+_MACHINES: dict[str, Transducer] = {}
+
+
+def forget() -> None:
+    """Drops what this worker has compiled, before work that needs the memory for something else."""
+    _MACHINES.clear()
 
 
 def machine(path: str) -> Transducer:
