@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_of, slices, table, written
+from .common import bucket_of, slices, table, text_parts, written
 from .hashing import tokens
 
 BUCKETS = 1 << 14
@@ -40,9 +40,9 @@ def index_vectors(seed: int = 7) -> np.ndarray:
     return out
 
 
-def contexts(texts: list[str | None], index: np.ndarray) -> np.ndarray:
-    """Sum of the index vectors of each bucket's neighbours within two places, inside each text."""
-    out = np.zeros((BUCKETS, DIMENSIONS), np.float32)
+def contexts(texts: list[str | None], index: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """Adds the index vectors of each bucket's neighbours within two places, inside each text, to ``out``."""
+    out = np.zeros((BUCKETS, DIMENSIONS), np.float32) if out is None else out
     for part in slices([len(t or "") + 1 for t in texts], SLICE_CHARS):
         hashed, ends = tokens(texts[part])
         if not len(hashed):
@@ -178,8 +178,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", l
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            own = contexts(batch.column(0).to_pylist(), index)
-            total = own if total is None else total + own
+            for _, texts in text_parts(batch, 0, SLICE_CHARS):
+                total = contexts(texts, index, total)
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.astype("<f4").tobytes()], pa.binary())], names=["context"])
 
@@ -190,8 +190,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", l
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = pooled(batch.column(0).to_pylist(), vectors)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([r.astype("<f4").tobytes() for r in x], pa.binary())], names=["label", "x"])
+            for own, texts in text_parts(batch, 0, SLICE_CHARS):
+                x = pooled(texts, vectors)
+                yield pa.RecordBatch.from_arrays([own.column(1), pa.array([r.astype("<f4").tobytes() for r in x], pa.binary())], names=["label", "x"])
 
     rows = sample.mapInArrow(features, f"label {sample.schema['label'].dataType.simpleString()}, x binary").toArrow().combine_chunks()
     order = sorted(range(rows.num_rows), key=lambda i: (rows["x"][i].as_py(), rows["label"][i].as_py()))
@@ -208,7 +209,8 @@ def with_quality(docs: DataFrame, model: QualityModel, text: str = "text", outpu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(batch.column(at).to_pylist()), pa.float64())], names=[*kept, output])
+            for own, texts in text_parts(batch, at, SLICE_CHARS):
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(model.score(texts), pa.float64())], names=[*kept, output])
 
     return given.mapInArrow(run, given.select("*", F.lit(0.0).alias(output)).schema)
 
