@@ -64,6 +64,23 @@ def test_added_spans_and_redaction(spark):
     assert pii.fit(spark.createDataFrame([], "doc_id long, text string")).least == {}
 
 
+def test_added_formats_are_redacted_and_decoys_stay(spark):
+    model = pii.fit(spark.createDataFrame([(i, f"plain text {i}") for i in range(50)], "doc_id long, text string"))
+    assert set(model.least) == set(pii.GENERATORS)
+    real = {
+        "write to clara at example dot org today": "write to [EMAIL] today", "clara (at) example (dot) org": "[EMAIL]", "mail me at jürgen@exämple.de please": "mail me at [EMAIL] please",
+        "host 2001:db8:85a3:0:0:8a2e:370:7334 down": "host [IP] down", "ping fe80::1ff:fe23:4567:890a now": "ping [IP] now",
+        "call 020 7946 0958 now": "call [PHONE] now", "my phone is 415-555-2671 ok": "my phone is [PHONE] ok", "pay by card 4111.1111.1111.1111 please": "pay by card [CARD] please",
+    }
+    decoys = [
+        "order 415-555-2671 shipped", "isbn 978-0-306-40615-7", "version 10.204.3001 out", "at 12:30:45:100 then", "mac 00:1a:2b:3c:4d:5e up", "arrived at noon dot then",
+        "look at example dot com", "pop 12 345 678 people", "order 4111.1111.1111.1112", "4111 1111 1111 1112 no", 'token = "52c4f90819894045335504edb407ca',
+    ]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*real, *decoys])], "doc_id long, text string")
+    out = pii.redact(pii.with_spans(docs.select("text", F.struct(*docs.columns).alias("row")), model), "row").orderBy("doc_id").collect()
+    assert [r.text for r in out] == [*real.values(), *decoys]
+
+
 def test_sainte_lague_equals_seat_by_seat(spark):
     rng = random.Random(3)
     for seats in (0, 1, 7, 100, 1000):
