@@ -498,11 +498,11 @@ def arm_08_random_rerank(spark, sf):
 
 @query()
 def arm_34_learned_ranker(spark, sf):
-    """Held-out scores of the pairwise ranker, three folds and two penalties."""
+    """Held-out scores of the pairwise ranker, five folds and all penalties."""
     from ..operators import ranker
 
     rows = cut(P.normalised(_modules(spark, sf)))
     items = rows.select("query_idx", "doc_idx", "pool_rank", "grade", P.features(rows).alias("features"))
     items = cut(items)
-    scored, _ = ranker.cross_fit(items, V.judged(spark, sf), folds=3, grid=[0.01, 0.1])
+    scored, _ = ranker.cross_fit(items, V.judged(spark, sf))
     return scored.select("query_idx", "doc_idx", r6("score").alias("score"))

@@ -93,3 +93,24 @@ def test_ranker_learns_a_linear_signal(spark):
     assert pairs.groupBy("query_idx").count().where("count > 50").count() == 0
     weights = ranker.fit(pairs, 0.01)
     assert weights[1] > abs(weights[0])
+
+
+def test_learned_ranker_query_does_the_whole_job(spark, monkeypatch):
+    from tessera.plans import ranking_queries as Q
+
+    seen = {}
+
+    def cross_fit(items, qrels, folds=5, grid=None):
+        seen.update(folds=folds, grid=grid or ranker.params.PENALTIES)
+        return items.withColumn("score", F.lit(0.0)), []
+
+    monkeypatch.setattr(ranker, "cross_fit", cross_fit)
+    Q.arm_34_learned_ranker(spark, "/root/testdata/sf0.001")
+    assert seen == {"folds": 5, "grid": [0.001, 0.01, 0.1, 1.0, 10.0]}
+
+
+def test_cross_fit_on_a_small_fixture(spark):
+    rows = [(q, d, d, float(d % 2), [float(d % 2), float((d * q) % 3)]) for q in range(6) for d in range(4)]
+    items = spark.createDataFrame(rows, "query_idx long, doc_idx long, pool_rank long, grade double, features array<double>")
+    scored, chosen = ranker.cross_fit(items, items.select("query_idx", "doc_idx", "grade"), folds=2, grid=[0.01, 0.1])
+    assert scored.count() == len(rows) and set(chosen) <= {0.01, 0.1}
