@@ -59,3 +59,5 @@ PUBLICATION_LEVELS = {
 # fixed values: pairs sampled per query, penalties tried, least share of changed rankings and of dated documents
 PAIRS_PER_QUERY, PENALTIES = 500, [0.001, 0.01, 0.1, 1.0, 10.0]
 MANIPULATION_SHARE, DATE_COVERAGE = 0.5, 0.95
+# fixed values: random orders of a pool, resamples of a mean, sign flips
+RANDOM_ORDERS, BOOTSTRAP_DRAWS, SIGN_FLIPS = 200, 10_000, 10_000

@@ -442,6 +442,28 @@ def sta_02_sign_flips(spark, sf):
     return ST.sign_flip_p(diffs, 1000).select(r6("p").alias("p"))
 
 
+def _with_draws(name: str, draws: int) -> str:
+    """The SQL of a resampling query at another number of draws."""
+    from .registry import SQL
+
+    assert "range(1000)" in SQL[name]
+    return SQL[name].replace("range(1000)", f"range({draws})").replace("/ 1001.0", f"/ {draws + 1}.0")
+
+
+@query(_with_draws("sta_01_bootstrap_interval", params.BOOTSTRAP_DRAWS))
+def sta_01_bootstrap_interval_whole(spark, sf):
+    """The interval at the reference's number of draws."""
+    diffs = ST.differences(_composed_metrics(spark, sf), "M", "B0").withColumn("diff", F.round("diff", 9))
+    return ST.interval(ST.bootstrap_means(diffs, params.BOOTSTRAP_DRAWS)).select(r6("ci_lo").alias("ci_lo"), r6("ci_hi").alias("ci_hi"))
+
+
+@query(_with_draws("sta_02_sign_flips", params.SIGN_FLIPS))
+def sta_02_sign_flips_whole(spark, sf):
+    """The p-value at the reference's number of sign flips."""
+    diffs = ST.differences(_composed_metrics(spark, sf), "M", "B0").withColumn("diff", F.round("diff", 9))
+    return ST.sign_flip_p(diffs, params.SIGN_FLIPS).select(r6("p").alias("p"))
+
+
 @query("select name, p, round(least(1.0, max((m - rn + 1) * p) over (order by p, name rows unbounded preceding)), 6) as p_holm from (select name, p, count(*) over () as m, row_number() over (order by p, name) as rn from (values ('a', 0.01::double), ('b', 0.04::double), ('c', 0.03::double), ('d', 0.5::double), ('e', 0.9::double)) v(name, p))")
 def sta_03_holm(spark, sf):
     rows = spark.createDataFrame([("a", 0.01), ("b", 0.04), ("c", 0.03), ("d", 0.5), ("e", 0.9)], "name string, p double")
@@ -491,8 +513,8 @@ def snk_03_run_lines(spark, sf):
 
 @query()
 def arm_08_random_rerank(spark, sf):
-    """Mean NDCG of 20 md5-drawn orders of every pool."""
-    orders = P.shuffled(_pool(spark, sf), 20).withColumn("arm", F.concat(F.lit("random"), "draw"))
+    """Mean NDCG of 200 md5-drawn orders of every pool."""
+    orders = P.shuffled(_pool(spark, sf), params.RANDOM_ORDERS).withColumn("arm", F.concat(F.lit("random"), "draw"))
     return M.per_query(orders.select("arm", "query_idx", "doc_idx", "rank"), V.judged(spark, sf)).groupBy("query_idx").agg(r6(F.avg("ndcg")).alias("ndcg"))
 
 

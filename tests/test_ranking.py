@@ -13,6 +13,8 @@ from tessera.operators import ranker
 from tessera.operators import search as R
 from tessera.operators import stats as ST
 
+P_SHUFFLED = P.shuffled
+
 WORDS = "Blood loss iron's dose α-beta under_score RCT naïve the of anemia".split()
 TEXTS = [" ".join(WORDS[(i * k + k) % len(WORDS)] for k in range(i % 7)) for i in range(40)] + ["", "blood blood blood", "blood blood blood"]
 ASKED = ["blood iron", "BLOOD blood", "nothing here", "", "!?", "α dose"]
@@ -114,3 +116,14 @@ def test_cross_fit_on_a_small_fixture(spark):
     items = spark.createDataFrame(rows, "query_idx long, doc_idx long, pool_rank long, grade double, features array<double>")
     scored, chosen = ranker.cross_fit(items, items.select("query_idx", "doc_idx", "grade"), folds=2, grid=[0.01, 0.1])
     assert scored.count() == len(rows) and set(chosen) <= {0.01, 0.1}
+
+
+def test_draws_are_those_of_the_reference(spark, monkeypatch):
+    from tessera.plans import ranking_queries as Q
+    from tessera.plans.registry import QUERIES, SQL
+
+    seen = []
+    monkeypatch.setattr(Q.P, "shuffled", lambda pool, draws: seen.append(draws) or P_SHUFFLED(pool, 1))
+    QUERIES["arm_08_random_rerank"](spark, "/root/testdata/sf0.001")
+    assert seen == [200]
+    assert "range(10000)" in SQL["sta_01_bootstrap_interval_whole"] and "range(10000)" in SQL["sta_02_sign_flips_whole"] and "/ 10001.0" in SQL["sta_02_sign_flips_whole"]
