@@ -93,6 +93,20 @@ def sensitivity(mean: Column, worst: Column) -> Column:
     return F.when((F.abs(mean) > 0.03) | (worst > 0.04), "sensitive").otherwise("not sensitive")
 
 
+def encoder_verdict(lo: Column, hi: Column) -> Column:
+    """Of cosine-only against random reranking, from the interval of their difference."""
+    return F.when(hi < 0, "harmful").when(lo > 0, "informative").otherwise("no detectable information")
+
+
+def driver_verdict(rho_evidence: Column, rho_cosine: Column) -> Column:
+    return F.when(rho_evidence > rho_cosine + 0.2, "evidence weight dominates").otherwise("evidence weight does not dominate")
+
+
+def control_ok(mean: Column) -> Column:
+    """Whether the BM25 rerank of the pool stays within 0.01 of BM25."""
+    return F.abs(mean) <= 0.01
+
+
 def decide(t: dict[str, Column]) -> Column:
     """The decision of a test from its statistics, first rule that holds.
 

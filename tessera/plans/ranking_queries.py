@@ -486,6 +486,13 @@ def sta_05_to_07_verdicts(spark, sf):
     return rows.select("a", "b", ST.pool_verdict(a, b).alias("pool_verdict"), ST.tie_verdict(a, b).alias("tie_verdict"), ST.sensitivity(a, b).alias("sensitivity"))
 
 
+@query("select lo, hi, case when hi < 0 then 'harmful' when lo > 0 then 'informative' else 'no detectable information' end as encoder, case when hi > lo + 0.2 then 'evidence weight dominates' else 'evidence weight does not dominate' end as driver, abs(lo) <= 0.01 as control_ok from (values (-0.2::double, -0.1::double), (0.05::double, 0.3::double), (-0.01::double, 0.1::double), (0.0::double, 0.0::double), (-0.3::double, 0.2::double)) v(lo, hi)")
+def sta_07_encoder_driver_control(spark, sf):
+    rows = spark.createDataFrame([(-0.2, -0.1), (0.05, 0.3), (-0.01, 0.1), (0.0, 0.0), (-0.3, 0.2)], "lo double, hi double")
+    lo, hi = F.col("lo"), F.col("hi")
+    return rows.select("lo", "hi", ST.encoder_verdict(lo, hi).alias("encoder"), ST.driver_verdict(hi, lo).alias("driver"), ST.control_ok(lo).alias("control_ok"))
+
+
 @query("select count(*) as differing from ((select query_idx, doc_idx, rank from bm25_top) except all (select query_idx, doc_idx, rank from bm25_top))", "bm25_top")
 def sta_11_fidelity(spark, sf):
     """Two ways to the same top 100: padded search, and a window over the dense scores."""

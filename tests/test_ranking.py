@@ -127,3 +127,12 @@ def test_draws_are_those_of_the_reference(spark, monkeypatch):
     QUERIES["arm_08_random_rerank"](spark, "/root/testdata/sf0.001")
     assert seen == [200]
     assert "range(10000)" in SQL["sta_01_bootstrap_interval_whole"] and "range(10000)" in SQL["sta_02_sign_flips_whole"] and "/ 10001.0" in SQL["sta_02_sign_flips_whole"]
+
+
+def test_encoder_driver_and_control_verdicts(spark):
+    rows = spark.createDataFrame([(0, -0.2, -0.1), (1, 0.05, 0.3), (2, -0.01, 0.1), (3, 0.0, 0.0)], "i int, lo double, hi double")
+    lo, hi = F.col("lo"), F.col("hi")
+    got = rows.select("i", ST.encoder_verdict(lo, hi).alias("e"), ST.driver_verdict(hi, lo).alias("d"), ST.control_ok(lo).alias("c")).orderBy("i").collect()
+    assert [r.e for r in got] == ["harmful", "informative", "no detectable information", "no detectable information"]
+    assert [r.d == "evidence weight dominates" for r in got] == [False, True, False, False]
+    assert [r.c for r in got] == [False, False, True, True]
