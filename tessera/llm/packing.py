@@ -1,6 +1,6 @@
 """Best-fit packing of tokenised documents, with lower bounds that certify each partition.
 
-Documents become pieces of at most ``capacity`` tokens.  Pieces are dealt by hash to partitions of
+Documents become pieces of at most ``capacity`` tokens.  Pieces are dealt by hash to groups of
 about ``per_partition`` pieces, and each partition packs its own by best-fit decreasing.  Dual
 feasible functions bound from below the bins that any packing of a partition needs; a partition
 that meets its bound is certified and keeps its bins, all but those far from full.  A partition
@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from .common import table, text_parts, tokenizer_path, written
 from .transducer import machine
 
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
+#: A sequence's id is its turn, group and bin in fields of their own; no group comes near this many bins.
+BIN_BITS, TURN_SHIFT = 22, 58
 PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
 
 
@@ -120,7 +122,9 @@ def _packer(columns: list[str], capacity: int, open_share: float, turn: int, las
         room = capacity - np.bincount(bins, sizes, used).astype(np.int64)
         certified = used == lower_bound(sizes, capacity)
         gives = room >= open_share * capacity if certified else room > 0
-        first = (turn << 40) | rows["tessera_group"][0].as_py() << 16
+        if used >> BIN_BITS:
+            raise OverflowError("too many sequences in one group")
+        first = turn << TURN_SHIFT | rows["tessera_group"][0].as_py() << BIN_BITS
         return (
             rows.select(columns)
             .append_column("sequence_id", pa.array(first + bins, pa.int64()))
@@ -135,7 +139,8 @@ def _packer(columns: list[str], capacity: int, open_share: float, turn: int, las
 def pack(items: DataFrame, capacity: int = 4096, per_partition: int = 2048, rounds: int = 4, open_share: float = 1 / 16) -> DataFrame:
     """Adds ``sequence_id``, ``offset`` and ``certified`` to pieces (doc_id, piece, start, length, ids_crc32).
 
-    Every row is placed once, repeated rows included; ``length`` must lie in 1..capacity.
+    Every row is placed once, repeated rows and null ids included; ``length`` must lie in
+    1..capacity.  ``items`` should be a written table: groups are dealt by its ids and row places.
     ``certified`` says that the partition that closed the row's sequence met its lower bound.
     ``open_share``: certified partitions give up bins with at least this share free.
     An empty input gives an empty result.
@@ -151,7 +156,8 @@ def pack(items: DataFrame, capacity: int = 4096, per_partition: int = 2048, roun
         groups = -(-n // per_partition)
         last = groups == 1 or turn == rounds - 1
 
-        key = F.pmod(F.xxhash64("doc_id", "piece", F.lit(turn)), F.lit(groups)).cast("long")
+        # rows of one id, null ids too, are told apart by their place in the written table, so no key is hot
+        key = F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id(), F.lit(turn)), F.lit(groups)).cast("long")
         packed = written(left.select(*columns, key.alias("tessera_group")).groupBy("tessera_group").applyInArrow(_packer(columns, capacity, open_share, turn, last), schema), "packed")
         done.append(packed.where("closed").drop("closed"))
         if last:

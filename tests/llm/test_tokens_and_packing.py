@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import packing, token_count
@@ -42,6 +43,26 @@ def test_transducer_equals_library(library, chunk):
     assert machine.count(texts).tolist() == [len(x) for x in expected]
 
 
+def test_transducer_on_long_words_special_strings_and_restarts(library):
+    """Words that span many chunks and blocks, texts of special strings, and machines that start afresh amid a word."""
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = ["a" * 7777, "=" * 999 + "ab" * 3000, "".join(rng.choices(letters, k=6000)), "日本" * 2000, "".join(rng.choices("ab", k=5000)), "<|endoftext|>" * 500 + "x" + "<|startoftext|>", "of the quarry " * 2000]
+    expected = [ids(library, t) for t in texts]
+    for chunk, block, most in ((16, 64, 10), (32, 1024, 300), (64, 4096, 10**6)):
+        machine = Transducer(tokenizer_path(), max_transitions=most, chunk=chunk, block=block)
+        tokens, ends = machine.encode(texts)
+        starts = np.concatenate([[0], ends[:-1]])
+        assert [tokens[a:b].tolist() for a, b in zip(starts, ends, strict=True)] == expected
+        assert machine.count(texts).tolist() == [len(x) for x in expected]
+        assert machine.filled <= most + block
+
+
+def test_transducer_takes_megabytes_without_blanks_and_many_markers():
+    machine = Transducer(tokenizer_path())
+    assert machine.count(["a" * 2_000_000, "<|endoftext|>" * 200_000]).tolist() == [250_001, 200_000]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(max_size=40), min_size=1, max_size=6))
 def test_transducer_on_any_text(texts):
@@ -100,6 +121,28 @@ def test_packing_of_nothing_and_of_repeats(spark):
     assert sorted(r.offset for r in rows) == [0, 3, 6]
 
 
+def test_sequences_of_many_repeats_and_null_ids(spark):
+    n = 100_000
+    items = spark.range(n).selectExpr("cast(null as long) as doc_id", "0 as piece", "0L as start", "if(id % 2 = 0, 4000L, 90L) as length", "9L as ids_crc32")
+    out = packing.pack(items)
+    per = out.groupBy("sequence_id").agg(F.sum("length").alias("tokens"), F.max(F.col("offset") + F.col("length")).alias("end"), F.countDistinct("offset").alias("places"), F.count(F.lit(1)).alias("rows"))
+    assert out.count() == n
+    assert per.where("tokens > 4096 or end <> tokens or places <> rows").count() == 0
+    assert per.count() < n // 2 * 1.02
+
+
+def test_op1_and_op10_queries(spark, library, tmp_path):
+    texts = {1: "Hello World", 2: None, 3: "", 4: "quarry stone " * 3000, 5: "<|endoftext|>"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    out = packing.op1_best_fit_packing(spark, f"file://{tmp_path}")
+    assert dict(out.dtypes) | {"doc_id": "bigint", "piece": "int", "start": "bigint", "length": "bigint", "ids_crc32": "bigint", "sequence_id": "bigint", "offset": "bigint"} == dict(out.dtypes)
+    check_packing(out.collect(), texts, library, 4096)
+    counts = token_count.op10_token_counts(spark, f"file://{tmp_path}")
+    assert counts.dtypes == [("doc_id", "bigint"), ("n_bytes", "bigint"), ("n_tokens", "bigint"), ("over_limit", "boolean")]
+    expected = {d: (len((t or "").encode()), n := len(ids(library, t)), n > 2048) for d, t in texts.items()}
+    assert {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in counts.collect()} == expected
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(1, 100), min_size=1, max_size=60))
 def test_bound_and_fit(sizes):
