@@ -10,22 +10,35 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words as the contracts have them: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]++"
 
 
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-#: Rows of a batch that goes to a Python worker while a table is written; bounds its memory.
-BATCH_ROWS = 2000
+#: Bounds of a batch that goes to a Python worker, and so of the worker's memory.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's batch bounds to BATCH where they are higher; they stay so for all frames."""
+    for key, most in BATCH.items():
+        now = spark.conf.get(key)
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    """The folder named in spark.checkpoint.dir.
+
+    A temporary one serves only where none is set and driver and tasks are one process; on a cluster
+    that is an error, because executors could not read each other's local folders.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -34,13 +47,9 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame as a Parquet table in the shared folder: lineage ends here, and executors may go."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_BATCH, before)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -56,6 +65,7 @@ def give_back() -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -68,16 +78,19 @@ def bucket_of(column, modulus: int):
 MAP_BITS = 1 << 24
 
 
-def marked(df: DataFrame, ids: DataFrame, id_col: str, output: str) -> DataFrame:
-    """Adds ``output``: false where the row's id is surely not among ``ids`` (id), else true.
+def id_map(ids: DataFrame) -> DataFrame:
+    """A written bit map of the hashes of ``ids`` (id), at most MAP_BITS bits whatever their number."""
+    own = F.pmod(F.xxhash64("id"), F.lit(MAP_BITS))
+    bits = ids.where("id is not null").select(own.alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("tessera_w"))
+    return written(bits.agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("tessera_v")), "map")
+
+
+def marked(df: DataFrame, bits: DataFrame, id_col: str, output: str) -> DataFrame:
+    """Adds ``output``: false where the row's id is surely not in the map ``bits``, else true.
 
-    The ids' hashes set bits of a map of at most MAP_BITS bits, which is broadcast whatever their
-    number, so that a join on ids need only move rows that may match.  Null ids are false.
+    The map is broadcast, so that a join on ids need only move rows that may match.  Null ids are false.
     """
     place = F.pmod(F.xxhash64(id_col), F.lit(MAP_BITS))
-    own = F.pmod(F.xxhash64("id"), F.lit(MAP_BITS))
-    bits = ids.where("id is not null").select(own.alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("tessera_w"))
-    bits = written(bits.agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("tessera_v")), "map")
     row = df.withColumn("tessera_p", place).withColumn("tessera_w", F.shiftright("tessera_p", 6).cast("int"))
     row = row.join(F.broadcast(bits), "tessera_w", "left")
     hit = F.expr("shiftright(tessera_v, cast(tessera_p % 64 as int)) & 1L") == 1
@@ -85,6 +98,21 @@ def marked(df: DataFrame, ids: DataFrame, id_col: str, output: str) -> DataFrame
     return row.select(*columns, (F.coalesce(hit, F.lit(False)) & F.col(f"`{id_col}`").isNotNull()).alias(output))
 
 
+#: Rows of a key from which on it counts as hot, and the parts that a hot key's rows are spread over.
+HOT_ROWS, SALTS = 512, 64
+
+
+def salted_join(rows: DataFrame, side: DataFrame, key: str, spread: Column, hot: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``side``, which has one row a key; both need distinct column names.
+
+    Rows whose key is in the map ``hot`` (see ``id_map``) are spread by ``spread`` over SALTS parts, to
+    each of which the side's one row is copied; so no key's rows meet in one task.
+    """
+    left = marked(rows, hot, key, "tessera_hot").withColumn("tessera_salt", F.when(F.col("tessera_hot"), F.pmod(F.xxhash64(spread, F.lit(71)), F.lit(SALTS)).cast("int")).otherwise(0))
+    right = marked(side, hot, key, "tessera_hot").withColumn("tessera_salt", F.explode(F.when(F.col("tessera_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return left.drop("tessera_hot").join(right.drop("tessera_hot"), [key, "tessera_salt"]).drop("tessera_salt")
+
+
 def slices(sizes: list[int], limit: int) -> Iterator[slice]:
     """Consecutive slices of about ``limit`` in total size (an item above it stands alone)."""
     begin = total = 0

@@ -10,9 +10,16 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
+#: Bytes whose powers are kept; longer spans make their own.
+_BLOCK_BITS = 18
+
+
 @functools.cache
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << bits
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    return _made_powers(1 << _BLOCK_BITS)
+
+
+def _made_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, _BASE, np.uint64), np.full(n, _INVERSE, np.uint64)
     up[0] = down[0] = 1
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
@@ -28,14 +35,24 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of data[begin:end] for every span; equal bytes give equal hashes, wherever they lie."""
-    if not len(begin):
-        return np.zeros(0, np.uint64)
-    up, down = _powers(max(10, int(len(data)).bit_length()))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    raw = (total[end] - total[begin]) * down[begin]
-    return mixed(raw ^ ((end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    """Hash of data[begin:end] for every span (in order, apart); equal bytes give equal hashes, wherever they lie.
+
+    Works through the data in blocks of bounded memory; only a single longer span takes more.
+    """
+    out = np.empty(len(begin), np.uint64)
+    i = 0
+    while i < len(begin):
+        base = int(begin[i])
+        j = max(i + 1, int(np.searchsorted(end, base + (1 << _BLOCK_BITS) - 1, side="right")))
+        part = data[base : end[j - 1]]
+        up, down = _powers() if len(part) < 1 << _BLOCK_BITS else _made_powers(len(part) + 1)
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=total[1:])
+        first, after = begin[i:j] - base, end[i:j] - base
+        raw = (total[after] - total[first]) * down[first]
+        out[i:j] = mixed(raw ^ ((after - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+        i = j
+    return out
 
 
 _SPACE = np.zeros(256, bool)

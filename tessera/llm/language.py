@@ -24,8 +24,8 @@ from .hashing import joined
 from .transducer import forget
 
 BUCKETS = 4096
-SLICE_CHARS = 1_000_000
-SLICE_ROWS = 256
+SLICE_CHARS = 250_000
+SLICE_ROWS = 128
 
 _LETTER = np.full(256, 32, np.uint8)
 _LETTER[97:123] = np.arange(97, 123)

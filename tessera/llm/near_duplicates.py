@@ -24,18 +24,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import marked, table, text_parts, written
+from .common import HOT_ROWS, id_map, marked, salted_join, table, text_parts, written
 from .components import components, local_roots
 from .hashing import mixed, words
 from .transducer import forget
 
 BINS = 256
 ROWS = 6
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 500_000
 #: Open buckets up to this size compare all pairs across components; larger ones form crowds.
 SMALL_BUCKET = 24
-#: Rows of the two sides of a comparison in a crowd.
-BLOCK_FEW, BLOCK_ALL = 256, 1024
+#: Shingles of the two sides of a comparison in a crowd, and the most rows of each.
+BLOCK_FEW, BLOCK_ALL = 100_000, 400_000
+ROWS_FEW, ROWS_ALL = 256, 1024
 
 
 def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
@@ -116,40 +117,68 @@ def _sketch(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind}, n_shingles long, print binary, bands array<long>")
 
 
-def _wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs (id, text) whose id is among ``ids``, and perhaps a few others."""
-    return marked(docs, ids, "id", "tessera_wanted").where("tessera_wanted").select("id", "text")
+def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(id, shingles): the sorted distinct shingle hashes, as bytes, of ids among ``ids`` and perhaps a few others."""
+    rows = marked(docs, id_map(ids), "id", "tessera_wanted").where("tessera_wanted").select("id", "text")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own, texts in text_parts(batch, 1, SLICE_CHARS):
+                sets = pa.array([x.astype("<u8").tobytes() for x in shingle_sets(texts, size)], pa.binary())
+                yield pa.RecordBatch.from_arrays([own.column(0), sets], names=["id", "shingles"])
+
+    return rows.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, shingles binary")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets have a similarity of at least percent/100.
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have a similarity of at least percent/100."""
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+    Pairs lie in runs of one ``a``, whose set comes first and once, so that a task holds one set of a
+    hub and a batch of its partners.  A hub of many pairs is spread over several runs.
+    """
+    degree = pairs.groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    runs = F.ceil(F.col("n") / HOT_ROWS).cast("int")
+    degree = written(degree.select("id", runs.alias("runs")), "degree")
+    many = id_map(degree.where("runs > 1").select("id"))
+    hubs = degree.withColumnRenamed("id", "a")
+    partners = salted_join(pairs.select("a", "b"), hubs, "a", F.col("b"), many)
+    partners = partners.select("a", F.pmod(F.xxhash64("b", F.lit(73)), F.col("runs")).cast("int").alias("run"), "b")
+    partners = partners.join(sets.select(F.col("id").alias("b"), "shingles"), "b").select("a", "run", "b", "shingles")
+    heads = sets.join(degree, "id").select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"), F.lit(None).cast(pairs.schema["b"].dataType).alias("b"), "shingles")
+    rows = heads.unionByName(partners).repartition("a", "run").sortWithinPartitions("a", "run", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
+        hub, own = None, None
         for batch in batches:
-            for own, others in text_parts(batch, 3, SLICE_CHARS):
-                first: dict = {}
-                keep = np.zeros(own.num_rows, bool)
-                sets = shingle_sets(others, size)
-                for i, (a, other) in enumerate(zip(own.column(0).to_pylist(), sets, strict=True)):
-                    if a not in first:
-                        first = {a: shingle_sets([own.column(2)[i].as_py()], size)[0]}
-                    both = len(np.intersect1d(first[a], other, assume_unique=True))
-                    keep[i] = 100 * both >= percent * (len(first[a]) + len(other) - both)
-                yield own.select(["a", "b"]).filter(pa.array(keep))
-
-    joined = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(run, pairs.select("a", "b").schema)
-
-
-def _labelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+            keep = np.zeros(batch.num_rows, bool)
+            shingles = batch.column(3)
+            for i, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                other = np.frombuffer(shingles[i].as_buffer(), "<u8")
+                if b is None:
+                    hub, own = a, other.copy()
+                elif hub == a:
+                    keep[i] = _similar(own, other, percent)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["a", "b"]).filter(pa.array(keep))
+
+    return rows.mapInArrow(run, pairs.select("a", "b").schema)
+
+
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have 100 * common >= percent * union; small sets cannot hold a large one."""
+    n = len(x) + len(y)
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (n - both)
+
+
+def _labelled(buckets: DataFrame, labels: DataFrame, hot: DataFrame) -> DataFrame:
     """Open buckets: those whose ids lie in more than one component, with each id's component."""
     own = labels.select(F.col("node").alias("id"), "component")
-    rows = buckets.join(own, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    rows = written(buckets.join(own, "id", "left").withColumn("component", F.coalesce("component", "id")), "labelled")
     open_ = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
-    return rows.join(open_.select("bucket", "size"), "bucket")
+    return salted_join(rows, open_.select("bucket", "size"), "bucket", F.col("id"), hot)
 
 
 def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -160,39 +189,47 @@ def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").distinct()
 
 
-def _crowds(rows: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _crowds(rows: DataFrame, sets: DataFrame, percent: int, hot: DataFrame) -> DataFrame:
     """Edges (a, b) of a spanning forest of all links across components in large open buckets.
 
     Ids that such buckets tie together are a crowd.  Those outside its largest component are few
     beside it; blocks of them meet blocks of the whole crowd, and a pair of blocks counts common
-    shingles as a product of matrices.  Only edges leave it, at most one for each id.
+    shingles as a product of matrices.  Blocks are bounded by the shingles in them.  Only edges leave
+    it, at most one for each id.
     """
     hubs = rows.groupBy("bucket").agg(F.min("id").alias("hub"))
-    ids = rows.join(hubs, "bucket").select("id", "component", "hub")
+    ids = salted_join(rows, hubs, "bucket", F.col("id"), hot).select("id", "component", "hub")
     crowd = components(ids.select(F.col("hub").alias("a"), F.col("id").alias("b")))
-    member = rows.select("id", "component").distinct().join(crowd.select(F.col("node").alias("id"), F.col("component").alias("crowd")), "id")
+    member = rows.select("id", "component", "n").distinct().join(crowd.select(F.col("node").alias("id"), F.col("component").alias("crowd")), "id")
     member = written(member, "crowds")
-    sizes = member.groupBy("crowd", "component").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.groupBy("crowd").agg(F.sum("n").alias("all"), F.max_by("component", F.struct("n", (-F.col("component")).alias("first"))).alias("main"), F.max("n").alias("most"))
-    blocks = sizes.select("crowd", "main", F.ceil((F.col("all") - F.col("most")) / BLOCK_FEW).cast("int").alias("few"), F.ceil(F.col("all") / BLOCK_ALL).cast("int").alias("whole"))
-    member = member.join(blocks, "crowd")
+    sizes = member.groupBy("crowd", "component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("shingles"))
+    most = F.max(F.struct("k", (-F.col("component")).alias("first"), "shingles")).alias("most")
+    sizes = sizes.groupBy("crowd").agg(F.sum("k").alias("k"), F.sum("shingles").alias("shingles"), most)
+    blocks = lambda k, shingles, rows, size: F.greatest(F.ceil(k / rows), F.ceil(shingles / size)).cast("int")
+    sizes = sizes.select(
+        "crowd", (-F.col("most.first")).alias("main"),
+        blocks(F.col("k") - F.col("most.k"), F.col("shingles") - F.col("most.shingles"), ROWS_FEW, BLOCK_FEW).alias("few"),
+        blocks(F.col("k"), F.col("shingles"), ROWS_ALL, BLOCK_ALL).alias("whole"),
+    )
+    crowded = id_map(member.groupBy(F.col("crowd").alias("id")).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > HOT_ROWS).select("id"))
+    member = salted_join(member.select("crowd", "id", "component"), sizes, "crowd", F.col("id"), crowded)
     own = lambda column, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(column)).cast("int")
     every = lambda column: F.explode(F.sequence(F.lit(0), F.col(column) - 1))
     few = member.where("component <> main").select("crowd", "id", "component", F.lit(True).alias("few"), own("few", 61).alias("i"), every("whole").alias("j"))
     whole = member.select("crowd", "id", "component", F.lit(False).alias("few"), every("few").alias("i"), own("whole", 67).alias("j"))
-    parts = few.unionByName(whole.select("crowd", "id", "component", "few", "i", "j")).join(texts, "id")
+    parts = few.unionByName(whole.select("crowd", "id", "component", "few", "i", "j")).join(sets, "id")
     kind = rows.schema["id"].dataType.simpleString()
 
     def compare(group: pa.Table) -> pa.Table:
         side = np.array(group["few"].to_pylist())
         ids, component = group["id"].to_numpy(), group["component"].to_numpy()
-        sets = shingle_sets(group["text"].to_pylist(), size)
+        own = [np.frombuffer(x.as_buffer(), "<u8") for x in group["shingles"]]
         left, right = np.flatnonzero(side), np.flatnonzero(~side)
         none = pa.table({"a": pa.array([], group["id"].type), "b": pa.array([], group["id"].type)})
         if not len(left) or not len(right):
             return none
-        both = common_counts([sets[i] for i in left], [sets[i] for i in right])
-        n = np.array([len(s) for s in sets])
+        both = common_counts([own[i] for i in left], [own[i] for i in right])
+        n = np.array([len(x) for x in own])
         linked = 100 * both >= percent * (n[left][:, None] + n[right][None, :] - both)
         linked &= component[left][:, None] != component[right][None, :]
         x, y = np.nonzero(linked)
@@ -206,7 +243,7 @@ def _crowds(rows: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     return written(parts.groupBy("crowd", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}"), "crowds")
 
 
-def common_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+def common_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     """Sizes of the intersections of all left with all right sets (sorted, distinct)."""
     known = np.unique(np.concatenate(left))
     out = np.zeros((len(left), len(right)), np.int64)
@@ -230,11 +267,9 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int
 
 
 def _stars(buckets: DataFrame, percent: int) -> DataFrame:
-    """Each bucket's least id with every other: (a, b, shared), where the sizes allow a link."""
-    hubs = buckets.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("hub"))
-    pairs = buckets.join(hubs, "bucket").where(F.col("id") != F.col("hub.id"))
-    pairs = pairs.where(100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n"))
-    return pairs.groupBy(F.col("hub.id").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    """Each bucket's least id, its hub, with every other: (a, b, shared), where the sizes allow a link."""
+    pairs = buckets.where("id <> hub and 100 * least(n, hub_n) >= " + str(percent) + " * greatest(n, hub_n)")
+    return pairs.groupBy(F.col("hub").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -250,19 +285,21 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     known = sketch.where("print is not null and id is not null")
     classes = written(known.groupBy("print").agg(F.min("id").alias("class")), "classes")
     first = sketch.join(classes.select(F.col("class").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    banded = first.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    buckets = written(banded.join(shared.select("bucket"), "bucket"), "buckets")
+    banded = written(first.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")), "bands")
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("id", "n")).alias("h")).where("k > 1")
+    shared = written(shared.select("bucket", "k", F.col("h.id").alias("hub"), F.col("h.n").alias("hub_n")), "shared")
+    hot = id_map(shared.where(F.col("k") > HOT_ROWS).select(F.col("bucket").alias("id")))
+    buckets = written(salted_join(banded, shared.drop("k"), "bucket", F.col("id"), hot), "buckets")
     stars = written(_stars(buckets, percent), "stars")
-    texts = written(_wanted(given, buckets.select("id").distinct()), "texts")
+    sets = written(_sets(given, buckets.select("id").distinct(), shingle), "sets")
 
     best = stars.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
     best = written(best, "best")
-    links = written(_confirmed(best, texts, shingle, percent), "links")
-    rows = written(_labelled(buckets, components(links)), "open")
+    links = written(_confirmed(best, sets, percent), "links")
+    rows = written(_labelled(buckets.select("bucket", "id", "n"), components(links), hot), "open")
     cross = _cross_pairs(rows.where(F.col("size") <= SMALL_BUCKET), percent).join(best, ["a", "b"], "left_anti")
-    links = links.unionByName(written(_confirmed(written(cross, "cross"), texts, shingle, percent), "links"))
-    links = links.unionByName(_crowds(rows.where(F.col("size") > SMALL_BUCKET), texts, shingle, percent))
+    links = links.unionByName(written(_confirmed(written(cross, "cross"), sets, percent), "links"))
+    links = links.unionByName(_crowds(rows.where(F.col("size") > SMALL_BUCKET), sets, percent, hot))
     labels = components(links)
     root = classes.join(labels.select(F.col("node").alias("class"), "component"), "class", "left").select("print", F.coalesce("component", "class").alias("component_id"))
     out = sketch.select("id", "n_shingles", "print").join(root, "print", "left")
@@ -279,7 +316,7 @@ def without_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_i
     found = near_duplicates(docs, text, id_col, shingle, percent)
     gone = written(found.where("not kept").select(F.col(id_col).alias("id")), "gone")
     again = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
-    rows = marked(docs, gone.union(again), id_col, "tessera_maybe")
+    rows = marked(docs, id_map(gone.union(again)), id_col, "tessera_maybe")
     maybe = rows.where("tessera_maybe").drop("tessera_maybe")
     maybe = maybe.join(gone.distinct(), maybe[id_col] == gone["id"], "left_anti").dropDuplicates([id_col])
     return rows.where("not tessera_maybe").drop("tessera_maybe").unionByName(maybe)
