@@ -79,10 +79,14 @@ MAP_BITS = 1 << 24
 
 
 def id_map(ids: DataFrame) -> DataFrame:
-    """A written bit map of the hashes of ``ids`` (id), at most MAP_BITS bits whatever their number."""
+    """A written bit map of the hashes of ``ids`` (id), at most MAP_BITS bits whatever their number.
+
+    A row that no id meets keeps the map from being empty, so that plans do not depend on the data.
+    """
     own = F.pmod(F.xxhash64("id"), F.lit(MAP_BITS))
     bits = ids.where("id is not null").select(own.alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("tessera_w"))
-    return written(bits.agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("tessera_v")), "map")
+    bits = bits.agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("tessera_v"))
+    return written(bits.union(ids.sparkSession.range(1).select(F.lit(-1), F.lit(0).cast("long"))), "map")
 
 
 def marked(df: DataFrame, bits: DataFrame, id_col: str, output: str) -> DataFrame:

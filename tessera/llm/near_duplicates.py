@@ -34,6 +34,8 @@ ROWS = 6
 SLICE_CHARS = 500_000
 #: Open buckets up to this size compare all pairs across components; larger ones form crowds.
 SMALL_BUCKET = 24
+#: Pairs of one hub that are compared in a row; a hub of more has several runs.
+RUN_ROWS = 128
 #: Shingles of the two sides of a comparison in a crowd, and the most rows of each.
 BLOCK_FEW, BLOCK_ALL = 100_000, 400_000
 ROWS_FEW, ROWS_ALL = 256, 1024
@@ -137,7 +139,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     hub and a batch of its partners.  A hub of many pairs is spread over several runs.
     """
     degree = pairs.groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    runs = F.ceil(F.col("n") / HOT_ROWS).cast("int")
+    runs = F.ceil(F.col("n") / RUN_ROWS).cast("int")
     degree = written(degree.select("id", runs.alias("runs")), "degree")
     many = id_map(degree.where("runs > 1").select("id"))
     hubs = degree.withColumnRenamed("id", "a")
