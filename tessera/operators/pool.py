@@ -59,8 +59,9 @@ def drawn(seed: Column | str, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
-def shuffled(pool: DataFrame, draws: int, seed: str = "r") -> DataFrame:
-    """(draw, query_idx, doc_idx, rank): ``draws`` random orders of every pool."""
-    rows = pool.select("query_idx", "doc_idx", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    order = Window.partitionBy("draw", "query_idx").orderBy(drawn(seed, F.col("draw"), F.col("query_idx"), F.col("doc_idx")), "doc_idx")
-    return rows.withColumn("rank", F.row_number().over(order))
+def shuffled(pool: DataFrame, draws: int, seed: str = "r", score: Column | None = None) -> DataFrame:
+    """(draw, query_idx, doc_idx, rank): ``draws`` random orders of every pool, by falling ``score`` first."""
+    first = F.round(score, 9) if score is not None else F.lit(0.0)
+    rows = pool.select("query_idx", "doc_idx", first.alias("score")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    order = Window.partitionBy("draw", "query_idx").orderBy(F.desc("score"), drawn(seed, F.col("draw"), F.col("query_idx"), F.col("doc_idx")), "doc_idx")
+    return rows.withColumn("rank", F.row_number().over(order)).drop("score")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +11,10 @@ from pyspark.sql import functions as F
 
 from .. import params
 from .metrics import per_query
+from .stages import cut
+
+#: Rows of a part of the training data, and fits that run at the same time.
+ROWS_PER_PART, AT_ONCE = 50_000, 8
 
 
 def dominance_pairs(items: DataFrame, limit: int | None = params.PAIRS_PER_QUERY, seed: str = "p") -> DataFrame:
@@ -26,10 +32,18 @@ def dominance_pairs(items: DataFrame, limit: int | None = params.PAIRS_PER_QUERY
     return pairs.select("query_idx", "better", "worse", F.zip_with("xa", "xb", lambda x, y: x - y).alias("diff"))
 
 
+def mirrored(pairs: DataFrame) -> DataFrame:
+    """The pairs as labelled vectors, each in both directions, in parts of about ROWS_PER_PART."""
+    own = [c for c in pairs.columns if c == "fold"]
+    both = pairs.select(array_to_vector("diff").alias("features"), F.lit(1.0).alias("label"), *own)
+    both = both.union(pairs.select(array_to_vector(F.transform("diff", lambda x: -x)).alias("features"), F.lit(0.0).alias("label"), *own))
+    both = cut(both)
+    return both.repartition(max(1, both.count() // ROWS_PER_PART)).cache()
+
+
 def fit(pairs: DataFrame, penalty: float) -> list[float]:
-    """Weights that minimise the mean logistic loss of the pairs plus penalty * |w|^2, without intercept."""
-    both = pairs.select(array_to_vector("diff").alias("features"), F.lit(1.0).alias("label"))
-    both = both.union(pairs.select(array_to_vector(F.transform("diff", lambda x: -x)).alias("features"), F.lit(0.0).alias("label")))
+    """Weights that minimise the mean logistic loss of pairs (``mirrored`` or not yet) plus penalty * |w|^2, without intercept."""
+    both = pairs if "label" in pairs.columns else mirrored(pairs)
     model = LogisticRegression(fitIntercept=False, standardization=False, elasticNetParam=0.0, regParam=2 * penalty, maxIter=200, tol=1e-10).fit(both)
     return [float(w) for w in model.coefficients]
 
@@ -50,33 +64,42 @@ def fold_of(query: Column, folds: int) -> Column:
 
 
 def choose_penalty(items: DataFrame, qrels: DataFrame, folds: int = 5, grid: list[float] | None = None) -> tuple[float, dict[float, float]]:
-    """The penalty of best cross-validated NDCG; the smaller of those that tie."""
+    """The penalty of best cross-validated NDCG; the smaller of those that tie.
+
+    Fits of different folds and penalties do not depend on each other and run at the same time.
+    """
     grid = grid or params.PENALTIES
-    pairs = dominance_pairs(items).withColumn("fold", fold_of(F.col("query_idx"), folds)).cache()
+    both = mirrored(dominance_pairs(items).withColumn("fold", fold_of(F.col("query_idx"), folds)))
     own = items.withColumn("fold", fold_of(F.col("query_idx"), folds)).cache()
-    totals = dict.fromkeys(grid, 0.0)
-    for fold in range(folds):
-        train, test = pairs.where(F.col("fold") != fold), own.where(F.col("fold") == fold)
-        if train.isEmpty() or test.isEmpty():
-            continue
-        for penalty in grid:
-            totals[penalty] += _ndcg(scored(test, fit(train, penalty)), qrels)
-    pairs.unpersist()
+    ready = [k for k in range(folds) if not both.where(F.col("fold") != k).isEmpty() and not own.where(F.col("fold") == k).isEmpty()]
+
+    def tried(task: tuple[int, float]) -> float:
+        fold, penalty = task
+        return _ndcg(scored(own.where(F.col("fold") == fold), fit(both.where(F.col("fold") != fold), penalty)), qrels)
+
+    tasks = [(fold, penalty) for fold in ready for penalty in grid]
+    with ThreadPool(AT_ONCE) as pool:
+        found = pool.map(tried, tasks)
+    totals = {g: sum(x for (_, p), x in zip(tasks, found, strict=True) if p == g) for g in grid}
+    both.unpersist()
     own.unpersist()
     return max(sorted(grid), key=lambda g: totals[g]), {g: t / folds for g, t in totals.items()}
 
 
 def cross_fit(items: DataFrame, qrels: DataFrame, folds: int = 5, grid: list[float] | None = None) -> tuple[DataFrame, list[float]]:
     """Held-out scores of every document, each fold's penalty chosen without it; and the penalties."""
+    qrels = cut(qrels)
     own = items.withColumn("fold", fold_of(F.col("query_idx"), folds)).cache()
     out, chosen = None, []
     for fold in range(folds):
         train, test = own.where(F.col("fold") != fold), own.where(F.col("fold") == fold)
-        pairs = dominance_pairs(train)
         if test.isEmpty():
             continue
-        penalty = choose_penalty(train.drop("fold"), qrels, folds, grid)[0] if not pairs.isEmpty() else (grid or params.PENALTIES)[0]
-        weights = fit(pairs, penalty) if not pairs.isEmpty() else [0.0] * 30
+        pairs = mirrored(dominance_pairs(train))
+        some = not pairs.isEmpty()
+        penalty = choose_penalty(train.drop("fold"), qrels, folds, grid)[0] if some else (grid or params.PENALTIES)[0]
+        weights = fit(pairs, penalty) if some else [0.0] * 30
+        pairs.unpersist()
         chosen.append(penalty)
         part = scored(test, weights).drop("fold")
         out = part if out is None else out.unionByName(part)

@@ -8,14 +8,19 @@ shuffle, and equal documents tie exactly.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import params
 from ..functions import scores as S
 from ..functions import text as T
+from .stages import cut, spread
 
 #: Query tables up to so many rows may be broadcast.
 BROADCAST_QUERIES = 20_000
@@ -37,14 +42,19 @@ class Index:
     corpus: DataFrame
 
 
-def build_index(docs: DataFrame) -> Index:
-    """From documents (doc_idx, title, abstract); empty documents count in n and have no postings."""
-    tokens = docs.select("doc_idx", T.tokens(T.doc_text(F.col("title"), F.col("abstract"))).alias("tokens"))
-    lengths = tokens.select("doc_idx", F.size("tokens").alias("dl"))
-    postings = tokens.select("doc_idx", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("doc_idx", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    corpus = lengths.agg(F.count(F.lit(1)).alias("n"), (F.sum("dl") / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("avgdl"))
-    return Index(docs, postings, terms, corpus)
+def build_index(docs: DataFrame, texts: DataFrame | None = None) -> Index:
+    """From documents (doc_idx, title, abstract); empty documents count in n and have no postings.
+
+    Texts are tokenised once: postings are kept, and terms and lengths follow from them.  ``texts``
+    holds the same documents where ``docs`` has columns that cost more to make.
+    """
+    given = spread((texts if texts is not None else docs).select("doc_idx", "title", "abstract"))
+    tokens = given.select("doc_idx", T.tokens(T.doc_text(F.col("title"), F.col("abstract"))).alias("tokens"))
+    terms = tokens.select("doc_idx", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    postings = cut(terms.groupBy("doc_idx", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf")))
+    corpus = given.agg(F.count("doc_idx").alias("n")).crossJoin(postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("length")))
+    corpus = corpus.select("n", (F.col("length") / F.greatest(F.col("n"), F.lit(1))).alias("avgdl"))
+    return Index(docs, postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), corpus)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -93,20 +103,62 @@ def bm25_standard(scores: DataFrame, corpus: DataFrame) -> DataFrame:
     return out.select("query_idx", (F.col("s") / n).alias("mean"), F.when(variance > 1e-18, F.sqrt(variance)).otherwise(F.lit(0.0)).alias("sd"))
 
 
+def cosines(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_idx, doc_idx, cosine) of every document and query; 0 where a vector is missing or zero."""
+    return products(docs, queries, unit=True).withColumnRenamed("product", "cosine")
+
+
+def products(docs: DataFrame, queries: DataFrame, unit: bool) -> DataFrame:
+    """(query_idx, doc_idx, product) of every document and query, of vectors of length 1 if ``unit``.
+
+    Up to BROADCAST_QUERIES queries go to the documents as one matrix and batches of documents meet
+    it as products of matrices; more queries come in as many parts.
+    """
+    asked = queries.select("query_idx", "embedding")
+    parts = -(-asked.count() // BROADCAST_QUERIES)
+    held = spread(docs.select("doc_idx", "embedding"))
+    if parts > 1:
+        asked = cut(asked)
+        every = [_met(held, asked.where(F.pmod(F.xxhash64("query_idx"), F.lit(2 * parts)) == k), unit) for k in range(2 * parts)]
+        return reduce(DataFrame.unionByName, every)
+    return _met(held, asked, unit)
+
+
+def _met(held: DataFrame, queries: DataFrame, unit: bool) -> DataFrame:
+    some = queries.toArrow()
+    given = [v for v in some["embedding"].to_pylist() if v]
+    d = len(given[0]) if given else 1
+    asked, ids = _rows(some["embedding"], d, unit), some["query_idx"].combine_chunks()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 256):
+                own = batch.slice(begin, 256)
+                product = _rows(own.column(1), d, unit) @ asked.T
+                document, query = (np.arange(x) for x in product.shape)
+                columns = [ids.take(pa.array(np.tile(query, len(document)))), own.column(0).take(pa.array(np.repeat(document, len(query)))), pa.array(product.ravel())]
+                yield pa.RecordBatch.from_arrays(columns, names=["query_idx", "doc_idx", "product"])
+
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    return held.mapInArrow(run, f"query_idx {kind(queries, 'query_idx')}, doc_idx {kind(held, 'doc_idx')}, product double")
+
+
+def _rows(vectors, d: int, unit: bool) -> np.ndarray:
+    """A matrix of the vectors; of zeros where one is missing, holds nulls or has another length."""
+    x = np.array([v if v is not None and len(v) == d and None not in v else [0.0] * d for v in vectors.to_pylist()], np.float64).reshape(-1, d)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) if unit else x
+
+
 def hybrid_scores(index: Index, queries: DataFrame, beta: float = params.BETA) -> DataFrame:
     """(query_idx, doc_idx, bm25, z, cosine, hybrid) for every query and document.
 
-    Queries (query_idx, text, embedding) are sent to the documents' partitions where they are few;
-    norms are taken once for each vector.  Missing vectors have cosine 0.
+    Queries have query_idx, text and embedding.  Missing vectors have cosine 0.
     """
-    scores = bm25_scores(index, queries)
-    asked = queries.select("query_idx", F.col("embedding").alias("q_embedding"), S.norm(F.col("embedding")).alias("q_norm"))
-    held = index.docs.select("doc_idx", "embedding", S.norm(F.col("embedding")).alias("d_norm"))
-    pairs = held.crossJoin(small(asked)).join(scores, ["query_idx", "doc_idx"], "left").join(bm25_standard(scores, index.corpus), "query_idx", "left")
+    scores = cut(bm25_scores(index, queries))
+    pairs = cosines(index.docs, queries).join(scores, ["query_idx", "doc_idx"], "left").join(small(bm25_standard(scores, index.corpus)), "query_idx", "left")
     bm25 = F.coalesce("bm25", F.lit(0.0))
     z = F.when(F.coalesce("sd", F.lit(0.0)) > 0, (bm25 - F.col("mean")) / F.col("sd")).otherwise(F.lit(0.0))
-    cosine = F.coalesce(S.cosine(F.col("embedding"), F.col("q_embedding"), F.col("d_norm"), F.col("q_norm")), F.lit(0.0))
-    out = pairs.select("query_idx", "doc_idx", bm25.alias("bm25"), z.alias("z"), cosine.alias("cosine"))
+    out = pairs.select("query_idx", "doc_idx", bm25.alias("bm25"), z.alias("z"), "cosine")
     return out.withColumn("hybrid", beta * F.col("z") + (1 - beta) * F.col("cosine"))
 
 

@@ -1,18 +1,41 @@
-"""Cuts long plans: what several arms read is computed once and written to the shared folder."""
+"""Cuts long plans and spreads small inputs: what several arms read is computed once, by all cores."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The frame from a reliable checkpoint, so that later plans are short and survive lost executors.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir.
 
-    The folder is the session's spark.checkpoint.dir; a temporary one only where none is set (tests).
+    A temporary one serves only where none is set and driver and tasks are one process; on a cluster
+    that is an error, because executors could not read each other's local folders.
     """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The frame from a reliable checkpoint, so that later plans are short and survive lost executors."""
     spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    folder = shared_folder(spark)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores where the scan has no more splits than cores; larger inputs stay as they are.
+
+    A Parquet file is split by row groups, so a small table may come in one part whatever its bytes.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() <= cores else df

@@ -125,6 +125,39 @@ def decide(t: dict[str, Column]) -> Column:
     )
 
 
+def analysis(diffs: DataFrame, manipulated: DataFrame, draws: int = params.BOOTSTRAP_DRAWS, flips: int = params.SIGN_FLIPS) -> DataFrame:
+    """The decision over paired comparisons (name, query_idx, diff), one row.
+
+    All comparisons share their resamples and sign flips.  M-B0 is the primary one; M-F, M-U, M-V and
+    M-Rbar are adjusted together; Nbar-B0 and Pbar-M are the controls.
+    """
+    names = [r[0] for r in diffs.select("name").distinct().orderBy("name").collect()]  # the comparisons' names
+    wide = diffs.groupBy("query_idx").pivot("name", names).agg(F.first("diff"))
+    column = {n: F.col(f"`{n}`") for n in names}
+    rows = wide.withColumn("place", F.row_number().over(Window.orderBy("query_idx")) - 1)
+    n = rows.agg(F.count(F.lit(1)).alias("n"))
+    wanted = rows.select("place").crossJoin(F.broadcast(n)).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    wanted = wanted.select("draw", F.floor(drawn("b", F.col("draw"), F.col("place")) * F.col("n")).cast("int").alias("place"))
+    means = wanted.join(rows, "place").groupBy("draw").agg(*[F.avg(c).alias(k) for k, c in column.items()])
+    low, high = ({k: F.percentile(c, q) for k, c in column.items()} for q in (0.025, 0.975))
+    bounds = means.agg(*[low[k].alias(f"{k}_lo") for k in names], *[high[k].alias(f"{k}_hi") for k in names])
+    seen = wide.agg(*[F.avg(c).alias(f"{k}_mean") for k, c in column.items()])
+    flipped = wide.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(flips - 1))))
+    sign = F.when(drawn("s", F.col("draw"), F.col("query_idx")) < 0.5, F.lit(-1.0)).otherwise(F.lit(1.0))
+    null = flipped.groupBy("draw").agg(*[F.abs(F.avg(c * sign)).alias(k) for k, c in column.items()]).crossJoin(F.broadcast(seen))
+    reached = lambda k: (column[k] >= F.abs(F.col(f"`{k}_mean`")) - 1e-15).cast("long")
+    p = null.agg(*[((1 + F.sum(reached(k))) / (flips + 1.0)).alias(f"{k}_p") for k in names])
+    family = [k for k in names if k in ("M-F", "M-U", "M-V", "M-Rbar")]
+    tests = p.select(F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.col(f"`{k}_p`").alias("p")) for k in family])).alias("t")).select("t.*")
+    adjusted = holm(tests).groupBy().pivot("name", family).agg(F.first("p_holm"))
+    row = bounds.crossJoin(seen).crossJoin(adjusted.select(*[F.col(f"`{k}`").alias(f"{k}_holm") for k in family])).crossJoin(manipulated)
+    of = lambda k, what: F.col(f"`{k}_{what}`")
+    t = {"positive_lo": of("Pbar-M", "lo"), "primary_mean": of("M-B0", "mean"), "primary_lo": of("M-B0", "lo"), "primary_hi": of("M-B0", "hi"), "manipulated": F.col("manipulated"), "noise_hi": of("Nbar-B0", "hi")}
+    t |= {f"{k.lower()}_mean": of(f"M-{k}", "mean") for k in "FUV"} | {f"{k.lower()}_p": of(f"M-{k}", "holm") for k in "FUV"}
+    mapping = (of("M-Rbar", "holm") < 0.05) & (of("M-Rbar", "mean") > 0)
+    return row.select(decide(t).alias("decision"), mapping.alias("mapping_adds"), *[F.round(c, 6).alias(k) if k != "manipulated" else c.alias(k) for k, c in t.items()])
+
+
 def same_lists(rankings: DataFrame, one: str, other: str, k: int = params.CUTOFF) -> DataFrame:
     """(query_idx, same): whether two arms have the same ordered first k."""
     lists = rankings.where((F.col("rank") <= k) & F.col("arm").isin(one, other)).groupBy("query_idx", "arm")

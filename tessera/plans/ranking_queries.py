@@ -23,7 +23,7 @@ def as_of():
 
 
 def _index(spark: SparkSession, sf: str) -> R.Index:
-    return R.build_index(V.documents(spark, sf))
+    return R.build_index(V.documents(spark, sf), V.texts(spark, sf))
 
 
 @query("select doc_idx, term, cast(tf as int) as tf from postings", "postings")
@@ -119,7 +119,7 @@ def top_02_hybrid_search(spark, sf):
 def _pool(spark, sf) -> DataFrame:
     """The hybrid pool with every factor and grade; its ranks are pool_rank."""
     docs, asked = V.documents(spark, sf), V.asked(spark, sf)
-    factors = R.relevance_factors(R.hybrid_search(R.build_index(docs), asked), docs, asked, as_of())
+    factors = R.relevance_factors(R.hybrid_search(R.build_index(docs, V.texts(spark, sf)), asked), docs, asked, as_of())
     graded = factors.join(V.judged(spark, sf), ["query_idx", "doc_idx"], "left").withColumn("grade", F.coalesce("grade", F.lit(0.0)))
     return cut(graded.withColumnRenamed("rank", "pool_rank"))
 
@@ -364,12 +364,17 @@ def scl_26_gated_sum(spark, sf):
     return rows.select("query_idx", "doc_idx", F.round(P.gated(rows, None), 5).alias("gated"))
 
 
-@query("select query_idx, doc_idx, 30 as n, round(" + " + ".join(f"z_{m}" for m in _MODS) + ", 4) * 2 as total from zs", "pool", extra=_POOL_EXTRA)
+_TYPE_PLACE = "case question_type " + " ".join(f"when '{t}' then {i}" for i, t in enumerate(params.GATES)) + " end"
+_BY_PLACE = " + ".join(f"z_{m} * ({i + 1} + {i + 7} + {len(_MODS)} * ({_TYPE_PLACE}))" for i, m in enumerate(_MODS))
+
+
+@query(f"select query_idx, doc_idx, {len(_MODS) * (1 + len(params.GATES))} as n, round({_BY_PLACE}, 4) as by_place from zs", "pool", extra=_POOL_EXTRA)
 def scl_27_ranker_features(spark, sf):
+    """The features, each times its place from 1: a feature in a wrong place changes the sum."""
     rows = P.normalised(_modules(spark, sf))
     x = P.features(rows)
-    half = F.aggregate(F.slice(x, 1, 6), F.lit(0.0), lambda a, b: a + b)
-    return rows.select("query_idx", "doc_idx", F.size(x).alias("n"), (F.round(half, 4) * 2).alias("total"))
+    placed = F.aggregate(F.transform(x, lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, b: a + b)
+    return rows.select("query_idx", "doc_idx", F.size(x).alias("n"), F.round(placed, 4).alias("by_place"))
 
 
 _ALL_ON = {m: "1" for m in _MODS}
@@ -388,7 +393,10 @@ _COMPOSED_SQL = " union all ".join(f"select '{n}' as arm, query_idx, doc_idx, ro
 
 
 def _composed(spark, sf) -> DataFrame:
-    rows = cut(P.normalised(_modules(spark, sf)))
+    return _composed_arms(spark, cut(P.normalised(_modules(spark, sf))))
+
+
+def _composed_arms(spark, rows: DataFrame) -> DataFrame:
     own = lambda c=None: rows.join(F.broadcast(P.gate_table(spark, c)), "question_type")
     total = lambda off=("applicability",): reduce(lambda a, b: a + b, [F.col(f"z_{m}") for m in _MODS if m not in off])
     arms = [P.arm(rows, "B0", -F.col("pool_rank")), P.arm(own(), "M", P.gated(rows, None)), P.arm(rows, "U", total()), P.arm(own(), "V", P.gated(rows, None, ("applicability", "evidence")))]
@@ -493,7 +501,15 @@ def sta_07_encoder_driver_control(spark, sf):
     return rows.select("lo", "hi", ST.encoder_verdict(lo, hi).alias("encoder"), ST.driver_verdict(hi, lo).alias("driver"), ST.control_ok(lo).alias("control_ok"))
 
 
-@query("select count(*) as differing from ((select query_idx, doc_idx, rank from bm25_top) except all (select query_idx, doc_idx, rank from bm25_top))", "bm25_top")
+@query(
+    """select count(*) as differing from (
+  (select query_idx, doc_idx, rank from bm25_top except all select query_idx, doc_idx, rank from padded) union all (select query_idx, doc_idx, rank from padded except all select query_idx, doc_idx, rank from bm25_top))""",
+    "bm25_top", "bm25", "asked", "docs",
+    extra={
+        "fillers": "select query_idx, doc_idx, 0.0 as bm25 from asked cross join (select doc_idx from docs order by doc_idx limit 200) anti join bm25 using (query_idx, doc_idx)",
+        "padded": "select * from (select query_idx, doc_idx, row_number() over (partition by query_idx order by round(bm25, 9) desc, doc_idx) as rank from (select query_idx, doc_idx, bm25 from bm25 union all select * from fillers)) where rank <= 100",
+    },
+)
 def sta_11_fidelity(spark, sf):
     """Two ways to the same top 100: padded search, and a window over the dense scores."""
     i, asked = _index(spark, sf), V.asked(spark, sf)
@@ -518,13 +534,6 @@ def snk_03_run_lines(spark, sf):
     return run_lines(rows).select(F.col("value").alias("line"))
 
 
-@query()
-def arm_08_random_rerank(spark, sf):
-    """Mean NDCG of 200 md5-drawn orders of every pool."""
-    orders = P.shuffled(_pool(spark, sf), params.RANDOM_ORDERS).withColumn("arm", F.concat(F.lit("random"), "draw"))
-    return M.per_query(orders.select("arm", "query_idx", "doc_idx", "rank"), V.judged(spark, sf)).groupBy("query_idx").agg(r6(F.avg("ndcg")).alias("ndcg"))
-
-
 @query()
 def arm_34_learned_ranker(spark, sf):
     """Held-out scores of the pairwise ranker, five folds and all penalties."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,13 +12,14 @@ from ..functions import scores as S
 from ..operators import pool as P
 from ..operators import search as R
 from ..operators import stats as ST
+from ..operators.stages import shared_folder
 from ..sources import articles as A
 from . import views as V
 from .registry import query, r6
 
 
 def _top(spark, sf, k=params.POOL_K):
-    return R.bm25_search(R.build_index(V.documents(spark, sf)), V.asked(spark, sf), k)
+    return R.bm25_search(R.build_index(V.documents(spark, sf), V.texts(spark, sf)), V.asked(spark, sf), k)
 
 
 @query("select b.query_idx, b.doc_idx, cast(b.rank as int) as rank, coalesce(j.grade, 0.0) as grade from bm25_top b left join judged j using (query_idx, doc_idx)", "bm25_top", "judged")
@@ -117,6 +120,9 @@ def src_06_trec_judgments(spark, sf):
 
 @query("select 'q' || query_idx as qid, query_idx % 2 as parity, count(*) as judged from judged group by all", "judged")
 def src_04_split_judgments(spark, sf):
-    rows = V.judged(spark, sf).withColumn("parity", F.col("query_idx") % 2)
-    halves = rows.where("parity = 0").unionByName(rows.where("parity = 1"))
-    return halves.groupBy(F.concat(F.lit("q"), "query_idx").alias("qid"), "parity").agg(F.count(F.lit(1)).alias("judged"))
+    """Judgments written as one file for each split and read back with the split's name."""
+    folder = f"{shared_folder(spark)}/tables/judgments-{uuid.uuid4().hex}"
+    rows = V.judged(spark, sf).select(F.concat(F.lit("q"), "query_idx").alias("qid"), F.concat(F.lit("d"), "doc_idx").alias("id"), "grade", F.expr("query_idx % 2").alias("split"))
+    rows.write.partitionBy("split").option("sep", "\t").option("header", True).csv(folder)
+    halves = A.read_qrels(spark, f"{folder}/split=0", "0").unionByName(A.read_qrels(spark, f"{folder}/split=1", "1"))
+    return halves.groupBy("qid", F.col("split").cast("long").alias("parity")).agg(F.count(F.lit(1)).alias("judged"))

@@ -240,10 +240,9 @@ def arm_35_keyword_audit(spark, sf):
     return V.documents(spark, sf).select(F.explode(F.filter(words, lambda w: F.contains(text, w))).alias("keyword")).groupBy("keyword").agg(F.count(F.lit(1)).alias("docs"))
 
 
-@query("select doc_id, round(cast(n_chars as double) / 7, 6) as x, date_diff('day', date '2000-01-01', coalesce(d, date '2000-01-01')) as days from (select doc_id, n_chars, case doc_id % 5 when 0 then date '2003-02-01' when 1 then date '2003-01-01' when 2 then date '2003-02-01' when 3 then date '2003-07-09' else date '2003-04-01' end as d from documents)")
+@query("select doc_id, round(cast(n_chars as double) / 7, 6) as x, date_diff('day', date '2000-01-01', coalesce(d, date '2000-01-01')) as days from (select doc_id, n_chars, case doc_id % 5 when 0 then date '2003-02-01' when 1 then date '2003-01-01' when 2 then date '2003-02-01' when 3 then date '2003-07-09' else date '2003-01-01' end as d from documents)")
 def src_10_dates(spark, sf):
     pick = lambda *v: F.element_at(F.array(*[F.lit(x) for x in v]), F.expr("cast(doc_id % 5 + 1 as int)"))
     date = T.parsed_date(F.lit("2003"), pick("2", "13", "02", "7", "Apr"), pick("30", "9", "", "9", None))
-    date = F.when(F.expr("doc_id % 5 = 4"), F.lit("2003-04-01").cast("date")).otherwise(date)
     return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.round(F.col("n_chars").cast("double") / 7, 6).alias("x"), long(F.datediff(date, F.lit("2000-01-01").cast("date"))).alias("days"))
 

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.search import small
+from ..operators.stages import spread
 
 AS_OF = "2001-01-01 00:00:00"
 TITLES = [
@@ -26,6 +28,12 @@ def _case(values: list[str], key: str) -> str:
     return f"case {key} % {len(values)} " + " ".join(f"when {i} then '{v}'" for i, v in enumerate(values)) + " end"
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_idx, title, abstract: the documents as far as an index needs them."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select(F.col("doc_id").alias("doc_idx"), F.expr(_case(TITLES, "doc_id")).alias("title"), F.coalesce("text", F.lit("")).alias("abstract"))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_idx, id, title, abstract, embedding, publication_date, evidence_level, population, domain."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
@@ -59,11 +67,11 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_idx, doc_idx, grade."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.col("text").alias("passage"))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id").distinct()
-    held = docs.join(F.broadcast(items), F.contains("text", "passage")).select(F.col("item_id").alias("query_idx"), F.col("doc_id").alias("doc_idx"), F.lit(2.0).alias("grade"))
-    alike = labels.join(F.broadcast(items.select("item_id")), F.expr("doc_id % 40 = item_id % 40")).select(F.col("item_id").alias("query_idx"), F.col("doc_id").alias("doc_idx"), F.lit(1.0).alias("grade"))
+    held = docs.join(small(items), F.contains("text", "passage")).select(F.col("item_id").alias("query_idx"), F.col("doc_id").alias("doc_idx"), F.lit(2.0).alias("grade"))
+    alike = labels.join(small(items.select("item_id")), F.expr("doc_id % 40 = item_id % 40")).select(F.col("item_id").alias("query_idx"), F.col("doc_id").alias("doc_idx"), F.lit(1.0).alias("grade"))
     return held.unionByName(alike).groupBy("query_idx", "doc_idx").agg(F.max("grade").alias("grade"))
 
 

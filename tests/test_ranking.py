@@ -119,11 +119,12 @@ def test_cross_fit_on_a_small_fixture(spark):
 
 
 def test_draws_are_those_of_the_reference(spark, monkeypatch):
+    from tessera.plans import arm_queries  # noqa: F401
     from tessera.plans import ranking_queries as Q
     from tessera.plans.registry import QUERIES, SQL
 
     seen = []
-    monkeypatch.setattr(Q.P, "shuffled", lambda pool, draws: seen.append(draws) or P_SHUFFLED(pool, 1))
+    monkeypatch.setattr(Q.P, "shuffled", lambda pool, draws, *more: seen.append(draws) or P_SHUFFLED(pool, 1, *more))
     QUERIES["arm_08_random_rerank"](spark, "/root/testdata/sf0.001")
     assert seen == [200]
     assert "range(10000)" in SQL["sta_01_bootstrap_interval_whole"] and "range(10000)" in SQL["sta_02_sign_flips_whole"] and "/ 10001.0" in SQL["sta_02_sign_flips_whole"]

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import io
+import tarfile
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,4 +57,62 @@ def test_stream_of_articles(spark, tmp_path):
     query.awaitTermination(60)
     rows = spark.read.json(str(tmp_path / "out")).orderBy("_id").collect()
     assert [(r.evidence_level, r.evidence_weight) for r in rows] == [(1, 1.0), (3, 0.65)]
-    assert A.clean_xml(F.lit("x")) is not None
+
+
+def test_clean_xml(spark):
+    cases = {
+        "<!DOCTYPE a>x": "x", '<!DOCTYPE a PUBLIC "p>q" "s">x': "x", '<!DOCTYPE a SYSTEM "s" [<!ENTITY b "]>"> <!-- it\'s ] --> ] >x': "x", "a&nbsp;b&amp;c&#65;&#x41;&lt;": "a b&amp;c&#65;&#x41;&lt;",
+        "&ampx;1 & 2": " 1 & 2", "": "", "<!DOCTYPE a [" + "<!ENTITY e 'v'>" * 3000 + "]>y": "y",
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "v string").select("v", A.clean_xml(F.col("v")).alias("c")).collect()
+    assert {r.v: r.c for r in rows} == cases
+
+
+def _file(meta: str) -> str:
+    return f"<article><front><article-meta><article-id pub-id-type='pmc'>PMC5</article-id>{meta}</article-meta></front></article>"
+
+
+def test_sections_titles_and_dates_of_articles(spark):
+    metas = {
+        "1": "<title-group><article-title>Water H<sub>2</sub>O</article-title></title-group><abstract><sec><title>Aims</title><p>one</p><p>two</p></sec><list><list-item>a</list-item><list-item>b</list-item></list></abstract>",
+        "2": "<related-article><article-title>Other</article-title></related-article><pub-date pub-type='epub'><year>n.d.</year></pub-date><pub-date pub-type='ppub'><year>1999</year><month>Apr</month></pub-date>",
+        "3": "<pub-date date-type='collection'><year>2004</year><month>2</month><day>3</day></pub-date><abstract abstract-type='toc'>x</abstract>",
+    }
+    rows = {r["_id"]: r for r in A.parse_articles(spark.createDataFrame([(f"d/PMC{k}.nxml", _file(m)) for k, m in metas.items()], "path string, text string")).collect()}
+    assert (rows["1"].title, rows["1"].abstract, rows["1"].pub_date) == ("Water H 2 O", "Aims one two a b", None)
+    assert (rows["2"].title, rows["2"].pub_date) == ("", "1999-01-01")
+    assert (rows["3"].abstract, rows["3"].pub_date) == ("", "2004-02-03")
+
+
+def test_archives_of_any_compression(spark, tmp_path):
+    for name, mode in (("a.tar", "w"), ("b.tar.gz", "w:gz"), ("c.tar.bz2", "w:bz2"), ("d.tgz", "w:gz"), ("e.tar.xz", "w:xz")):
+        with tarfile.open(tmp_path / name, mode) as tar:
+            for k in range(3):
+                body = _file(f"<abstract>{name} {k}</abstract>").encode() + (b"\xff" if k == 2 else b"")
+                info = tarfile.TarInfo(f"x/PMC{k}{name[0]}.nxml")
+                info.size = len(body)
+                tar.addfile(info, io.BytesIO(body))
+            tar.addfile(tarfile.TarInfo("x/readme.txt"), io.BytesIO(b""))
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    rows = A.expand_archives(files).collect()
+    assert len(rows) == 15 and {r.path.rpartition("!")[2] for r in rows} == {f"x/PMC{k}{c}.nxml" for k in range(3) for c in "abcde"}
+    assert A.read_articles(spark, [str(tmp_path)]).count() == 10  # what follows a root element is no article
+
+
+def test_readers_number_rows_in_file_order(spark, tmp_path):
+    (tmp_path / "c").mkdir()
+    for k in range(3):
+        (tmp_path / "c" / f"part-{k}.jsonl").write_text("".join(f'{{"_id": "{k}{i}", "title": "t", "text": "x"}}\n' for i in range(4 + k)))
+    rows = A.read_corpus(spark, str(tmp_path / "c")).orderBy("doc_idx").collect()
+    assert [r.doc_idx for r in rows] == list(range(15)) and sorted(r.id for r in rows) == sorted(f"{k}{i}" for k in range(3) for i in range(4 + k))
+    by_file = [r.id[0] for r in rows]
+    assert all(by_file.index(k) + by_file.count(k) - 1 == 14 - by_file[::-1].index(k) for k in "012")
+    (tmp_path / "q.tsv").write_text("query-id\tcorpus-id\tscore\nq2\t01\t1\nq10\t02\t2\n")
+    (tmp_path / "q.jsonl").write_text("".join(f'{{"_id": "{q}", "text": "x"}}\n' for q in ("q2", "q3", "q10")))
+    qrels = A.read_qrels(spark, str(tmp_path / "q.tsv"), "dev")
+    assert sorted(map(tuple, qrels.collect())) == [("q10", "02", 2.0, "dev"), ("q2", "01", 1.0, "dev")]
+    queries = A.read_queries(spark, str(tmp_path / "q.jsonl"), qrels)
+    assert [(r.query_idx, r.qid) for r in queries.orderBy("query_idx").collect()] == [(0, "q10"), (1, "q2")]
+    assert A.refuse_missing(queries, qrels).count() == 2
+    with pytest.raises(Exception, match="without judgments: q2"):
+        A.refuse_missing(queries, qrels.where("qid = 'q10'")).collect()
