@@ -6,10 +6,12 @@ some table are candidates, and the original vectors decide.  The length of a run
 logarithm of the rows, so that buckets stay small, and the number of tables follows from it and
 from the recall wanted at the threshold itself (closer pairs are found more surely).
 
-Equal vectors are one class and enter the tables once, with their number.  A bucket is split into
-blocks, and pairs of blocks are compared as matrices: what leaves a pair of blocks is a count of
-links and one edge of a spanning star for each vector, never the pairs.  A pair of vectors counts
-only in the first table where the two meet.
+Equal vectors are one class and enter the tables once, with their number.  Only codes go to the
+tables.  A bucket is split into blocks, and pairs of blocks are sieved as matrices of bits: a vector
+stays where the Hamming distance of its whole code to another's is within a radius, and only then
+is it sent there.  Blocks of those vectors are compared as matrices in turn: what leaves a pair of
+blocks is a count of links and one edge of a spanning star for each vector, never the pairs.  A pair
+of vectors counts only in the first table where the two meet.
 """
 
 from __future__ import annotations
@@ -22,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import HOT_ROWS, id_map, salted_join, table, written
 from .components import components, local_roots
 from .embeddings import main_dimension, matrix, usable
 
 #: Rows of a block; a pair of blocks is what one comparison holds.
 BLOCK = 2048
+#: Share of the bits of a code in which two vectors may differ and still be compared.
+SIEVE = 0.35
 
 
 def itq_rotation(x: np.ndarray, seed: int, turns: int = 40) -> np.ndarray:
@@ -50,33 +54,63 @@ def learn_codes(sample: np.ndarray, bits: int, seed: int = 3) -> tuple[np.ndarra
     return mean, np.hstack(parts)[:, :bits]
 
 
-def tables_for(rows: int, threshold: float, recall: float, bucket: int = 64, least_bits: int = 6, most_bits: int = 24) -> tuple[int, int]:
+def bit_agreement(x: np.ndarray, mean: np.ndarray, axes: np.ndarray, threshold: float, band: float = 0.03, rows: int = 4096, least: int = 50) -> float:
+    """Share of bits in which vectors at the threshold agree: by the angle, or what the sample shows if that is less.
+
+    Codes are of centred vectors, whose angles may be wider than the vectors' own.
+    """
+    by_angle = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    own = x[:rows]
+    if not len(own):
+        return by_angle
+    bits = (own - mean) @ axes[:, : own.shape[1]] >= 0
+    cosine = own @ own.T
+    a, b = np.nonzero(np.triu((cosine >= threshold) & (cosine < threshold + band), 1))
+    if len(a) < least:
+        return by_angle
+    a, b = a[:100_000], b[:100_000]
+    return min(by_angle, float((bits[a] == bits[b]).mean()))
+
+
+def tables_for(rows: int, agree: float, recall: float, bucket: int = 64, least_bits: int = 6, most_bits: int = 24) -> tuple[int, int]:
     """Bits of a run so that buckets hold about ``bucket`` vectors, and tables for the recall wanted."""
     run = min(most_bits, max(least_bits, math.ceil(math.log2(max(2, rows / bucket)))))
-    agree = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** run
-    return run, max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree)))
+    return run, max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree**run)))
 
 
-def _compare(key: tuple, ids, codes, x, weight, block, threshold: float, tie: float = 1e-12):
-    """Counts of links and star edges among the rows of one pair of blocks."""
-    t, i, j = key
+#: Pairs whose codes are looked at together.
+PAIRS = 1 << 16
+
+
+def _first_meetings(a: np.ndarray, b: np.ndarray, codes: np.ndarray, t: int) -> np.ndarray:
+    """Whether pairs of rows have no equal run in a table before ``t``."""
+    out = np.ones(len(a), bool)
+    for s in range(0, len(a) if t else 0, PAIRS):
+        own = slice(s, s + PAIRS)
+        out[own] = ~(codes[a[own], :t] == codes[b[own], :t]).any(axis=1)
+    return out
+
+
+def _tiles(block: np.ndarray, i: int, j: int, product, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of blocks i and j whose product is at least ``least``, a part of the left rows at a time."""
     left = np.flatnonzero(block == i)
     right = left if i == j else np.flatnonzero(block == j)
-    if not len(left) or not len(right):
-        return None
-    pairs_a, pairs_b = [], []
-    for s in range(0, len(left), 512):
+    for s in range(0, len(left) if len(right) else 0, 512):
         rows = left[s : s + 512]
-        near = x[rows] @ x[right].T >= threshold - tie
-        a, b = np.nonzero(near)
+        a, b = np.nonzero(product(rows, right) >= least)
         a, b = rows[a], right[b]
-        if i == j:
-            a, b = a[a < b], b[a < b]
-        if len(a):
-            new = ~(codes[a, :t] == codes[b, :t]).any(axis=1) if t else np.ones(len(a), bool)
-            exact = np.einsum("ij,ij->i", x[a], x[b]) >= threshold
-            pairs_a.append(a[new & exact])
-            pairs_b.append(b[new & exact])
+        yield (a[a < b], b[a < b]) if i == j else (a, b)
+
+
+def _compare(key: tuple, ids, codes, x, weight, block, threshold: float, tie: float = 1e-12):
+    """Counts of links and star edges among the rows of one pair of blocks."""
+    t, i, j = key
+    pairs_a, pairs_b = [], []
+    for a, b in _tiles(block, i, j, lambda l, r: x[l] @ x[r].T, threshold - tie):
+        keep = _first_meetings(a, b, codes, t)
+        keep[keep] = np.einsum("ij,ij->i", x[a[keep]], x[b[keep]]) >= threshold
+        pairs_a.append(a[keep])
+        pairs_b.append(b[keep])
     if not pairs_a:
         return None
     a, b = np.concatenate(pairs_a), np.concatenate(pairs_b)
@@ -114,45 +148,61 @@ def vector_links(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding
     heads = written(heads, "heads")
     n = heads.count()
 
-    run, tables = tables_for(n, threshold, recall)
     share = min(1.0, fit_rows / max(1, n))
     sample = heads.where(F.pmod(F.xxhash64("id", F.lit(41)), F.lit(1_000_003)) < share * 1_000_003).select("id", "v").toArrow().sort_by("id")
     x = matrix(sample["v"], d) if sample.num_rows else np.zeros((0, max(1, d)))
-    mean, axes = learn_codes(x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else x, run * tables)
+    x = x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else x
+    run, tables = tables_for(n, bit_agreement(x, *learn_codes(x, x.shape[1]), threshold), recall)
+    mean, axes = learn_codes(x, run * tables)
     powers = 1 << np.arange(run)
+    # unlike pairs differ in half their bits, pairs at the threshold in far fewer
+    radius = math.ceil(SIEVE * run * tables)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = matrix(batch.column(1), d)
             own /= np.linalg.norm(own, axis=1, keepdims=True)
-            bits = ((own - mean) @ axes >= 0).reshape(-1, tables, run)
-            codes = (bits @ powers).astype("<i4")
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(codes.tolist(), pa.list_(pa.int32()))], names=["id", "v", "weight", "codes", "runs"]
-            )
+            bits = (own - mean) @ axes >= 0
+            runs = (bits.reshape(-1, tables, run) @ powers).astype("<i4")
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(runs.ravel()), tables).cast(pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in np.packbits(bits, axis=1)], pa.binary()), lists], names=["id", "code", "runs"])
 
     kind = heads.schema
-    coded = heads.select("id", "v", "weight").mapInArrow(code, f"id {kind['id'].dataType.simpleString()}, v {kind['v'].dataType.simpleString()}, weight long, codes binary, runs array<int>")
+    coded = heads.select("id", "v").mapInArrow(code, f"id {kind['id'].dataType.simpleString()}, code binary, runs array<int>")
     coded = written(coded, "codes")
-    sizes = coded.select(F.posexplode("runs").alias("t", "run")).groupBy("t", "run").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    sizes = sizes.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    rows = coded.select("id", "v", "weight", "codes", F.posexplode("runs").alias("t", "run")).join(sizes, ["t", "run"])
+    keyed = coded.select("id", "code", F.posexplode("runs").alias("t", "run")).select("id", "code", F.shiftleft(F.col("t").cast("long"), 32).bitwiseOR(F.col("run").cast("long")).alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    sizes = written(sizes.select("key", "size", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "buckets")
+    hot = id_map(sizes.where(F.col("size") > HOT_ROWS).select(F.col("key").alias("id")))
+    rows = salted_join(keyed, sizes.drop("size"), "key", F.col("id"), hot)
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id", F.lit(43)), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.withColumn("o", other).select("t", "run", F.least("block", "o").cast("int").alias("i"), F.greatest("block", "o").cast("int").alias("j"), "block", "id", "weight", "codes", "v")
+    rows = rows.withColumn("o", other).select("key", F.least("block", "o").cast("int").alias("i"), F.greatest("block", "o").cast("int").alias("j"), "block", "id", "code")
+
+    def sieve(groups: pa.Table) -> pa.Table:
+        i, j = (groups[c][0].as_py() for c in ("i", "j"))
+        packed = np.frombuffer(b"".join(groups["code"].to_pylist()), np.uint8).reshape(groups.num_rows, -1)
+        signs = np.unpackbits(packed, axis=1, count=run * tables).astype(np.float32) * 2 - 1
+        near = np.zeros(groups.num_rows, bool)
+        for a, b in _tiles(groups["block"].to_numpy(), i, j, lambda l, r: signs[l] @ signs[r].T, run * tables - 2 * radius - 0.5):
+            near[a] = near[b] = True
+        return groups.select(["key", "i", "j", "block", "id"]).filter(pa.array(near))
+
+    left = rows.groupBy("key", "i", "j").applyInArrow(sieve, rows.drop("code").schema)
+    rows = written(left, "sieved").join(heads.select("id", "v", "weight").join(coded.select("id", "runs"), "id"), "id")
 
     def compare(groups: pa.Table) -> pa.Table:
-        key = tuple(groups[c][0].as_py() for c in ("t", "i", "j"))
+        t, i, j = groups["key"][0].as_py() >> 32, groups["i"][0].as_py(), groups["j"][0].as_py()
         ids = groups["id"].to_numpy()
         own = matrix(groups["v"], d)
         own /= np.linalg.norm(own, axis=1, keepdims=True)
-        codes = np.frombuffer(b"".join(groups["codes"].to_pylist()), "<i4").reshape(len(ids), tables)
-        found = _compare(key, ids, codes, own, groups["weight"].to_numpy(), groups["block"].to_numpy(), threshold)
+        runs = groups["runs"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), tables)
+        found = _compare((t, i, j), ids, runs, own, groups["weight"].to_numpy(), groups["block"].to_numpy(), threshold)
         a, count, root = found if found else (ids[:0], np.zeros(0, np.int64), ids[:0])
         return pa.table({"a": pa.array(a), "links": pa.array(count), "b": pa.array(root)})
 
     id_kind = kind["id"].dataType.simpleString()
-    stars = rows.groupBy("t", "run", "i", "j").applyInArrow(compare, f"a {id_kind}, links long, b {id_kind}")
+    stars = rows.groupBy("key", "i", "j").applyInArrow(compare, f"a {id_kind}, links long, b {id_kind}")
     stars = written(stars, "stars")
     labels = components(stars.select("a", "b"))
     counts = stars.groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))
