@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HOT_ROWS, id_map, salted_join, table, written
+from .common import id_map, marked, salted_join, table, written
 from .components import components, local_roots
 from .embeddings import main_dimension, matrix, usable
 
@@ -173,8 +173,13 @@ def vector_links(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding
     keyed = coded.select("id", "code", F.posexplode("runs").alias("t", "run")).select("id", "code", F.shiftleft(F.col("t").cast("long"), 32).bitwiseOR(F.col("run").cast("long")).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     sizes = written(sizes.select("key", "size", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "buckets")
-    hot = id_map(sizes.where(F.col("size") > HOT_ROWS).select(F.col("key").alias("id")))
-    rows = salted_join(keyed, sizes.drop("size"), "key", F.col("id"), hot)
+    # most keys are met once or fit one block, which maps of keys tell; only the others' rows move to be joined
+    met = id_map(sizes.select(F.col("key").alias("id")))
+    large = id_map(sizes.where("blocks > 1").select(F.col("key").alias("id")))
+    keyed = marked(marked(keyed, met, "key", "met").where("met").drop("met"), large, "key", "large")
+    split = marked(sizes.drop("size"), large, "key", "large").where("large").drop("large")
+    rows = salted_join(keyed.where("large").drop("large"), split, "key", F.col("id"), large)
+    rows = keyed.where("not large").drop("large").withColumn("blocks", F.lit(1)).unionByName(rows)
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id", F.lit(43)), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = rows.withColumn("o", other).select("key", F.least("block", "o").cast("int").alias("i"), F.greatest("block", "o").cast("int").alias("j"), "block", "id", "code")
