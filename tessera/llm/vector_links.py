@@ -9,7 +9,7 @@ from the recall wanted at the threshold itself (closer pairs are found more sure
 Equal vectors are one class and enter the tables once, with their number.  Only codes go to the
 tables.  A bucket is split into blocks, and pairs of blocks are sieved as matrices of bits: a vector
 stays where the Hamming distance of its whole code to another's is within a radius, and only then
-is it sent there.  Blocks of those vectors are compared as matrices in turn: what leaves a pair of
+is it sent there.  Vectors of different lengths never meet: a length has codes and buckets of its own.  Blocks of those vectors are compared as matrices in turn: what leaves a pair of
 blocks is a count of links and one edge of a spanning star for each vector, never the pairs.  A pair
 of vectors counts only in the first table where the two meet.
 """
@@ -18,15 +18,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_map, marked, salted_join, table, written
 from .components import components, local_roots
-from .embeddings import main_dimension, matrix, usable
+from .embeddings import matrix, usable
 
 #: Rows of a block; a pair of blocks is what one comparison holds.
 BLOCK = 2048
@@ -54,6 +56,24 @@ def learn_codes(sample: np.ndarray, bits: int, seed: int = 3) -> tuple[np.ndarra
     return mean, np.hstack(parts)[:, :bits]
 
 
+@lru_cache(maxsize=64)
+def drawn_codes(d: int, bits: int, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Mean (zero) and random directions for a length that the sample has too few vectors of to learn from."""
+    return np.zeros(d), np.random.default_rng(seed).normal(size=(d, bits))
+
+
+def by_length(sample) -> dict[int, np.ndarray]:
+    """Unit vectors of an Arrow list column by length: the commonest, and those with at least as many rows as components."""
+    size = pc.list_value_length(sample).to_numpy()
+    lengths, counts = np.unique(size, return_counts=True)
+    out = {}
+    for d, n in zip(lengths.tolist(), counts.tolist(), strict=True):
+        if n >= d or n == counts.max():
+            x = matrix(sample.filter(pa.array(size == d)), d)
+            out[d] = x / np.linalg.norm(x, axis=1, keepdims=True)
+    return out
+
+
 def bit_agreement(x: np.ndarray, mean: np.ndarray, axes: np.ndarray, threshold: float, band: float = 0.03, rows: int = 4096, least: int = 50) -> float:
     """Share of bits in which vectors at the threshold agree: by the angle, or what the sample shows if that is less.
 
@@ -130,16 +150,16 @@ def _compare(key: tuple, ids, codes, x, weight, block, threshold: float, tie: fl
 def vector_links(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, recall: float = 0.98, fit_rows: int = 20_000) -> DataFrame:
     """One row per vector: id, n_links, component_id (least id reachable), kept.
 
-    Linked are vectors whose cosine, in double precision, is at least ``threshold``, as far as the
-    tables bring them together.  Null vectors, zero vectors, those with null or non-finite
-    components and those not of the commonest length link with nothing, nor do rows with a null id
-    (component null, kept).  Rows of one id are taken as copies of the first.  The rotations are
-    learnt on about ``fit_rows`` vectors chosen by a hash; every vector is indexed.
+    Linked are vectors of one length whose cosine, in double precision, is at least ``threshold``, as
+    far as the tables bring them together.  Null vectors, zero vectors and those with null or
+    non-finite components link with nothing, nor do rows with a null id (component null, kept).  Rows
+    of one id are taken as copies of the first.  The rotations of a length are learnt from its share
+    of about ``fit_rows`` vectors chosen by a hash (see ``by_length``); lengths too rare for that get
+    random directions.  Every vector is indexed.
     """
     spark = df.sparkSession
     given = df.select(F.col(id_col).alias("id"), F.col(vector).alias("v"))
-    d = main_dimension(given, "v")
-    able = usable(F.col("v")) & (F.size("v") == d) & F.exists("v", lambda x: x != 0) & F.col("id").isNotNull()
+    able = usable(F.col("v")) & F.exists("v", lambda x: x != 0) & F.col("id").isNotNull()
     prints = given.select("id", F.when(able, F.sha2(F.to_json(F.struct("v")).cast("binary"), 256)).alias("print"))
     prints = written(prints, "vectors")
     classes = prints.where("print is not null").groupBy("print").agg(F.min("id").alias("class"), F.countDistinct("id").alias("weight"))
@@ -150,27 +170,33 @@ def vector_links(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding
 
     share = min(1.0, fit_rows / max(1, n))
     sample = heads.where(F.pmod(F.xxhash64("id", F.lit(41)), F.lit(1_000_003)) < share * 1_000_003).select("id", "v").toArrow().sort_by("id")
-    x = matrix(sample["v"], d) if sample.num_rows else np.zeros((0, max(1, d)))
-    x = x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else x
-    run, tables = tables_for(n, bit_agreement(x, *learn_codes(x, x.shape[1]), threshold), recall)
-    mean, axes = learn_codes(x, run * tables)
+    units = by_length(sample["v"]) if sample.num_rows else {1: np.zeros((0, 1))}
+    agree = min(bit_agreement(x, *learn_codes(x, d), threshold) for d, x in units.items())
+    run, tables = tables_for(n, agree, recall)
+    learnt = {d: learn_codes(x, run * tables) for d, x in units.items()}
     powers = 1 << np.arange(run)
     # unlike pairs differ in half their bits, pairs at the threshold in far fewer
     radius = math.ceil(SIEVE * run * tables)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = matrix(batch.column(1), d)
-            own /= np.linalg.norm(own, axis=1, keepdims=True)
-            bits = (own - mean) @ axes >= 0
+            size = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            bits = np.zeros((batch.num_rows, run * tables), bool)
+            for d in np.unique(size).tolist():
+                mean, axes = learnt.get(d) or drawn_codes(d, run * tables)
+                own = matrix(batch.column(1).filter(pa.array(size == d)), d)
+                own /= np.linalg.norm(own, axis=1, keepdims=True)
+                bits[size == d] = (own - mean) @ axes >= 0
             runs = (bits.reshape(-1, tables, run) @ powers).astype("<i4")
             lists = pa.FixedSizeListArray.from_arrays(pa.array(runs.ravel()), tables).cast(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in np.packbits(bits, axis=1)], pa.binary()), lists], names=["id", "code", "runs"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in np.packbits(bits, axis=1)], pa.binary()), lists, pa.array(size, pa.int32())], names=["id", "code", "runs", "d"])
 
     kind = heads.schema
-    coded = heads.select("id", "v").mapInArrow(code, f"id {kind['id'].dataType.simpleString()}, code binary, runs array<int>")
+    coded = heads.select("id", "v").mapInArrow(code, f"id {kind['id'].dataType.simpleString()}, code binary, runs array<int>, d int")
     coded = written(coded, "codes")
-    keyed = coded.select("id", "code", F.posexplode("runs").alias("t", "run")).select("id", "code", F.shiftleft(F.col("t").cast("long"), 32).bitwiseOR(F.col("run").cast("long")).alias("key"))
+    keyed = coded.select("id", "code", "d", F.posexplode("runs").alias("t", "run"))
+    # a run has at most 24 bits; above it stand 16 bits of the table and then the length
+    keyed = keyed.select("id", "code", F.expr("shiftleft(cast(d as long), 40) | shiftleft(cast(t as long), 24) | run").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     sizes = written(sizes.select("key", "size", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "buckets")
     # most keys are met once or fit one block, which maps of keys tell; only the others' rows move to be joined
@@ -197,7 +223,8 @@ def vector_links(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding
     rows = written(left, "sieved").join(heads.select("id", "v", "weight").join(coded.select("id", "runs"), "id"), "id")
 
     def compare(groups: pa.Table) -> pa.Table:
-        t, i, j = groups["key"][0].as_py() >> 32, groups["i"][0].as_py(), groups["j"][0].as_py()
+        key, i, j = (groups[c][0].as_py() for c in ("key", "i", "j"))
+        d, t = key >> 40, key >> 24 & 0xFFFF
         ids = groups["id"].to_numpy()
         own = matrix(groups["v"], d)
         own /= np.linalg.norm(own, axis=1, keepdims=True)

@@ -37,6 +37,18 @@ def test_links_recall_and_precision(spark):
     assert all(rows[i].n_links == 0 and rows[i].kept and rows[i].component_id == i for i, _ in ODD)
 
 
+def test_links_within_each_length(spark):
+    one, two, rare = data(5), data(6, d=8), np.array([[1.0, 2.0], [2.0, 4.0], [2.0, -1.0], [1.0, 2.1]])
+    rows = [*one, *two, *rare, np.append(one[0], [0.0] * 3), one[0][:2]]
+    found = [r.n_links for r in sorted(vector_links.vector_links(table(spark, rows)).collect(), key=lambda r: r.vec_id)]
+    for x, at in ((one, 0), (two, 300)):
+        y = x / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+        near = (y @ y.T >= 0.9).sum(axis=1) - 1
+        own = np.array(found[at : at + 300])
+        assert (own <= near).all() and own.sum() >= 0.9 * near.sum()
+    assert found[600:604] == [2, 2, 0, 2] and found[604] == 0
+
+
 def test_links_of_nothing(spark):
     assert vector_links.vector_links(table(spark, [])).count() == 0
     one = vector_links.vector_links(table(spark, [None, None])).collect()
