@@ -6,7 +6,9 @@ centroids, found by spherical k-means among its own texts.  A text gets the lang
 centroid of highest cosine, and is rejected if that cosine is below a share of what the language's
 own texts reach.
 
-The model is fitted on about ``per_language`` texts of each language, chosen by a hash; every text is predicted whole.
+Document frequencies come from all texts of known language, each language weighing as its sample
+does.  Centroids are fitted on about ``per_language`` texts of each language, chosen by a hash;
+every text is predicted whole.
 """
 
 from __future__ import annotations
@@ -98,29 +100,53 @@ def _spherical(x: np.ndarray, k: int, turns: int = 12) -> np.ndarray:
     return own
 
 
+def frequencies(texts: DataFrame) -> DataFrame:
+    """One row per language of ``texts`` (lang, text): its texts, and in how many each n-gram is, as longs."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for own, part in text_parts(batch, 1, SLICE_CHARS):
+                langs = np.array(own.column(0).to_pylist(), object)
+                for some in slices([len(t) + SLICE_CHARS // SLICE_ROWS for t in part], SLICE_CHARS):
+                    there = profiles(part[some]) > 0
+                    for name in set(langs[some]):
+                        mine = there[langs[some] == name]
+                        counts = held.setdefault(name, np.zeros(BUCKETS + 1, np.int64))
+                        counts[:BUCKETS] += mine.sum(axis=0)
+                        counts[BUCKETS] += len(mine)
+        for name, counts in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([counts.tolist()], pa.list_(pa.int64()))], names=["lang", "counts"])
+
+    def whole(rows: pa.Table) -> pa.Table:
+        counts = np.zeros(BUCKETS + 1, np.int64)
+        counts[rows["at"].to_numpy()] = rows["n"].to_numpy()
+        return pa.table({"lang": rows["lang"].slice(0, 1), "n": pa.array([int(counts[BUCKETS])], pa.int64()), "df": pa.array([counts[:BUCKETS].astype("<i8").tobytes()], pa.binary())})
+
+    counted = texts.mapInArrow(partial, "lang string, counts array<long>").select("lang", F.posexplode("counts").alias("at", "n"))
+    return counted.groupBy("lang", "at").agg(F.sum("n").alias("n")).groupBy("lang").applyInArrow(whole, "lang string, n long, df binary")
+
+
 def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", order: Column | None = None, centroids: int = 4, per_language: int = 600, reject_share: float = 0.5) -> Centroids:
     """Centroids from the rows where ``learn`` holds and text and language are not null.
 
-    About ``per_language`` texts of each language are used, chosen by the hash of ``order``.  With
-    no such row the model knows no language and predicts 'und' for all.
+    Frequencies count all of them; about ``per_language`` texts of each language, chosen by the
+    hash of ``order``, are clustered.  With no such row the model knows no language and predicts 'und' for all.
     """
     place = order if order is not None else F.xxhash64(text)
     given = docs.where(learn & F.col(lang).isNotNull())
     rows = {r[0]: r[1] for r in given.groupBy(lang).count().collect()}
     # about per_language texts of each: those whose hash falls in that share of its range
     share = F.create_map(*[F.lit(x) for name, n in rows.items() for x in (name, min(1.0, per_language / n))]) if rows else F.lit(None)
+    texts_of = given.where(F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     given = given.where(F.pmod(F.xxhash64(place, F.lit(5)), F.lit(1_000_003)) < share[F.col(lang)] * 1_000_003) if rows else given
     sample = written(given.where(F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text")), "languages")
 
-    def frequencies(rows: pa.Table) -> pa.Table:
-        texts, df = rows["text"].to_pylist(), np.zeros(BUCKETS, np.int64)
-        for part in slices([len(t) + 4000 for t in texts], SLICE_CHARS):
-            df += (profiles(texts[part]) > 0).sum(axis=0)
-        return pa.table({"lang": rows["lang"].slice(0, 1), "n": pa.array([len(texts)], pa.int64()), "df": pa.array([df.astype("<i8").tobytes()], pa.binary())})
-
-    counted = sample.groupBy("lang").applyInArrow(frequencies, "lang string, n long, df binary").collect()
-    total = sum(r["n"] for r in counted)
-    df = sum((np.frombuffer(r["df"], "<i8") for r in counted), np.zeros(BUCKETS, np.int64))
+    total, df = 0.0, np.zeros(BUCKETS)
+    for r in frequencies(texts_of).collect():
+        weight = min(1.0, per_language / r["n"])
+        total, df = total + weight * r["n"], df + weight * np.frombuffer(r["df"], "<i8")
     idf = np.log((1 + total) / (1 + df)).astype(np.float32)
     idf += np.float32(1)
 
