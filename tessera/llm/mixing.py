@@ -28,8 +28,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _shard(doc_id: Column, count: Column, seed: int) -> Column:
-    return F.pmod(F.xxhash64(doc_id, F.lit(seed)), count)
+def _shard(doc_id: Column, size: Column, count: Column, seed: int) -> Column:
+    """The shard of a document; by its size as well, so that rows without an id do not share one."""
+    return F.pmod(F.xxhash64(doc_id, size, F.lit(seed)), count)
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -91,7 +92,7 @@ def quotas(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
     sources = sainte_lague(sources, "seats", "target", key="source").withColumnRenamed("quota", "source_quota").drop("seats")
     sources = written(sources, "sources")
     with_shards = _join_sources(sized.select("doc_id", "source", "size"), sources, ["source_size", "target", "block", "shards", "source_quota"])
-    with_shards = with_shards.withColumn("shard", _shard(F.col("doc_id"), F.col("shards"), seed))
+    with_shards = with_shards.withColumn("shard", _shard(F.col("doc_id"), F.col("size"), F.col("shards"), seed))
     shards = with_shards.groupBy("source", "source_size", "target", "block", "shards", "source_quota", "shard").agg(F.sum("size").alias("words"))
     shards = sainte_lague(shards.withColumn("vote", F.col("words").cast("double")), "source_quota", "vote", ["source"], "shard").drop("vote")
     words = F.greatest(F.col("words"), F.lit(1))
@@ -122,7 +123,7 @@ def mix(docs: DataFrame, quota: DataFrame, seed: int = 17) -> DataFrame:
     rows = docs.select("doc_id", "source", "size", F.struct(*[F.col(f"`{c}`") for c in extra] or [F.lit(0)]).alias("tessera_others"))
     shards = quota.select("source", "shards").groupBy("source").agg(F.first("shards").alias("shards"))
     rows = _join_sources(rows, shards, ["shards"])
-    rows = rows.withColumn("shard", _shard(F.col("doc_id"), F.col("shards"), seed)).drop("shards")
+    rows = rows.withColumn("shard", _shard(F.col("doc_id"), F.col("size"), F.col("shards"), seed)).drop("shards")
     side = quota.select(F.col("source").alias("tessera_source"), F.col("shard").alias("tessera_shard"), "source_size", "target", "words", "turns", "run", "start")
     order = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 2)), "doc_id", "size")
     rows = rows.withColumn("until", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
