@@ -81,6 +81,26 @@ def test_added_formats_are_redacted_and_decoys_stay(spark):
     assert [r.text for r in out] == [*real.values(), *decoys]
 
 
+def test_long_logs_take_time_by_their_length(spark):
+    model = pii.SpanModel(["is_card"], [0.9], [1.0], dict.fromkeys(pii.GENERATORS, 0.5))  # takes every candidate
+    lines = [f"{i} mail u{i}@ex.com é from 10.0.0.{i % 250} or 020 7946 {i % 9000 + 1000}" for i in range(20_000)]
+    docs = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
+    out = pii.redact(pii.with_spans(docs.select("text", F.struct("doc_id", "text").alias("row")), model), "row").first()
+    assert out.text == "\n".join(f"{i} mail [EMAIL] é from [IP] or [PHONE]" for i in range(20_000))
+
+
+def test_personal_data_query(spark, tmp_path):
+    texts = [*PII_TEXTS, None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in pii.op2_personal_data(spark, str(tmp_path)).collect()}
+    expected = {i: base(t or "") for i, t in enumerate(texts)}
+    assert rows.keys() == expected.keys()
+    for i, listed in expected.items():
+        assert [rows[i][f"n_{kind}"] for kind in pii.KINDS] == [sum(x.startswith(kind) for x in listed) for kind in pii.KINDS]
+        assert rows[i].base_sha256 == hashlib.sha256(",".join(listed).encode()).hexdigest()
+        assert set(listed) <= set(rows[i].spans.split(",")) | {""}
+
+
 def test_sainte_lague_equals_seat_by_seat(spark):
     rng = random.Random(3)
     for seats in (0, 1, 7, 100, 1000):
@@ -135,6 +155,23 @@ def _labelled(spark, table="sf0.01"):
     return spark.read.parquet(f"/root/testdata/{table}/documents.parquet")
 
 
+def test_language_frequencies_count_all_texts(spark):
+    rows = [(lang, f"{lang} text of {i} " + "é" * (i % 3)) for i in range(90) for lang in ("aa", "bb")[: 1 + i % 2]]
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(5)
+    for r in language.frequencies(df).collect():
+        own = [t for lang, t in rows if lang == r.lang]
+        assert r.n == len(own) and (np.frombuffer(r.df, "<i8") == (language.profiles(own) > 0).sum(axis=0)).all()
+
+
+def test_rows_without_an_id_are_spread_over_shards(spark):
+    sized = spark.createDataFrame([(None, "s", i % 97) for i in range(2000)], "doc_id long, source string, size long")
+    shards = mixing.quotas(sized, per_shard=100).collect()
+    assert len(shards) > 10 and sum(r.words for r in shards) == sum(i % 97 for i in range(2000))
+    taken = mixing.mix(sized, mixing.quotas(sized, per_shard=100)).collect()
+    assert all(0 <= r.taken <= 2 * r["size"] for r in taken)
+    assert abs(sum(r.taken for r in taken) - taken[0].target) <= 0.03 * taken[0].target
+
+
 def test_language(spark):
     docs = _labelled(spark)
     model = language.fit(docs, ~language.held_out(F.col("doc_id")), order=F.xxhash64("doc_id"))
