@@ -15,6 +15,7 @@ from .pii import op2_personal_data
 from .quality import op4_quality
 from .token_count import op10_token_counts
 from .top_k import op8_top_k
+from .vector_codes import op11_vector_codes
 from .vector_links import op3_vector_links
 from .warc import op5_warc_packages
 
@@ -31,7 +32,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_top_k,
         op9_source_mixing,
         op10_token_counts,
+        op11_vector_codes,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_warc_packages": sql.OP5, "op8_top_k": sql.OP8}
+ORACLE_SQL: dict[str, str] = {"op5_warc_packages": sql.OP5, "op8_top_k": sql.OP8, "op11_vector_codes": sql.OP11}

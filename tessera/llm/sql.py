@@ -24,3 +24,38 @@ s as (
 select query_id, cast(row_number() over w as integer) as rank, vec_id, score
 from s window w as (partition by query_id order by score desc, vec_id) qualify row_number() over w <= 10
 """
+
+
+def _op11(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Rounds written out one after the other; vectors of one length."""
+    nearest = """
+a{r} as (
+  select vec_id, part, entry, dist from (
+    select p.vec_id, p.part, c.entry, list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as dist,
+           row_number() over (partition by p.vec_id, p.part order by dist, c.entry) as place
+    from p join c{r} c on p.part = c.part) where place = 1)"""
+    better = """
+s{r} as (
+  select part, entry, pos, sum(x[pos]) as s, count(*) as n
+  from a{r} join p using (vec_id, part), range(1, len(x) + 1) t(pos) group by all),
+c{next} as (
+  select c.part, c.entry, coalesce(m.x, c.x) as x from c{r} c left join (
+    select part, entry, list(cast((s - ((s % n) + n) % n) // n as bigint) order by pos) as x from s{r} group by all) m using (part, entry))"""
+    steps = ",".join(nearest.format(r=r) + (("," + better.format(r=r, next=r + 1)) if r < rounds else "") for r in range(rounds + 1))
+    return f"""
+with v as materialized (
+  select vec_id, label, list_transform(embedding, lambda x: cast(floor({4096} * cast(x as double)) as bigint)) as e
+  from embeddings
+  where embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as materialized (select vec_id, part, e[part * len(e) // {parts} + 1 : (part + 1) * len(e) // {parts}] as x from v, range({parts}) t(part)),
+c0 as (select part, row_number() over (partition by part order by vec_id) - 1 as entry, x from p
+       where vec_id in (select vec_id from v order by vec_id limit {entries})),{steps.replace(" as (", " as materialized (")},
+b as (select sha256(string_agg(array_to_string(x, ','), ',' order by part, entry)) as codebooks_sha256 from c{rounds}),
+o as (select vec_id, string_agg(printf('%02x', entry), '' order by part) as code, sum(dist)::bigint as error from a{rounds} group by vec_id)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256
+from o join v using (vec_id), b
+"""
+
+
+OP11 = _op11()
