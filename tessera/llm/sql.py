@@ -59,3 +59,36 @@ from o join v using (vec_id), b
 
 
 OP11 = _op11()
+
+
+OP12 = r"""
+with d as (
+  select row_number() over () as doc, coalesce(lang, '') as lang, coalesce(source, '') as source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t
+  from documents),
+w as (select doc, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+kept as materialized (select lang, term, count(*) as c from w group by all having count(distinct doc) >= 10),
+size as (select lang, count(*) as v, sum(c) as n from kept group by lang),
+g as materialized (select distinct lang, source from d),
+c as (select lang, source, term, count(*) as c from w semi join kept using (lang, term) group by all),
+n as (select lang, source, sum(c) as n from c group by all),
+p as materialized (
+  select g.lang, g.source, k.term, coalesce(c.c, 0) as c,
+         1 + (1000000000::hugeint * (coalesce(c.c, 0) + 2)) // (coalesce(n.n, 0) + 2 * s.v) as p,
+         1 + (1000000000::hugeint * (k.c + 2)) // (s.n + 2 * s.v) as q
+  from g join kept k on k.lang = g.lang join size s on s.lang = g.lang
+  left join n on n.lang = g.lang and n.source = g.source
+  left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+pairs as (
+  select x.lang, x.source, y.source as item, sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) as value
+  from p x join p y on x.lang = y.lang and x.term = y.term and x.source <> y.source group by all),
+terms as (select lang, source, term as item, ((p - q) * (p - q)) // (p + q) as value from p where c > 0 and p > q),
+every as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source
+  left join pairs on pairs.lang = a.lang and pairs.source = a.source and pairs.item = b.source
+  union all select lang, source, 'term', item, value from terms),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, encode(item)) as rank from every)
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as integer) as rank
+from ranked where part = 'pair' or rank <= 10
+"""
