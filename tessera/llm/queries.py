@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import sql
+from .decontaminate import op13_decontamination
 from .divergence import op12_source_divergence
 from .language import op7_language_id
 from .mixing import op9_source_mixing
@@ -35,7 +36,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_token_counts,
         op11_vector_codes,
         op12_source_divergence,
+        op13_decontamination,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_warc_packages": sql.OP5, "op8_top_k": sql.OP8, "op11_vector_codes": sql.OP11, "op12_source_divergence": sql.OP12}
+ORACLE_SQL: dict[str, str] = {"op5_warc_packages": sql.OP5, "op8_top_k": sql.OP8, "op11_vector_codes": sql.OP11, "op12_source_divergence": sql.OP12, "op13_decontamination": sql.OP13}

@@ -92,3 +92,27 @@ ranked as (select *, row_number() over (partition by lang, source, part order by
 select lang, source, part, item, cast(value as bigint) as value, cast(rank as integer) as rank
 from ranked where part = 'pair' or rank <= 10
 """
+
+
+OP13 = r"""
+with d as materialized (
+  select row_number() over () as r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as w
+  from documents),
+i as (
+  select coalesce(cast(item_id as varchar), '') as item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from benchmark where text is not null),
+iw as materialized (
+  select distinct item, least(len(w), 10) as size, array_to_string(w[s + 1 : s + 10], ' ') as win
+  from i, range(greatest(len(w) - 9, 1)) t(s) where len(w) > 0),
+dw as materialized (
+  select r, s, size, array_to_string(w[s + 1 : s + size], ' ') as win
+  from d join (select distinct size from iw) on true, range(greatest(len(w) - size + 1, 0)) t(s)),
+hit as materialized (select r, s, size, win from dw semi join iw using (size, win)),
+covered as (select r, count(distinct pos) as n_hit from hit, range(s, s + size) t(pos) group by r),
+found as (
+  select r, count(*) as n_items, string_agg(item, ',' order by encode(item)) as ids
+  from (select distinct r, item from hit join iw using (size, win)) group by r)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join covered using (r) left join found using (r)
+"""
