@@ -59,6 +59,18 @@ def drawn(seed: Column | str, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
+def gaussians(seed: str, key: Column, size: int) -> Column:
+    """``size`` (even) independent standard normal numbers from md5: two uniforms give two (Box and Muller)."""
+    text = lambda i: F.md5(F.concat_ws("|", F.lit(seed), key.cast("string"), i.cast("string")))
+    uniform = lambda h, at: F.conv(F.substring(h, at, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+
+    def pair(h: Column) -> Column:
+        r, angle = F.sqrt(-2 * F.ln(1 - uniform(h, 1))), 2 * F.pi() * uniform(h, 13)
+        return F.array(r * F.cos(angle), r * F.sin(angle))
+
+    return F.flatten(F.transform(F.transform(F.sequence(F.lit(0), F.lit(size // 2 - 1)), text), pair))
+
+
 def shuffled(pool: DataFrame, draws: int, seed: str = "r", score: Column | None = None) -> DataFrame:
     """(draw, query_idx, doc_idx, rank): ``draws`` random orders of every pool, by falling ``score`` first."""
     first = F.round(score, 9) if score is not None else F.lit(0.0)

@@ -1,26 +1,32 @@
-"""Inverted index, BM25, hybrid search and reranking as relations.
+"""BM25, vector and hybrid search over a stored index, and reranking.
 
 Positions (doc_idx, query_idx, place in a pool) are columns, since a DataFrame has no order; every
 ranking orders by score and then by the position it had before.  A BM25 score is summed in whole
-picounits, so the sum does not depend on the order of its parts: it can be aggregated before the
-shuffle, and equal documents tie exactly.
+picounits, so the sum does not depend on the order of its parts and equal documents tie exactly.
+
+A document is one row of the index, and up to BROADCAST_QUERIES queries go to every task (more come
+in parts).  So a task knows the whole score of each of its pairs: batches of documents meet the
+queries as matrices, and only the best of a task leave it, to be ranked among those of the others.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import params
 from ..functions import scores as S
 from ..functions import text as T
-from .stages import cut, spread
+from .index import Index, build_index  # noqa: F401
+from .stages import cut
 
 #: Query tables up to so many rows may be broadcast.
 BROADCAST_QUERIES = 20_000
@@ -32,43 +38,169 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES else df
 
 
+def query_terms(queries: DataFrame) -> DataFrame:
+    """(query_idx, term, times): a term that a query repeats counts as often."""
+    return queries.select("query_idx", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("query_idx", "term").agg(F.count(F.lit(1)).alias("times"))
+
+
 @dataclass
-class Index:
-    """postings (doc_idx, term, tf, dl), terms (term, df), corpus (one row: n, avgdl)."""
+class Asked:
+    """Up to BROADCAST_QUERIES queries as the tasks hold them: their terms by term, and their vectors."""
+
+    ids: pa.Array
+    terms: pa.Array
+    idf: np.ndarray
+    begin: np.ndarray  # of a term's queries in ``query`` and ``times``
+    query: np.ndarray
+    times: np.ndarray
+    avgdl: float
+    vectors: dict[str, np.ndarray] = field(default_factory=dict)
+    mean: np.ndarray | None = None
+    sd: np.ndarray | None = None
+
+    def bm25(self, batch: pa.RecordBatch, k1: float, b: float) -> np.ndarray:
+        """Scores (document, query) of a batch (doc_idx, dl, terms, tfs, ...): exact sums of whole picounits."""
+        terms, tfs = batch.column("terms"), batch.column("tfs")
+        size = pc.list_value_length(terms).to_numpy(zero_copy_only=False)
+        at = pc.index_in(terms.flatten(), self.terms)
+        there = at.is_valid().to_numpy(zero_copy_only=False)
+        at = at.drop_null().to_numpy()
+        doc = np.repeat(np.arange(batch.num_rows), size)[there]
+        tf = tfs.flatten().to_numpy()[there]
+        dl = batch.column("dl").to_numpy()[doc]
+        part = np.floor(self.idf[at] * (tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / self.avgdl))) * UNIT + 0.5)
+        begin, n = self.begin[at], self.begin[at + 1] - self.begin[at]
+        own = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+        cell = np.repeat(doc * len(self.ids), n) + self.query[own]
+        total = np.bincount(cell, weights=self.times[own] * np.repeat(part, n), minlength=batch.num_rows * len(self.ids))
+        return (total / UNIT).reshape(batch.num_rows, len(self.ids))
+
+
+def query_parts(queries: DataFrame) -> list[DataFrame]:
+    """The queries in parts of at most about BROADCAST_QUERIES; nearly always one."""
+    n = queries.count()
+    if n <= BROADCAST_QUERIES:
+        return [queries]
+    held, parts = cut(queries), 2 * -(-n // BROADCAST_QUERIES)
+    return [held.where(F.pmod(F.xxhash64("query_idx"), F.lit(parts)) == k) for k in range(parts)]
+
+
+def asked_of(index: Index, queries: DataFrame, vectors: tuple[str, ...] = (), unit: bool = True) -> Asked:
+    """One part of the queries, collected, with what the index says of their terms."""
+    rows = queries.select("query_idx", *vectors).toArrow()
+    ids = rows["query_idx"].combine_chunks()
+    known = query_terms(queries).join(index.terms, "term").select("query_idx", "term", "times", "df").toArrow()
+    terms = known["term"].combine_chunks().dictionary_encode()
+    code = terms.indices.to_numpy(zero_copy_only=False) if len(known) else np.zeros(0, np.int64)
+    order = np.argsort(code, kind="stable")
+    begin = np.searchsorted(code[order], np.arange(len(terms.dictionary) + 1))
+    df = known["df"].to_numpy()[order][begin[:-1]] if len(known) else np.zeros(0)
+    query = pc.index_in(known["query_idx"], ids).to_numpy()[order] if len(known) else code
+    times = known["times"].to_numpy()[order].astype(np.float64) if len(known) else np.zeros(0)
+    found = {}
+    for c in vectors:
+        given = [v for v in rows[c].to_pylist() if v]
+        found[c] = _rows(rows[c], len(given[0]) if given else 1, unit)
+    return Asked(ids, terms.dictionary, np.log((index.n - df + 0.5) / (df + 0.5) + 1), begin, query, times, index.avgdl, found)
+
+
+#: Documents whose scores a task holds at once.
+BATCH_DOCS = 256
+#: Scores are ranked by 9 decimals; within so much of the k-th a score may still belong to the k best.
+MARGIN = 2e-9
+
+
+class Best:
+    """The k best documents of each query among those that one task has seen, and all that may tie with them."""
+
+    def __init__(self, k: int, queries: int):
+        self.k, self.floor = k, np.full(queries, -np.inf)
+        self.held: list[np.ndarray] = []
+        self.size, self.most = 0, max(100_000, 4 * k * queries)
+
+    def add(self, docs: np.ndarray, score: np.ndarray, *more: np.ndarray, where: np.ndarray | None = None) -> None:
+        keep = score >= self.floor - MARGIN
+        row, query = np.nonzero(keep if where is None else keep & where)
+        self.held.append(np.rec.fromarrays([query, docs[row], score[row, query], *[m[row, query] for m in more]]))
+        self.size += len(row)
+        if self.size > self.most:
+            self.trim()
+
+    def trim(self) -> np.ndarray | None:
+        """What is left: by query, falling score and document."""
+        if not self.held:
+            return None
+        x = np.concatenate(self.held)
+        x = x[np.lexsort((x["f1"], -x["f2"], x["f0"]))]
+        query, score = x["f0"], x["f2"]
+        first = np.flatnonzero(np.append(True, query[1:] != query[:-1])) if len(x) else np.zeros(0, np.int64)
+        last = first + self.k - 1
+        full = last < np.append(first[1:], len(x))
+        self.floor[query[first[full]]] = score[last[full]]
+        run = np.flatnonzero(np.append(True, (query[1:] != query[:-1]) | (score[1:] != score[:-1]))) if len(x) else first
+        place = np.arange(len(x)) - np.repeat(run, np.diff(np.append(run, len(x))))
+        x = x[(score >= self.floor[query] - MARGIN) & (place < self.k)]
+        self.held, self.size = [x], len(x)
+        return x
+
+
+def _kind(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for begin in range(0, batch.num_rows, BATCH_DOCS):
+            yield batch.slice(begin, BATCH_DOCS)
+
+
+def _per_part(queries: DataFrame, scored) -> DataFrame:
+    return reduce(DataFrame.unionByName, [scored(part) for part in query_parts(queries)])
+
+
+def bm25_scores(index: Index, queries: DataFrame, k1: float = params.K1, b: float = params.B) -> DataFrame:
+    """(query_idx, doc_idx, bm25) of the pairs that share a term; all other pairs score 0.
+
+    A document lies in one row of the index and the queries go to all tasks, so no pair is shuffled.
+    """
+    rows = index.rows.select("doc_idx", "dl", "terms", "tfs")
 
-    docs: DataFrame
-    postings: DataFrame
-    terms: DataFrame
-    corpus: DataFrame
+    def scored(part: DataFrame) -> DataFrame:
+        asked = asked_of(index, part)
 
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for own in _pieces(batches):
+                score = asked.bm25(own, k1, b)
+                doc, query = np.nonzero(score)
+                yield pa.RecordBatch.from_arrays([asked.ids.take(pa.array(query)), own.column(0).take(pa.array(doc)), pa.array(score[doc, query])], names=["query_idx", "doc_idx", "bm25"])
 
-def build_index(docs: DataFrame, texts: DataFrame | None = None) -> Index:
-    """From documents (doc_idx, title, abstract); empty documents count in n and have no postings.
+        return rows.mapInArrow(run, f"query_idx {_kind(part, 'query_idx')}, doc_idx {_kind(rows, 'doc_idx')}, bm25 double")
 
-    Texts are tokenised once: postings are kept, and terms and lengths follow from them.  ``texts``
-    holds the same documents where ``docs`` has columns that cost more to make.
+    return _per_part(queries, scored)
+
+
+def bm25_best(index: Index, queries: DataFrame, k: int, k1: float = params.K1, b: float = params.B) -> DataFrame:
+    """(query_idx, doc_idx, bm25): of the matches of each query, those that may be among its k best.
+
+    What leaves a task is its own k best and their ties, however many documents match.
     """
-    given = spread((texts if texts is not None else docs).select("doc_idx", "title", "abstract"))
-    tokens = given.select("doc_idx", T.tokens(T.doc_text(F.col("title"), F.col("abstract"))).alias("tokens"))
-    terms = tokens.select("doc_idx", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    postings = cut(terms.groupBy("doc_idx", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf")))
-    corpus = given.agg(F.count("doc_idx").alias("n")).crossJoin(postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("length")))
-    corpus = corpus.select("n", (F.col("length") / F.greatest(F.col("n"), F.lit(1))).alias("avgdl"))
-    return Index(docs, postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), corpus)
+    rows = index.rows.select("doc_idx", "dl", "terms", "tfs")
 
+    def scored(part: DataFrame) -> DataFrame:
+        asked = asked_of(index, part)
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """(query_idx, term, times): a term that a query repeats counts as often."""
-    return queries.select("query_idx", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("query_idx", "term").agg(F.count(F.lit(1)).alias("times"))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = Best(k, len(asked.ids))
+            for own in _pieces(batches):
+                score = asked.bm25(own, k1, b)
+                best.add(own.column(0).to_numpy(), score, where=score != 0)
+            left = best.trim()
+            if left is not None:
+                yield pa.RecordBatch.from_arrays([asked.ids.take(pa.array(left["f0"])), pa.array(left["f1"]), pa.array(left["f2"])], names=["query_idx", "doc_idx", "bm25"])
 
+        return rows.mapInArrow(run, f"query_idx {_kind(part, 'query_idx')}, doc_idx {_kind(rows, 'doc_idx')}, bm25 double")
 
-def bm25_scores(index: Index, queries: DataFrame, k1: float = params.K1, b: float = params.B) -> DataFrame:
-    """(query_idx, doc_idx, bm25) of the pairs that share a term; all other pairs score 0."""
-    asked = query_terms(queries)
-    weighted = asked.join(index.terms, "term").crossJoin(F.broadcast(index.corpus)).withColumn("idf", S.idf(F.col("n"), F.col("df")))
-    hits = index.postings.join(small(weighted), "term")
-    part = F.col("times") * F.round(F.col("idf") * S.tf_norm(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b) * UNIT).cast("long")
-    return hits.groupBy("query_idx", "doc_idx").agg((F.sum(part) / UNIT).alias("bm25"))
+    return _per_part(queries, scored)
 
 
 def ranked(scored: DataFrame, score: Column, position: str, k: int | None, by: str = "query_idx") -> DataFrame:
@@ -84,8 +216,8 @@ def bm25_search(index: Index, queries: DataFrame, k: int = params.SEARCH_K, k1:
     A query with fewer than k matches has a filler among the first 2k documents, so only those meet
     the queries.
     """
-    matched = ranked(bm25_scores(index, queries, k1, b), F.col("bm25"), "doc_idx", k)
-    first = index.docs.select("doc_idx").orderBy("doc_idx").limit(2 * k)
+    matched = ranked(bm25_best(index, queries, k, k1, b), F.col("bm25"), "doc_idx", k)
+    first = index.rows.select("doc_idx").orderBy("doc_idx").limit(2 * k)
     filler = queries.select("query_idx").crossJoin(F.broadcast(first)).withColumn("bm25", F.lit(0.0))
     short = queries.select("query_idx").join(matched.groupBy("query_idx").agg(F.count(F.lit(1)).alias("n")), "query_idx", "left").where(F.coalesce("n", F.lit(0)) < k).select("query_idx")
     filler = filler.join(short, "query_idx", "left_semi").join(matched.select("query_idx", "doc_idx"), ["query_idx", "doc_idx"], "left_anti")
@@ -97,50 +229,66 @@ def bm25_standard(scores: DataFrame, corpus: DataFrame) -> DataFrame:
 
     From sums over the matches alone; a deviation that is nothing but rounding counts as 0.
     """
-    n = F.col("n")
-    out = scores.groupBy("query_idx").agg(F.sum("bm25").alias("s"), F.sum(F.col("bm25") * F.col("bm25")).alias("ss")).crossJoin(F.broadcast(corpus.select("n")))
+    sums = scores.groupBy("query_idx").agg(F.sum("bm25").alias("s"), F.sum(F.col("bm25") * F.col("bm25")).alias("ss")).crossJoin(F.broadcast(corpus.select("n")))
+    return _standard(sums, F.col("n"))
+
+
+def _standard(sums: DataFrame, n: Column) -> DataFrame:
+    """(query_idx, mean, sd) of sums (query_idx, s, ss) over n documents."""
     variance = F.col("ss") / n - (F.col("s") / n) * (F.col("s") / n)
-    return out.select("query_idx", (F.col("s") / n).alias("mean"), F.when(variance > 1e-18, F.sqrt(variance)).otherwise(F.lit(0.0)).alias("sd"))
+    return sums.select("query_idx", (F.col("s") / n).alias("mean"), F.when(variance > 1e-18, F.sqrt(variance)).otherwise(F.lit(0.0)).alias("sd"))
+
 
+def bm25_moments(index: Index, queries: DataFrame) -> DataFrame:
+    """As ``bm25_standard`` of all scores, which are added up where they are made."""
+    rows = index.rows.select("doc_idx", "dl", "terms", "tfs")
 
-def cosines(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_idx, doc_idx, cosine) of every document and query; 0 where a vector is missing or zero."""
-    return products(docs, queries, unit=True).withColumnRenamed("product", "cosine")
+    def scored(part: DataFrame) -> DataFrame:
+        asked = asked_of(index, part)
 
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, squares = np.zeros(len(asked.ids)), np.zeros(len(asked.ids))
+            for own in _pieces(batches):
+                score = asked.bm25(own, params.K1, params.B)
+                total += score.sum(axis=0)
+                squares += (score * score).sum(axis=0)
+            yield pa.RecordBatch.from_arrays([asked.ids, pa.array(total), pa.array(squares)], names=["query_idx", "s", "ss"])
 
-def products(docs: DataFrame, queries: DataFrame, unit: bool) -> DataFrame:
-    """(query_idx, doc_idx, product) of every document and query, of vectors of length 1 if ``unit``.
+        return rows.mapInArrow(run, f"query_idx {_kind(part, 'query_idx')}, s double, ss double")
 
-    Up to BROADCAST_QUERIES queries go to the documents as one matrix and batches of documents meet
-    it as products of matrices; more queries come in as many parts.
+    sums = _per_part(queries, scored).groupBy("query_idx").agg(F.sum("s").alias("s"), F.sum("ss").alias("ss"))
+    return _standard(sums.where("s > 0"), F.lit(index.n))
+
+
+def vector_best(docs: DataFrame, queries: DataFrame, k: int, unit: bool) -> DataFrame:
+    """(query_idx, doc_idx, product): what may be among each query's k best products, of unit vectors if ``unit``.
+
+    Every document has a product; it is 0 where a vector is missing, zero or of another length.
     """
-    asked = queries.select("query_idx", "embedding")
-    parts = -(-asked.count() // BROADCAST_QUERIES)
-    held = spread(docs.select("doc_idx", "embedding"))
-    if parts > 1:
-        asked = cut(asked)
-        every = [_met(held, asked.where(F.pmod(F.xxhash64("query_idx"), F.lit(2 * parts)) == k), unit) for k in range(2 * parts)]
-        return reduce(DataFrame.unionByName, every)
-    return _met(held, asked, unit)
-
-
-def _met(held: DataFrame, queries: DataFrame, unit: bool) -> DataFrame:
-    some = queries.toArrow()
-    given = [v for v in some["embedding"].to_pylist() if v]
-    d = len(given[0]) if given else 1
-    asked, ids = _rows(some["embedding"], d, unit), some["query_idx"].combine_chunks()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                own = batch.slice(begin, 256)
-                product = _rows(own.column(1), d, unit) @ asked.T
-                document, query = (np.arange(x) for x in product.shape)
-                columns = [ids.take(pa.array(np.tile(query, len(document)))), own.column(0).take(pa.array(np.repeat(document, len(query)))), pa.array(product.ravel())]
-                yield pa.RecordBatch.from_arrays(columns, names=["query_idx", "doc_idx", "product"])
-
-    kind = lambda df, c: df.schema[c].dataType.simpleString()
-    return held.mapInArrow(run, f"query_idx {kind(queries, 'query_idx')}, doc_idx {kind(held, 'doc_idx')}, product double")
+    rows = docs.select("doc_idx", "embedding")
+
+    def scored(part: DataFrame) -> DataFrame:
+        asked = part.select("query_idx", "embedding").toArrow()
+        given = [v for v in asked["embedding"].to_pylist() if v]
+        d = len(given[0]) if given else 1
+        matrix, ids = _rows(asked["embedding"], d, unit), asked["query_idx"].combine_chunks()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = Best(k, len(ids))
+            for own in _pieces(batches):
+                best.add(own.column(0).to_numpy(), _rows(own.column(1), d, unit) @ matrix.T)
+            left = best.trim()
+            if left is not None:
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(left["f0"])), pa.array(left["f1"]), pa.array(left["f2"])], names=["query_idx", "doc_idx", "product"])
+
+        return rows.mapInArrow(run, f"query_idx {_kind(part, 'query_idx')}, doc_idx {_kind(rows, 'doc_idx')}, product double")
+
+    return _per_part(queries, scored)
+
+
+def vector_search(docs: DataFrame, queries: DataFrame, k: int = params.POOL_K, unit: bool = True) -> DataFrame:
+    """(query_idx, doc_idx, product, rank): the k best documents by cosine, or by product of the vectors as they are."""
+    return ranked(vector_best(docs, queries, k, unit), F.col("product"), "doc_idx", k)
 
 
 def _rows(vectors, d: int, unit: bool) -> np.ndarray:
@@ -149,21 +297,101 @@ def _rows(vectors, d: int, unit: bool) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) if unit else x
 
 
+def _hybrid(index: Index, queries: DataFrame, beta: float, k: int | None, vectors: tuple[str, ...]) -> DataFrame:
+    """(seed, query_idx, doc_idx, bm25, z, cosine, hybrid): all pairs, or with ``k`` those that may be among the best.
+
+    ``vectors`` are columns of both the index and the queries; a seed is a place among them.  They
+    share one scan and one BM25, so that several sets of vectors cost little more than one.
+    """
+    rows = index.rows.select("doc_idx", "dl", "terms", "tfs", *vectors)
+    moments = bm25_moments(index, queries)
+    names = ["seed", "query_idx", "doc_idx", "bm25", "z", "cosine", "hybrid"]
+
+    def scored(part: DataFrame) -> DataFrame:
+        asked = asked_of(index, part, vectors)
+        found = moments.join(part.select("query_idx"), "query_idx", "left_semi").toArrow()
+        asked.mean, asked.sd = np.zeros(len(asked.ids)), np.zeros(len(asked.ids))
+        at = pc.index_in(found["query_idx"], asked.ids).to_numpy()
+        asked.mean[at], asked.sd[at] = found["mean"].to_numpy(), found["sd"].to_numpy()
+
+        def batch_of(seed: int, query: np.ndarray, doc: pa.Array, *columns: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(query), seed), pa.int32()), asked.ids.take(pa.array(query)), doc, *map(pa.array, columns)], names=names)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = [Best(k or 1, len(asked.ids)) for _ in vectors]
+            for own in _pieces(batches):
+                bm25 = asked.bm25(own, params.K1, params.B)
+                z = np.where(asked.sd > 0, (bm25 - asked.mean) / np.where(asked.sd > 0, asked.sd, 1.0), 0.0)
+                for seed, c in enumerate(vectors):
+                    matrix = asked.vectors[c]
+                    cosine = _rows(own.column(c), matrix.shape[1], True) @ matrix.T
+                    hybrid = beta * z + (1 - beta) * cosine
+                    if k is None:
+                        doc, query = (x.ravel() for x in np.indices(hybrid.shape))
+                        yield batch_of(seed, query, own.column(0).take(pa.array(doc)), bm25.ravel(), z.ravel(), cosine.ravel(), hybrid.ravel())
+                    else:
+                        best[seed].add(own.column(0).to_numpy(), hybrid, bm25, z, cosine)
+            for seed, own in enumerate(best):
+                left = own.trim()
+                if left is not None:
+                    yield batch_of(seed, left["f0"], pa.array(left["f1"]), left["f3"], left["f4"], left["f5"], left["f2"])
+
+        kinds = f"seed int, query_idx {_kind(part, 'query_idx')}, doc_idx {_kind(rows, 'doc_idx')}, bm25 double, z double, cosine double, hybrid double"
+        return rows.mapInArrow(run, kinds)
+
+    return _per_part(queries, scored)
+
+
 def hybrid_scores(index: Index, queries: DataFrame, beta: float = params.BETA) -> DataFrame:
-    """(query_idx, doc_idx, bm25, z, cosine, hybrid) for every query and document.
+    """(query_idx, doc_idx, bm25, z, cosine, hybrid) for every query and document, for sums over all of them.
 
     Queries have query_idx, text and embedding.  Missing vectors have cosine 0.
     """
-    scores = cut(bm25_scores(index, queries))
-    pairs = cosines(index.docs, queries).join(scores, ["query_idx", "doc_idx"], "left").join(small(bm25_standard(scores, index.corpus)), "query_idx", "left")
-    bm25 = F.coalesce("bm25", F.lit(0.0))
-    z = F.when(F.coalesce("sd", F.lit(0.0)) > 0, (bm25 - F.col("mean")) / F.col("sd")).otherwise(F.lit(0.0))
-    out = pairs.select("query_idx", "doc_idx", bm25.alias("bm25"), z.alias("z"), "cosine")
-    return out.withColumn("hybrid", beta * F.col("z") + (1 - beta) * F.col("cosine"))
+    return _hybrid(index, queries, beta, None, ("embedding",)).drop("seed")
 
 
 def hybrid_search(index: Index, queries: DataFrame, beta: float = params.BETA, k: int = params.POOL_K) -> DataFrame:
-    return ranked(hybrid_scores(index, queries, beta), F.col("hybrid"), "doc_idx", k)
+    """The k best of ``hybrid_scores`` with their rank; what leaves a task is its own k best a query."""
+    return ranked(_hybrid(index, queries, beta, k, ("embedding",)).drop("seed"), F.col("hybrid"), "doc_idx", k)
+
+
+def hybrid_searches(index: Index, queries: DataFrame, vectors: tuple[str, ...], beta: float = params.BETA, k: int = params.POOL_K) -> DataFrame:
+    """``hybrid_search`` for several sets of vectors in one pass; ``seed`` is the place in ``vectors``."""
+    found = _hybrid(index, queries, beta, k, vectors)
+    order = Window.partitionBy("seed", "query_idx").orderBy(F.round("hybrid", 9).desc(), "doc_idx")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def containing(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """(query_idx, doc_idx) of documents (doc_idx, text) that hold the text of a passage (query_idx, text).
+
+    A part of the passages is one automaton, and a text is read once for all of them.  A null text
+    holds nothing, and a null or empty passage is held by none.
+    """
+
+    def scored(part: DataFrame) -> DataFrame:
+        given = part.where("text <> ''").select("query_idx", "text").toArrow()
+        ids: dict[str, list[int]] = {}
+        for at, text in enumerate(given["text"].to_pylist()):
+            ids.setdefault(text, []).append(at)
+        names = given["query_idx"].combine_chunks()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = ahocorasick.Automaton()
+            for text, own in ids.items():
+                found.add_word(text, own)
+            found.make_automaton()
+            for batch in batches:
+                doc, query = [], []
+                for row, text in enumerate(batch.column(1).to_pylist() if ids else []):
+                    held = {q for _, own in found.iter(text) for q in own} if text else ()
+                    doc += [row] * len(held)
+                    query += held
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(query, pa.int64())), batch.column(0).take(pa.array(doc, pa.int64()))], names=["query_idx", "doc_idx"])
+
+        return docs.select("doc_idx", "text").mapInArrow(run, f"query_idx {_kind(part, 'query_idx')}, doc_idx {_kind(docs, 'doc_idx')}")
+
+    return _per_part(passages, scored)
 
 
 def relevance_factors(pool: DataFrame, docs: DataFrame, queries: DataFrame, as_of: Column) -> DataFrame:

@@ -35,7 +35,8 @@ def cut(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Rows dealt to all cores where the scan has no more splits than cores; larger inputs stay as they are.
 
-    A Parquet file is split by row groups, so a small table may come in one part whatever its bytes.
+    For scans only: of those Spark knows the number of splits without running anything.  A Parquet file
+    is split by row groups, so a small table may come in one part whatever its bytes.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(2 * cores) if df.rdd.getNumPartitions() <= cores else df

@@ -5,6 +5,7 @@ Random numbers come from md5 of a seed and the ids, so that both engines draw th
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -38,7 +39,7 @@ def _drawn_sql(seed: str, *parts: str) -> str:
 def _bm25_pool(spark, sf) -> DataFrame:
     """The best 100 by BM25 with every factor and grade."""
     docs, asked = V.documents(spark, sf), V.asked(spark, sf)
-    top = R.bm25_search(R.build_index(docs, V.texts(spark, sf)), asked, params.POOL_K)
+    top = R.bm25_search(Q._index(spark, sf), asked, params.POOL_K)
     rows = R.relevance_factors(top.withColumn("cosine", F.lit(0.0)), docs, asked, Q.as_of())
     rows = rows.join(V.judged(spark, sf), ["query_idx", "doc_idx"], "left").withColumn("grade", F.coalesce("grade", F.lit(0.0)))
     return cut(rows.withColumnRenamed("rank", "pool_rank"))
@@ -127,8 +128,7 @@ def arm_19_oracle_variants(spark, sf):
     "docs", "asked",
 )
 def arm_21_full_corpus_dot(spark, sf):
-    rows = R.products(V.documents(spark, sf), V.asked(spark, sf), unit=False)
-    return R.ranked(rows, F.col("product"), "doc_idx", params.POOL_K).select("query_idx", "doc_idx", "rank")
+    return R.vector_search(Q._index(spark, sf).rows, V.asked(spark, sf), unit=False).select("query_idx", "doc_idx", "rank")
 
 
 @query("select a.query_idx, coalesce(n, 0) as matched, round(coalesce(k, 0) / 100.0, 6) as overlap from asked a left join (select query_idx, count(*) as n from bm25 where bm25 > 0 group by 1) m using (query_idx) left join (select query_idx, count(*) as k from bm25_top join hybrid_top using (query_idx, doc_idx) group by 1) o using (query_idx)", "asked", "bm25", "bm25_top", "hybrid_top")
@@ -142,6 +142,50 @@ def arm_18_matches_and_overlap(spark, sf):
     return rows.select("query_idx", zero("n").alias("matched"), r6(zero("k") / F.lit(float(params.POOL_K))).alias("overlap"))
 
 
+# -- random embeddings through the whole pipeline ---------------------------------------------------
+
+NOISE_SIZE = 64
+
+
+def _gaussians_sql(seed: str, key: str) -> str:
+    uniform = "cast(('0x' || substr(md5({text}), {at}, 12)) as bigint) / 281474976710656.0"
+    text = f"{seed} || '|' || {key} || '|' || i"
+    r, angle = f"sqrt(-2 * ln(1 - {uniform.format(text=text, at=1)}))", f"2 * pi() * {uniform.format(text=text, at=13)}"
+    return f"flatten(list_transform(range({NOISE_SIZE // 2}), lambda i: [{r} * cos({angle}), {r} * sin({angle})]))"
+
+
+_RANDOM_EXTRA = {
+    "noise_d": f"select seed, doc_idx, {_gaussians_sql(chr(39) + 'd' + chr(39) + ' || seed', 'doc_idx')} as v from docs cross join range({SEEDS}) r(seed)",
+    "noise_q": f"select seed, query_idx, {_gaussians_sql(chr(39) + 'q' + chr(39) + ' || seed', 'query_idx')} as v from asked cross join range({SEEDS}) r(seed)",
+    "random_all": f"select d.seed, h.query_idx, h.doc_idx, h.z, {V.cosine_sql('d.v', 'q.v')} as cosine from hybrid0 h join noise_d d on d.doc_idx = h.doc_idx join noise_q q on q.query_idx = h.query_idx and q.seed = d.seed",
+    "random_pool": "select * from (select *, row_number() over (partition by seed, query_idx order by round(0.4 * z + 0.6 * cosine, 9) desc, doc_idx) as pool_rank from random_all) where pool_rank <= 100",
+    "random_factors": f"select p.*, action, {V._WEIGHT_SQL} as evidence from random_pool p join (select doc_idx, action, {V._LEVEL_SQL} as evidence_level from docs) using (doc_idx)",
+    "arms": "select 'random_embedding_seed' || seed as arm, query_idx, doc_idx, row_number() over (partition by seed, query_idx order by round(evidence * (0.5 * cosine + 0.3 * 0.5 + 0.2 * action), 9) desc, pool_rank) as rank from random_factors",
+    "metrics": Q._METRICS_SQL,
+}
+
+
+@query("select arm, query_idx, round(ndcg, 6) as ndcg from metrics", "hybrid0", "docs", "asked", "judged", "ideal", extra=_RANDOM_EXTRA)
+def arm_15_random_embeddings(spark, sf):
+    """NDCG of the whole pipeline (hybrid pool, composite rerank) with noise for embeddings, SEEDS times.
+
+    All seeds share one scan of the index and one BM25.  As in the control they mimic, documents are as
+    new as can be (no decay), have no population, and evidence by their keywords.
+    """
+    index, asked = Q._index(spark, sf), V.asked(spark, sf).select("query_idx", "text")
+    names = tuple(f"noise_{s}" for s in range(SEEDS))
+    noisy = lambda kind, key: {n: P.gaussians(f"{kind}{s}", F.col(key), NOISE_SIZE) for s, n in enumerate(names)}
+    noisy_index = replace(index, rows=index.rows.withColumns(noisy("d", "doc_idx")))
+    pool = R.hybrid_searches(noisy_index, asked.withColumns(noisy("q", "query_idx")), names).withColumnRenamed("rank", "pool_rank")
+    title, abstract = F.col("title"), F.col("abstract")
+    factors = V.documents(spark, sf).select("doc_idx", T.actionability(title, abstract).alias("action"), T.evidence_weight(T.evidence_level(title, abstract)).alias("evidence"))
+    rows = pool.join(factors, "doc_idx")
+    score = S.composite(F.col("cosine"), F.lit(params.UNKNOWN_APPLICABILITY), F.col("action"), F.lit(1.0), F.col("evidence"))
+    order = Window.partitionBy("seed", "query_idx").orderBy(F.round(score, 9).desc(), "pool_rank")
+    arms = rows.select(F.concat(F.lit("random_embedding_seed"), F.col("seed").cast("string")).alias("arm"), "query_idx", "doc_idx", F.row_number().over(order).alias("rank"))
+    return M.per_query(arms, V.judged(spark, sf)).select("arm", "query_idx", r6("ndcg").alias("ndcg"))
+
+
 # -- strata by matches ----------------------------------------------------------------------------
 
 _COS_TOP = "select query_idx, doc_idx, row_number() over (partition by query_idx order by round(cosine, 9) desc, doc_idx) as rank from hybrid"
@@ -159,7 +203,7 @@ def arm_36_strata(spark, sf):
     i, asked, qrels = Q._index(spark, sf), V.asked(spark, sf), V.judged(spark, sf)
     matched = R.bm25_scores(i, asked).where("bm25 > 0").groupBy("query_idx").agg(F.count(F.lit(1)).alias("n"))
     one = R.bm25_search(i, asked, params.POOL_K).select(F.lit("bm25").alias("arm"), "query_idx", "doc_idx", "rank")
-    other = R.ranked(R.cosines(i.docs, asked), F.col("cosine"), "doc_idx", params.POOL_K).select(F.lit("cosine").alias("arm"), "query_idx", "doc_idx", "rank")
+    other = R.vector_search(i.rows, asked).select(F.lit("cosine").alias("arm"), "query_idx", "doc_idx", "rank")
     ndcg = M.per_query(one.unionByName(other), qrels).groupBy("query_idx").pivot("arm", ["bm25", "cosine"]).agg(F.first("ndcg"))
     n = F.coalesce("n", F.lit(0))
     rows = asked.select("query_idx").join(matched, "query_idx", "left").join(ndcg, "query_idx")

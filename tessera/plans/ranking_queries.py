@@ -23,7 +23,7 @@ def as_of():
 
 
 def _index(spark: SparkSession, sf: str) -> R.Index:
-    return R.build_index(V.documents(spark, sf), V.texts(spark, sf))
+    return V.index(spark, sf)
 
 
 @query("select doc_idx, term, cast(tf as int) as tf from postings", "postings")
@@ -48,7 +48,8 @@ def agg_04_bm25_scores(spark, sf):
 
 @query("select count(*) as postings, cast(sum(tf) as bigint) as tokens, count(distinct term) as terms from postings", "postings")
 def agg_05_index_sizes(spark, sf):
-    return _index(spark, sf).postings.agg(F.count(F.lit(1)).alias("postings"), F.sum("tf").alias("tokens"), F.countDistinct("term").alias("terms"))
+    i = _index(spark, sf)
+    return i.rows.agg(F.sum(F.size("terms")).cast("long").alias("postings"), F.sum("dl").alias("tokens")).crossJoin(F.broadcast(i.terms.agg(F.count(F.lit(1)).alias("terms"))))
 
 
 @query("select term, round(ln((n - df + 0.5) / (df + 0.5) + 1), 6) as idf from terms cross join corpus", "terms", "corpus")
@@ -108,7 +109,7 @@ def top_01_bm25_search(spark, sf):
 @query("select query_idx, round(mean, 5) as mean, round(sd, 5) as sd from standard", "standard")
 def win_02_bm25_standard(spark, sf):
     i = _index(spark, sf)
-    return R.bm25_standard(R.bm25_scores(i, V.asked(spark, sf)), i.corpus).select("query_idx", F.round("mean", 5).alias("mean"), F.round("sd", 5).alias("sd"))
+    return R.bm25_moments(i, V.asked(spark, sf)).select("query_idx", F.round("mean", 5).alias("mean"), F.round("sd", 5).alias("sd"))
 
 
 @query("select query_idx, doc_idx, round(hybrid, 6) as hybrid, cast(rank as int) as rank from hybrid_top", "hybrid_top")
@@ -119,7 +120,7 @@ def top_02_hybrid_search(spark, sf):
 def _pool(spark, sf) -> DataFrame:
     """The hybrid pool with every factor and grade; its ranks are pool_rank."""
     docs, asked = V.documents(spark, sf), V.asked(spark, sf)
-    factors = R.relevance_factors(R.hybrid_search(R.build_index(docs, V.texts(spark, sf)), asked), docs, asked, as_of())
+    factors = R.relevance_factors(R.hybrid_search(_index(spark, sf), asked), docs, asked, as_of())
     graded = factors.join(V.judged(spark, sf), ["query_idx", "doc_idx"], "left").withColumn("grade", F.coalesce("grade", F.lit(0.0)))
     return cut(graded.withColumnRenamed("rank", "pool_rank"))
 
@@ -306,15 +307,14 @@ def arm_19_oracle_topic(spark, sf):
 
 @query("select query_idx, doc_idx, cast(rank as int) as rank from (select query_idx, doc_idx, row_number() over (partition by query_idx order by round(cosine, 9) desc, doc_idx) as rank from hybrid) where rank <= 100", "hybrid")
 def arm_20_full_corpus_cosine(spark, sf):
-    rows = R.hybrid_scores(_index(spark, sf), V.asked(spark, sf))
-    return R.ranked(rows, F.col("cosine"), "doc_idx", params.POOL_K).select("query_idx", "doc_idx", "rank")
+    return R.vector_search(_index(spark, sf).rows, V.asked(spark, sf)).select("query_idx", "doc_idx", "rank")
 
 
 @query("select query_idx, doc_idx, cast(rank as int) as rank from (select query_idx, doc_idx, row_number() over (partition by query_idx order by round(cosine, 9) desc, rank) as rank from (select b.*, h.cosine from bm25_top b join hybrid0 h using (query_idx, doc_idx)))", "bm25_top", "hybrid0")
 def arm_22_bm25_pool_by_cosine(spark, sf):
     i, asked = _index(spark, sf), V.asked(spark, sf)
     pool = R.bm25_search(i, asked, params.POOL_K).withColumnRenamed("rank", "pool_rank")
-    pool = R.relevance_factors(pool.withColumn("cosine", F.lit(0.0)), i.docs, asked, as_of())
+    pool = R.relevance_factors(pool.withColumn("cosine", F.lit(0.0)), V.documents(spark, sf), asked, as_of())
     return P.arm(pool, "pool_cos", F.col("cosine")).select("query_idx", "doc_idx", "rank")
 
 

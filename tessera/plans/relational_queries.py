@@ -19,7 +19,7 @@ from .registry import query, r6
 
 
 def _top(spark, sf, k=params.POOL_K):
-    return R.bm25_search(R.build_index(V.documents(spark, sf), V.texts(spark, sf)), V.asked(spark, sf), k)
+    return R.bm25_search(V.index(spark, sf), V.asked(spark, sf), k)
 
 
 @query("select b.query_idx, b.doc_idx, cast(b.rank as int) as rank, coalesce(j.grade, 0.0) as grade from bm25_top b left join judged j using (query_idx, doc_idx)", "bm25_top", "judged")

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators.search import small
+from ..operators.index import Index, kept_index
+from ..operators.search import containing, small
 from ..operators.stages import spread
 
 AS_OF = "2001-01-01 00:00:00"
@@ -28,10 +29,16 @@ def _case(values: list[str], key: str) -> str:
     return f"case {key} % {len(values)} " + " ".join(f"when {i} then '{v}'" for i, v in enumerate(values)) + " end"
 
 
-def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_idx, title, abstract: the documents as far as an index needs them."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select(F.col("doc_id").alias("doc_idx"), F.expr(_case(TITLES, "doc_id")).alias("title"), F.coalesce("text", F.lit("")).alias("abstract"))
+def index(spark: SparkSession, sf_dir: str) -> Index:
+    """The stored index of the documents with their embeddings, made once for the tables as they are."""
+
+    def docs() -> DataFrame:
+        texts = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+        vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), "embedding")
+        title = F.expr(_case(TITLES, "doc_id")).alias("title")
+        return texts.join(vectors, "doc_id", "left").select(F.col("doc_id").alias("doc_idx"), title, F.coalesce("text", F.lit("")).alias("abstract"), "embedding")
+
+    return kept_index(spark, [f"{sf_dir}/{t}.parquet" for t in ("documents", "embeddings")], docs)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,10 +74,10 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_idx, doc_idx, grade."""
-    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.col("text").alias("passage"))
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("doc_idx"), "text"))
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id").distinct()
-    held = docs.join(small(items), F.contains("text", "passage")).select(F.col("item_id").alias("query_idx"), F.col("doc_id").alias("doc_idx"), F.lit(2.0).alias("grade"))
+    held = containing(docs, items.withColumnRenamed("item_id", "query_idx")).select("query_idx", "doc_idx", F.lit(2.0).alias("grade"))
     alike = labels.join(small(items.select("item_id")), F.expr("doc_id % 40 = item_id % 40")).select(F.col("item_id").alias("query_idx"), F.col("doc_id").alias("doc_idx"), F.lit(1.0).alias("grade"))
     return held.unionByName(alike).groupBy("query_idx", "doc_idx").agg(F.max("grade").alias("grade"))
 
@@ -101,7 +108,7 @@ CTES: dict[str, tuple[list[str], str]] = {
     "docs": (["docs1"], f"select *, coalesce(given, {_LEVEL_SQL}) as evidence_level, {_ACTION_SQL} as action, {_RATE_SQL} as rate from docs1"),
     "factors": (["docs"], f"select *, {_WEIGHT_SQL} as evidence, coalesce(exp(-rate * greatest(floor((epoch_us(timestamp '{AS_OF}') - epoch_us(publication_date)) / 86400000000.0), 0) / 365.25), 1.0) as tau from docs"),
     "asked": ([], "select item_id as query_idx, 'q' || item_id as qid, b.text, e.embedding, case item_id % 3 when 0 then null else 1 end as pop, case item_id % 3 when 1 then 65.0 when 2 then 18.0 end as age_min, case item_id % 3 when 1 then 85.0 end as age_max from benchmark b left join embeddings e on e.vec_id = b.item_id"),
-    "judged": ([], "select query_idx, doc_idx, max(grade) as grade from (select item_id as query_idx, doc_id as doc_idx, cast(2.0 as double) as grade from documents d join benchmark b on contains(d.text, b.text) union all select distinct item_id, doc_id, cast(1.0 as double) from labels l join benchmark b on l.quality = 1 and l.doc_id % 40 = b.item_id % 40) group by all"),
+    "judged": ([], "select query_idx, doc_idx, max(grade) as grade from (select item_id as query_idx, doc_id as doc_idx, cast(2.0 as double) as grade from documents d join benchmark b on b.text <> '' and contains(d.text, b.text) union all select distinct item_id, doc_id, cast(1.0 as double) from labels l join benchmark b on l.quality = 1 and l.doc_id % 40 = b.item_id % 40) group by all"),
     "tokens": (["docs"], r"select doc_idx, regexp_extract_all(t, '[\p{L}\p{N}_]+') as tokens from docs"),
     "lengths": (["tokens"], "select doc_idx, len(tokens) as dl from tokens"),
     "postings": (["tokens"], "select doc_idx, term, count(*) as tf from (select doc_idx, unnest(tokens) as term from tokens) group by all"),
