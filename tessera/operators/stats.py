@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import params
-from .pool import drawn
+from .stages import cut
 
 
 def differences(metrics: DataFrame, one: str, other: str, value: str = "ndcg") -> DataFrame:
@@ -27,17 +31,89 @@ def paired(diffs: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
-def bootstrap_means(diffs: DataFrame, draws: int, seed: str = "b") -> DataFrame:
-    """(draw, mean): means of resamples of the rows with replacement, drawn by md5 so that reruns agree.
+#: Draws of a block: its counts are one matrix, which meets the differences in one product.
+BLOCK_DRAWS = 256
+
+
+def _uniforms(seed: str, draws: np.ndarray, keys: list) -> np.ndarray:
+    """(draw, key) uniform numbers in [0, 1): those of ``pool.drawn``."""
+    out = np.empty((len(draws), len(keys)))
+    for i, draw in enumerate(draws.tolist()):
+        begun = hashlib.md5(f"{seed}|{draw}|".encode())
+        for j, key in enumerate(keys):
+            whole = begun.copy()
+            whole.update(str(key).encode())
+            out[i, j] = int.from_bytes(whole.digest()[:6], "big")
+    return out / float(1 << 48)
+
 
-    Rows are numbered; a draw picks one number for each place.  The draws are rows of their own,
-    spread over the cluster; each meets the numbered rows by number.
+def _over_draws(wide: DataFrame, names: list[str], draws: int, weights) -> DataFrame:
+    """(draw, a mean for each name): ``weights(draws, keys)`` times the differences, over the number of rows.
+
+    ``wide`` has query_idx and a column of differences for each name: a few numbers a query, which go
+    to every task.  The draws are spread over the cluster, and one row leaves for each.
     """
-    rows = diffs.withColumn("place", F.row_number().over(Window.orderBy("query_idx")) - 1)
-    n = rows.agg(F.count(F.lit(1)).alias("n"))
-    wanted = rows.select("place").crossJoin(F.broadcast(n)).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    wanted = wanted.select("draw", F.floor(drawn(seed, F.col("draw"), F.col("place")) * F.col("n")).cast("int").alias("place"))
-    return wanted.join(rows.select("place", "diff"), "place").groupBy("draw").agg(F.avg("diff").alias("mean"))
+    held = wide.select("query_idx", *[F.col(f"`{n}`") for n in names]).orderBy("query_idx").toPandas()
+    keys, x = held["query_idx"].tolist(), held[names].to_numpy(np.float64)
+
+    def run(batches):
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            for s in range(0, len(own), BLOCK_DRAWS):
+                block = own[s : s + BLOCK_DRAWS]
+                means = weights(block, keys) @ x / max(len(keys), 1)
+                yield pa.RecordBatch.from_arrays([pa.array(block), *[pa.array(means[:, i]) for i in range(len(names))]], names=["draw", *names])
+
+    spark = wide.sparkSession
+    rows = spark.range(draws if keys else 0, numPartitions=spark.sparkContext.defaultParallelism)
+    return rows.mapInArrow(run, ", ".join(["draw long", *[f"`{n}` double" for n in names]]))
+
+
+def resampled_means(wide: DataFrame, names: list[str], draws: int, seed: str = "b") -> DataFrame:
+    """(draw, means): resamples of the rows with replacement, the same for all names; drawn by md5 so that reruns agree."""
+
+    def counts(block: np.ndarray, keys: list) -> np.ndarray:
+        n = len(keys)
+        at = np.floor(_uniforms(seed, block, list(range(n))) * n).astype(np.int64)
+        return np.bincount((at + np.arange(len(block))[:, None] * n).ravel(), minlength=len(block) * n).reshape(len(block), n).astype(np.float64)
+
+    return _over_draws(wide, names, draws, counts)
+
+
+def flipped_means(wide: DataFrame, names: list[str], draws: int, seed: str = "s") -> DataFrame:
+    """(draw, means) with random signs by md5 of the query, the same for all names."""
+    return _over_draws(wide, names, draws, lambda block, keys: np.where(_uniforms(seed, block, keys) < 0.5, -1.0, 1.0))
+
+
+def bootstrap_means(diffs: DataFrame, draws: int, seed: str = "b") -> DataFrame:
+    """(draw, mean): means of resamples of (query_idx, diff)."""
+    return resampled_means(diffs, ["diff"], draws, seed).select("draw", F.col("diff").alias("mean"))
+
+
+#: A mean of flipped differences within so much of the one seen counts as reaching it.
+REACHED = 1e-12
+
+
+def p_values(wide: DataFrame, names: list[str], draws: int, seed: str = "s") -> DataFrame:
+    """(name, p), two-sided: (1 + draws whose mean is as far from 0) / (draws + 1)."""
+    seen = wide.agg(*[F.abs(F.avg(F.col(f"`{n}`"))).alias(n) for n in names]).first()
+    reached = lambda n: F.sum((F.abs(F.col(f"`{n}`")) >= F.lit(seen[n]) - REACHED).cast("long"))
+    row = flipped_means(wide, names, draws, seed).agg(*[((1 + F.coalesce(reached(n), F.lit(0))) / (draws + 1.0)).alias(n) for n in names])
+    return row.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"`{n}`").alias("p")) for n in names])).alias("t")).select("t.*")
+
+
+def intervals(wide: DataFrame, names: list[str], draws: int, seed: str = "b") -> DataFrame:
+    """(name, mean, lo, hi): means and their percentiles 2.5 and 97.5 over resamples."""
+    row = resampled_means(wide, names, draws, seed).agg(*[F.percentile(F.col(f"`{n}`"), F.array(F.lit(0.025), F.lit(0.975))).alias(n) for n in names])
+    seen = wide.agg(*[F.avg(F.col(f"`{n}`")).alias(f"{n}_mean") for n in names])
+    each = [F.struct(F.lit(n).alias("name"), F.col(f"`{n}_mean`").alias("mean"), F.col(f"`{n}`")[0].alias("lo"), F.col(f"`{n}`")[1].alias("hi")) for n in names]
+    return row.crossJoin(F.broadcast(seen)).select(F.explode(F.array(*each)).alias("t")).select("t.*")
+
+
+def in_columns(diffs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(query_idx, a column for each name) of diffs (name, query_idx, diff), and the names in order."""
+    names = [r[0] for r in diffs.select("name").distinct().orderBy("name").collect()]  # the comparisons' names
+    return diffs.groupBy("query_idx").pivot("name", names).agg(F.first("diff")), names
 
 
 def interval(means: DataFrame) -> DataFrame:
@@ -47,12 +123,8 @@ def interval(means: DataFrame) -> DataFrame:
 
 
 def sign_flip_p(diffs: DataFrame, draws: int, seed: str = "s") -> DataFrame:
-    """Two-sided p: (1 + draws whose mean is as far from 0) / (draws + 1), with random signs by md5."""
-    seen = diffs.agg(F.abs(F.avg("diff")).alias("seen"))
-    flipped = diffs.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    sign = F.when(drawn(seed, F.col("draw"), F.col("query_idx")) < 0.5, F.lit(-1.0)).otherwise(F.lit(1.0))
-    null = flipped.groupBy("draw").agg(F.abs(F.avg(F.col("diff") * sign)).alias("m")).crossJoin(F.broadcast(seen))
-    return null.agg(((1 + F.sum((F.col("m") >= F.col("seen") - 1e-15).cast("long"))) / (draws + 1.0)).alias("p"))
+    """One row, p: of the mean of (query_idx, diff)."""
+    return p_values(diffs, ["diff"], draws, seed).select("p")
 
 
 def holm(tests: DataFrame, p: str = "p", key: str = "name") -> DataFrame:
@@ -125,37 +197,38 @@ def decide(t: dict[str, Column]) -> Column:
     )
 
 
-def analysis(diffs: DataFrame, manipulated: DataFrame, draws: int = params.BOOTSTRAP_DRAWS, flips: int = params.SIGN_FLIPS) -> DataFrame:
-    """The decision over paired comparisons (name, query_idx, diff), one row.
+#: Comparisons that are adjusted together; M-L where the learned arm is there.
+FAMILY = ("M-F", "M-U", "M-V", "M-L", "M-Rbar")
+
 
-    All comparisons share their resamples and sign flips.  M-B0 is the primary one; M-F, M-U, M-V and
-    M-Rbar are adjusted together; Nbar-B0 and Pbar-M are the controls.
+def statistics(diffs: DataFrame, draws: int = params.BOOTSTRAP_DRAWS, flips: int = params.SIGN_FLIPS) -> DataFrame:
+    """(name, mean, lo, hi, p, p_holm) of comparisons (name, query_idx, diff); p_holm for those of FAMILY.
+
+    All comparisons share their resamples and sign flips.
     """
-    names = [r[0] for r in diffs.select("name").distinct().orderBy("name").collect()]  # the comparisons' names
-    wide = diffs.groupBy("query_idx").pivot("name", names).agg(F.first("diff"))
-    column = {n: F.col(f"`{n}`") for n in names}
-    rows = wide.withColumn("place", F.row_number().over(Window.orderBy("query_idx")) - 1)
-    n = rows.agg(F.count(F.lit(1)).alias("n"))
-    wanted = rows.select("place").crossJoin(F.broadcast(n)).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    wanted = wanted.select("draw", F.floor(drawn("b", F.col("draw"), F.col("place")) * F.col("n")).cast("int").alias("place"))
-    means = wanted.join(rows, "place").groupBy("draw").agg(*[F.avg(c).alias(k) for k, c in column.items()])
-    low, high = ({k: F.percentile(c, q) for k, c in column.items()} for q in (0.025, 0.975))
-    bounds = means.agg(*[low[k].alias(f"{k}_lo") for k in names], *[high[k].alias(f"{k}_hi") for k in names])
-    seen = wide.agg(*[F.avg(c).alias(f"{k}_mean") for k, c in column.items()])
-    flipped = wide.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(flips - 1))))
-    sign = F.when(drawn("s", F.col("draw"), F.col("query_idx")) < 0.5, F.lit(-1.0)).otherwise(F.lit(1.0))
-    null = flipped.groupBy("draw").agg(*[F.abs(F.avg(c * sign)).alias(k) for k, c in column.items()]).crossJoin(F.broadcast(seen))
-    reached = lambda k: (column[k] >= F.abs(F.col(f"`{k}_mean`")) - 1e-15).cast("long")
-    p = null.agg(*[((1 + F.sum(reached(k))) / (flips + 1.0)).alias(f"{k}_p") for k in names])
-    family = [k for k in names if k in ("M-F", "M-U", "M-V", "M-Rbar")]
-    tests = p.select(F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.col(f"`{k}_p`").alias("p")) for k in family])).alias("t")).select("t.*")
-    adjusted = holm(tests).groupBy().pivot("name", family).agg(F.first("p_holm"))
-    row = bounds.crossJoin(seen).crossJoin(adjusted.select(*[F.col(f"`{k}`").alias(f"{k}_holm") for k in family])).crossJoin(manipulated)
+    wide, names = in_columns(diffs)
+    wide = cut(wide)
+    tests = p_values(wide, names, flips)
+    adjusted = holm(tests.where(F.col("name").isin(*FAMILY))).select("name", "p_holm")
+    return intervals(wide, names, draws).join(tests, "name").join(adjusted, "name", "left")
+
+
+def analysis(stats: DataFrame, manipulated: DataFrame) -> DataFrame:
+    """The decision over ``statistics``, one row: decision, qualifiers and what the decision rests on.
+
+    M-B0 is the primary comparison, Nbar-B0 and Pbar-M are the controls.  ``learned_beats``: a learned
+    combination beats the designed one; ``mapping_adds``: the question-type mapping adds something
+    beyond gating as such.
+    """
+    every = ("M-B0", "M-F", "M-U", "M-V", "M-L", "M-Rbar", "Nbar-B0", "Pbar-M")
+    value = lambda name, c: F.max(F.when(F.col("name") == name, F.col(c)))
+    row = stats.agg(*[value(n, c).alias(f"{n}_{c}") for n in every for c in ("mean", "lo", "hi", "p_holm")]).crossJoin(F.broadcast(manipulated))
     of = lambda k, what: F.col(f"`{k}_{what}`")
     t = {"positive_lo": of("Pbar-M", "lo"), "primary_mean": of("M-B0", "mean"), "primary_lo": of("M-B0", "lo"), "primary_hi": of("M-B0", "hi"), "manipulated": F.col("manipulated"), "noise_hi": of("Nbar-B0", "hi")}
-    t |= {f"{k.lower()}_mean": of(f"M-{k}", "mean") for k in "FUV"} | {f"{k.lower()}_p": of(f"M-{k}", "holm") for k in "FUV"}
-    mapping = (of("M-Rbar", "holm") < 0.05) & (of("M-Rbar", "mean") > 0)
-    return row.select(decide(t).alias("decision"), mapping.alias("mapping_adds"), *[F.round(c, 6).alias(k) if k != "manipulated" else c.alias(k) for k, c in t.items()])
+    t |= {f"{k.lower()}_mean": of(f"M-{k}", "mean") for k in "FUV"} | {f"{k.lower()}_p": of(f"M-{k}", "p_holm") for k in "FUV"}
+    mapping = (of("M-Rbar", "p_holm") < 0.05) & (of("M-Rbar", "mean") > 0)
+    learned = F.coalesce((of("M-L", "p_holm") < 0.05) & (of("M-L", "mean") < 0), F.lit(False))
+    return row.select(decide(t).alias("decision"), learned.alias("learned_beats"), mapping.alias("mapping_adds"), *[F.round(c, 6).alias(k) if k != "manipulated" else c.alias(k) for k, c in t.items()])
 
 
 def same_lists(rankings: DataFrame, one: str, other: str, k: int = params.CUTOFF) -> DataFrame:

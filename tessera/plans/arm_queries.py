@@ -294,7 +294,7 @@ _COMPARISONS = {"M-B0": ("M", "B0"), "M-F": ("M", "F"), "M-U": ("M", "U"), "M-V"
     "pool", "judged", "ideal", "docs1", extra=_ALL_EXTRA | {"bars": _BARS},
 )
 def sta_09_comparisons(spark, sf):
-    """The paired comparisons of the analysis; what needs draws is in ``sta_09_analysis``."""
+    """The paired comparisons of the analysis, as far as they need no draws."""
     return ST.paired(_compared(_bars(spark, sf)), ["name"]).select("name", "n", r6("mean").alias("mean"), r6("sd").alias("sd"), "wins", "losses", "ties")
 
 
@@ -303,16 +303,152 @@ def _compared(bars: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [ST.differences(bars, x, y).select(F.lit(n).alias("name"), "query_idx", F.round("diff", 9).alias("diff")) for n, (x, y) in _COMPARISONS.items()])
 
 
+# The statistics of all comparisons but the one with the learned arm, whose scores SQL cannot fit.
+_STATS_EXTRA = _ALL_EXTRA | {
+    "bars": _BARS,
+    "compared": f"select name, a.query_idx, round(a.ndcg - b.ndcg, 9) as diff from (values {', '.join(f"('{n}', '{x}', '{y}')" for n, (x, y) in _COMPARISONS.items())}) c(name, one, other) join bars a on a.arm = one join bars b on b.arm = other and b.query_idx = a.query_idx",
+    "placed": "select *, dense_rank() over (order by query_idx) - 1 as place from compared",
+    "places": "select place, count(*) over () as n from (select distinct place from placed)",
+    "resamples": f"select draw, cast(floor({_drawn_sql('b', 'draw', 'place')} * n) as bigint) as place from places cross join range({params.BOOTSTRAP_DRAWS}) r(draw)",
+    "boot": "select name, draw, avg(diff) as mean from resamples join placed using (place) group by name, draw",
+    "ci": "select name, quantile_cont(mean, 0.025) as lo, quantile_cont(mean, 0.975) as hi from boot group by name",
+    "signs": f"select draw, query_idx, case when {_drawn_sql('s', 'draw', 'query_idx')} < 0.5 then -1.0 else 1.0 end as sign from (select distinct query_idx from compared) cross join range({params.SIGN_FLIPS}) r(draw)",
+    "nulls": "select name, draw, abs(avg(diff * sign)) as m from signs join compared using (query_idx) group by name, draw",
+    "seen": "select name, avg(diff) as mean from compared group by name",
+    "tests": f"select name, (1 + count(*) filter (m >= abs(mean) - 1e-12)) / {params.SIGN_FLIPS + 1}.0 as p from nulls join seen using (name) group by name",
+    "holms": "select name, least(1.0, max((m - rn + 1) * p) over (order by p, name rows unbounded preceding)) as p_holm from (select name, p, count(*) over () as m, row_number() over (order by p, name) as rn from tests where name in ('M-F', 'M-U', 'M-V', 'M-Rbar'))",
+    "stats": "select s.name, mean, lo, hi, p, p_holm from seen s join ci using (name) join tests using (name) left join holms using (name)",
+}
+_STATS_NEEDS = ("pool", "judged", "ideal", "docs1")
+
+
+def _statistics(spark, sf) -> DataFrame:
+    return cut(ST.statistics(cut(_compared(_bars(spark, sf)))))
+
+
+@query("select name, round(p, 6) as p, round(p_holm, 6) as p_holm from stats where p_holm is not null", *_STATS_NEEDS, extra=_STATS_EXTRA)
+def sta_03_holm(spark, sf):
+    return _statistics(spark, sf).where("p_holm is not null").select("name", r6("p").alias("p"), r6("p_holm").alias("p_holm"))
+
+
+@query("select name, round(lo, 6) as lo, round(hi, 6) as hi, case when lo > -0.03 and hi < 0.03 then 'equivalent' when lo > 0 then 'better' when hi < 0 then 'worse' else 'inconclusive' end as verdict from stats", *_STATS_NEEDS, extra=_STATS_EXTRA)
+def sta_04_equivalence(spark, sf):
+    return _statistics(spark, sf).select("name", r6("lo").alias("lo"), r6("hi").alias("hi"), ST.equivalence(F.col("lo"), F.col("hi")).alias("verdict"))
+
+
+@query("select round(median(ratio), 4) as median_sd_ratio, round(any_value(overlap), 6) as mean_overlap, case when median(ratio) > 3 and any_value(overlap) >= 0.7 then 'contradicted' when median(ratio) < 1.5 then 'supported' else 'mixed' end as verdict from (select stddev_pop(0.4 * z) / stddev_pop(0.6 * cosine) as ratio from hybrid group by query_idx having stddev_pop(cosine) > 1e-12), (select avg(coalesce(k, 0) / 100.0) as overlap from asked left join (select query_idx, count(*) as k from bm25_top join hybrid_top using (query_idx, doc_idx) group by 1) using (query_idx))", "hybrid", "asked", "bm25_top", "hybrid_top")
+def sta_05_pool_verdict(spark, sf):
+    """Whether BM25 dominates the pool, from the spreads of the two parts of the score and the overlap with BM25's own pool."""
+    i, asked = Q._index(spark, sf), V.asked(spark, sf)
+    spreads = R.hybrid_scores(i, asked).groupBy("query_idx").agg(F.stddev_pop(0.4 * F.col("z")).alias("a"), F.stddev_pop(0.6 * F.col("cosine")).alias("b")).where("b > 0.6e-12")
+    both = R.bm25_search(i, asked, params.POOL_K).select("query_idx", "doc_idx").join(R.hybrid_search(i, asked).select("query_idx", "doc_idx"), ["query_idx", "doc_idx"]).groupBy("query_idx").agg(F.count(F.lit(1)).alias("k"))
+    overlap = asked.select("query_idx").join(both, "query_idx", "left").agg(F.avg(F.coalesce("k", F.lit(0)) / F.lit(float(params.POOL_K))).alias("overlap"))
+    row = spreads.agg(F.percentile(F.col("a") / F.col("b"), 0.5).alias("ratio")).crossJoin(F.broadcast(overlap))
+    return row.select(F.round("ratio", 4).alias("median_sd_ratio"), r6("overlap").alias("mean_overlap"), ST.pool_verdict(F.col("ratio"), F.col("overlap")).alias("verdict"))
+
+
+_MEAN_OF = "(select avg(ndcg) from metrics where arm = '{}')"
+
+
+@query(
+    f"select round(g, 6) as gain, round(a, 6) as artefact, case when g <= 0 then 'nothing to explain' when a >= 0.5 * g then 'artefact' when a < 0.25 * g then 'not an artefact' else 'partial' end as verdict from (select {_MEAN_OF.format('abl_topic_off')} - {_MEAN_OF.format('full_clinical')} as g, {_MEAN_OF.format('abl_topic_off')} - (select avg(ndcg) from random_ties) as a)",
+    *Q._NEEDS, extra=Q._EXTRA | {"random_ties": _random_sql("pool", "t", Q._composite_sql(topic="0.0"))},
+)
+def sta_06_tie_verdict(spark, sf):
+    """Whether the gain without topic comes from the order in which ties stand."""
+    means = Q._metrics(spark, sf).groupBy().pivot("arm", ["abl_topic_off", "full_clinical"]).agg(F.avg("ndcg"))
+    ties = arm_09_topic_off_random_ties(spark, sf).agg(F.avg("ndcg").alias("ties"))
+    g, a = F.col("abl_topic_off") - F.col("full_clinical"), F.col("abl_topic_off") - F.col("ties")
+    return means.crossJoin(F.broadcast(ties)).select(r6(g).alias("gain"), r6(a).alias("artefact"), ST.tie_verdict(g, a).alias("verdict"))
+
+
+_ENCODER_EXTRA = Q._EXTRA | {
+    "random_orders": _random_sql("pool", "r"),
+    "placed": "select query_idx, round(m.ndcg - r.ndcg, 9) as diff, row_number() over (order by query_idx) - 1 as place, count(*) over () as n from metrics m join random_orders r using (query_idx) where m.arm = 'cos_only_rerank'",
+    "boot": f"select draw, avg(diff) as mean from (select draw, cast(floor({_drawn_sql('b', 'draw', 'place')} * n) as bigint) as place from placed cross join range({params.BOOTSTRAP_DRAWS}) r(draw)) join placed using (place) group by draw",
+}
+
+
+@query("select round(lo, 6) as lo, round(hi, 6) as hi, case when hi < 0 then 'harmful' when lo > 0 then 'informative' else 'no detectable information' end as verdict from (select quantile_cont(mean, 0.025) as lo, quantile_cont(mean, 0.975) as hi from boot)", *Q._NEEDS, extra=_ENCODER_EXTRA)
+def sta_07_encoder(spark, sf):
+    """Whether reranking the pool by cosine alone tells more than a random order does."""
+    cosine = Q._metrics(spark, sf).where("arm = 'cos_only_rerank'").select("query_idx", F.col("ndcg").alias("x"))
+    rows = cosine.join(arm_08_random_rerank(spark, sf), "query_idx").select("query_idx", F.round(F.col("x") - F.col("ndcg"), 9).alias("diff"))
+    ci = ST.intervals(cut(rows), ["diff"], params.BOOTSTRAP_DRAWS)
+    return ci.select(r6("lo").alias("lo"), r6("hi").alias("hi"), ST.encoder_verdict(F.col("lo"), F.col("hi")).alias("verdict"))
+
+
+_SENSITIVE_EXTRA = {k: v for k, v in _RANDOM_EXTRA.items() if k not in ("arms", "metrics")} | {
+    "arms": _RANDOM_EXTRA["arms"] + " union all " + Q._ranked_sql("full_clinical", Q._composite_sql()),
+    "metrics": Q._METRICS_SQL,
+    "seeds": "select arm, avg(ndcg) - (select avg(ndcg) from metrics where arm = 'full_clinical') as d from metrics where arm <> 'full_clinical' group by arm",
+}
+
+
+@query("select round(avg(d), 6) as mean_minus_full, round(max(abs(d)), 6) as worst_seed, case when abs(avg(d)) > 0.03 or max(abs(d)) > 0.04 then 'sensitive' else 'not sensitive' end as verdict from seeds", "hybrid0", "docs", "asked", "pool", "judged", "ideal", extra=_SENSITIVE_EXTRA)
+def sta_07_sensitivity(spark, sf):
+    """Whether the pipeline's quality depends on its embeddings, from those with noise in their place."""
+    full = M.per_query(Q._reranked("full", Q._pool(spark, sf)), V.judged(spark, sf)).agg(F.avg("ndcg").alias("full"))
+    seeds = arm_15_random_embeddings(spark, sf).groupBy("arm").agg(F.avg("ndcg").alias("m")).crossJoin(F.broadcast(full)).select((F.col("m") - F.col("full")).alias("d"))
+    row = seeds.agg(F.avg("d").alias("mean"), F.max(F.abs(F.col("d"))).alias("worst"))
+    return row.select(F.round("mean", 6).alias("mean_minus_full"), F.round("worst", 6).alias("worst_seed"), ST.sensitivity(F.col("mean"), F.col("worst")).alias("verdict"))
+
+
+def _rho_sql(y: str) -> str:
+    ranked = Q._RANKED.format(x=Q._composite_sql(), y=y)
+    return f"select query_idx, case when max(rx) > min(rx) and max(ry) > min(ry) then corr(rx, ry) end as rho from ({ranked}) group by 1"
+
+
+@query(f"select round(e, 6) as rho_evidence, round(c, 6) as rho_cosine, case when e > c + 0.2 then 'evidence weight dominates' else 'evidence weight does not dominate' end as verdict from (select median(rho) as e from ({_rho_sql('evidence')})), (select median(rho) as c from ({_rho_sql('cosine')}))", "pool")
+def sta_07_driver(spark, sf):
+    """Which factor orders the composite within the pools: medians of rank correlations."""
+    score = S.composite(F.col("cosine"), F.col("apply"), F.col("action"), F.col("tau"), F.col("evidence"))
+    rows = cut(Q._pool(spark, sf).select("query_idx", F.round(score, 9).alias("score"), F.round("evidence", 9).alias("e"), F.round("cosine", 9).alias("c")))
+    e, c = (ST.spearman(rows, "score", x).agg(F.percentile("rho", 0.5).alias(x)) for x in ("e", "c"))
+    return e.crossJoin(F.broadcast(c)).select(r6("e").alias("rho_evidence"), r6("c").alias("rho_cosine"), ST.driver_verdict(F.col("e"), F.col("c")).alias("verdict"))
+
+
+@query(f"select round(d, 6) as difference, abs(d) <= 0.01 as within from (select {_MEAN_OF.format('bm25_rerank_of_pool')} - {_MEAN_OF.format('bm25')} as d)", *Q._NEEDS, extra=Q._EXTRA)
+def sta_07_control(spark, sf):
+    """The positive control: the pool reranked by BM25 must come close to BM25."""
+    means = Q._metrics(spark, sf).groupBy().pivot("arm", ["bm25_rerank_of_pool", "bm25"]).agg(F.avg("ndcg"))
+    d = F.col("bm25_rerank_of_pool") - F.col("bm25")
+    return means.select(r6(d).alias("difference"), ST.control_ok(d).alias("within"))
+
+
+def _manipulated(spark, sf) -> DataFrame:
+    same = ST.same_lists(Q._composed(spark, sf), "M", "U").where("query_idx % 4 = 1")
+    return same.agg(F.coalesce(F.avg((~F.col("same")).cast("int")) >= params.MANIPULATION_SHARE, F.lit(False)).alias("manipulated"))
+
+
+_OF = "(select {what} from stats where name = '{name}')"
+_S = lambda name, what: _OF.format(name=name, what=what)
+_GAIN = f"{_S('M-B0', 'mean')} >= 0.05 and {_S('M-B0', 'lo')} > 0"
+_SIG = {k: f"({_S(f'M-{k}', 'p_holm')} < 0.05 and {_S(f'M-{k}', 'mean')} > 0)" for k in ("F", "U", "V", "Rbar")}
+_DECISION = f"""case when {_S('Pbar-M', 'lo')} <= 0 then 'Test failed' when {_S('M-B0', 'hi')} < 0.05 then 'Refuted' when not manipulated then 'Untestable'
+  when {_GAIN} and {_SIG['F']} and {_SIG['U']} and {_SIG['V']} and {_S('Nbar-B0', 'hi')} < 0.05 then 'Supported'
+  when {_GAIN} and (not {_SIG['U']} or not {_SIG['V']} or {_S('Nbar-B0', 'hi')} >= 0.05) then 'Gain without attribution' else 'Inconclusive' end"""
+_SAME = "select coalesce(avg(cast(not same as int)) >= 0.5, false) as manipulated from (select list(doc_idx order by rank) filter (arm = 'M' and rank <= 10) = list(doc_idx order by rank) filter (arm = 'U' and rank <= 10) as same from composed where query_idx % 4 = 1 group by query_idx)"
+
+
+@query(f"select {_DECISION} as decision, {_SIG['Rbar']} as mapping_adds, round({_S('M-B0', 'mean')}, 6) as primary_mean, round({_S('M-B0', 'lo')}, 6) as primary_lo, round({_S('M-B0', 'hi')}, 6) as primary_hi, round({_S('Pbar-M', 'lo')}, 6) as positive_lo, round({_S('Nbar-B0', 'hi')}, 6) as noise_hi, manipulated from ({_SAME})", *_STATS_NEEDS, extra=_STATS_EXTRA | {"composed": Q._COMPOSED_SQL})
+def sta_08_decisions(spark, sf):
+    """The decision on these tables, its family without the learned arm (with it: ``sta_09_analysis``)."""
+    return ST.analysis(_statistics(spark, sf), _manipulated(spark, sf)).select("decision", "mapping_adds", "primary_mean", "primary_lo", "primary_hi", "positive_lo", "noise_hi", "manipulated")
+
+
 @query()
 def sta_09_analysis(spark, sf):
-    """One row: the decision and what it rests on, with 10,000 resamples and sign flips.
+    """One row: the decision with all five comparisons, both qualifiers, and what it rests on.
 
-    The comparison with the learned ranker is left to ``arm_34``; the others are one Holm family.
+    The learned arm is ``arm_34_learned_ranker``: its held-out scores order the pools.
     """
-    bars = _bars(spark, sf)
-    same = ST.same_lists(Q._composed(spark, sf), "M", "U").where("query_idx % 4 = 1")
-    manipulated = same.agg(F.coalesce(F.avg((~F.col("same")).cast("int")) >= params.MANIPULATION_SHARE, F.lit(False)).alias("manipulated"))
-    return ST.analysis(cut(_compared(bars)), manipulated)
+    bars, qrels = _bars(spark, sf), cut(V.judged(spark, sf))
+    order = Window.partitionBy("query_idx").orderBy(F.desc("score"), "pool_rank")
+    learned = Q.learned_scores(spark, sf).select(F.lit("L").alias("arm"), "query_idx", "doc_idx", F.row_number().over(order).alias("rank"))
+    bars = cut(bars.unionByName(M.per_query(learned, qrels).select("arm", "query_idx", "ndcg")))
+    compared = _compared(bars).unionByName(ST.differences(bars, "M", "L").select(F.lit("M-L").alias("name"), "query_idx", F.round("diff", 9).alias("diff")))
+    return ST.analysis(cut(ST.statistics(cut(compared))), _manipulated(spark, sf))
 
 
 # -- joins ----------------------------------------------------------------------------------------

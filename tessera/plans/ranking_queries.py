@@ -226,22 +226,27 @@ def met_02_ideal_dcg(spark, sf):
     return M.ideal_dcg(V.judged(spark, sf)).select("query_idx", r6("idcg").alias("idcg"))
 
 
-_BOUNDS = "(values (0.3::double, 0.4::double), (0.5::double, 0.525::double), (0.5::double, 0.49::double), (0.25::double, 0.3125::double)) v(baseline, experimental)"
+_BOUNDS = {"bounds": "select a.arm, round(b.m, 6) as baseline, round(a.m, 6) as experimental from (select arm, avg(ndcg) as m from metrics group by arm) a, (select avg(ndcg) as m from metrics where arm = 'bm25') b where a.arm <> 'bm25'"}
 
 
-def _bounds(spark):
-    return spark.createDataFrame([(0.3, 0.4), (0.5, 0.525), (0.5, 0.49), (0.25, 0.3125)], "baseline double, experimental double")
+def _bounds(spark, sf) -> DataFrame:
+    """(arm, baseline, experimental): the mean NDCG of every arm beside that of BM25."""
+    means = _metrics(spark, sf).groupBy("arm").agg(r6(F.avg("ndcg")).alias("experimental"))
+    base = means.where("arm = 'bm25'").select(F.col("experimental").alias("baseline"))
+    return means.where("arm <> 'bm25'").crossJoin(F.broadcast(base))
 
 
-@query(f"""select baseline, experimental, experimental - baseline >= 0.05 as passed, case when experimental - baseline >= 0.05 then 'PASS: +' || printf('%.3f', experimental - baseline)
-  when experimental > baseline then 'FAIL: +' || printf('%.3f', experimental - baseline) || ' < 0.05 required' else 'FAIL: no improvement (' || printf('%.3f', experimental - baseline) || ')' end as message from {_BOUNDS}""")
+@query("""select arm, baseline, experimental, experimental - baseline >= 0.05 as passed, case when experimental - baseline >= 0.05 then 'PASS: +' || printf('%.3f', experimental - baseline)
+  when experimental > baseline then 'FAIL: +' || printf('%.3f', experimental - baseline) || ' < 0.05 required' else 'FAIL: no improvement (' || printf('%.3f', experimental - baseline) || ')' end as message from bounds""", *_NEEDS, extra=_EXTRA | _BOUNDS)
 def met_06_conjecture(spark, sf):
-    return _bounds(spark).withColumn("c", M.conjecture(F.col("baseline"), F.col("experimental"))).select("baseline", "experimental", "c.passed", "c.message")
+    rows = _bounds(spark, sf).withColumn("c", M.conjecture(F.col("baseline"), F.col("experimental")))
+    return rows.select("arm", "baseline", "experimental", "c.passed", "c.message")
 
 
-@query(f"select baseline, experimental, experimental >= baseline + 0.05 as absolute, experimental >= baseline * 1.05 as relative from {_BOUNDS}")
+@query("select arm, baseline, experimental, experimental >= baseline + 0.05 as absolute, experimental >= baseline * 1.05 as relative from bounds", *_NEEDS, extra=_EXTRA | _BOUNDS)
 def met_07_both_bars(spark, sf):
-    return _bounds(spark).withColumn("c", M.bars(F.col("baseline"), F.col("experimental"))).select("baseline", "experimental", "c.absolute", "c.relative")
+    rows = _bounds(spark, sf).withColumn("c", M.bars(F.col("baseline"), F.col("experimental")))
+    return rows.select("arm", "baseline", "experimental", "c.absolute", "c.relative")
 
 
 @query("select query_idx, round(sum(case when in_pool then 1.0 else 0.0 end) / count(*), 6) as recall from (select j.query_idx, p.doc_idx is not null as in_pool from judged j left join hybrid_top p using (query_idx, doc_idx) where grade > 0) group by 1", "judged", "hybrid_top")
@@ -438,69 +443,18 @@ _DRAWN = "cast(('0x' || substr(md5({text}), 1, 12)) as bigint) / 281474976710656
 _DIFFS = {"diffs": "select a.query_idx, round(a.ndcg - b.ndcg, 9) as diff, row_number() over (order by a.query_idx) - 1 as place, count(*) over () as n from metrics a join metrics b on a.query_idx = b.query_idx and a.arm = 'M' and b.arm = 'B0'"}
 
 
-@query(f"select round(quantile_cont(mean, 0.025), 6) as ci_lo, round(quantile_cont(mean, 0.975), 6) as ci_hi from (select draw, avg(d.diff) as mean from (select draw, cast(floor({_DRAWN.format(text=chr(39) + 'b|' + chr(39) + ' || draw || ' + chr(39) + '|' + chr(39) + ' || place')} * n) as bigint) as place from diffs cross join range(1000) r(draw)) w join diffs d using (place) group by draw)", "pool", "judged", "ideal", extra=_COMPOSED_EXTRA | _DIFFS)
+@query(f"select round(quantile_cont(mean, 0.025), 6) as ci_lo, round(quantile_cont(mean, 0.975), 6) as ci_hi from (select draw, avg(d.diff) as mean from (select draw, cast(floor({_DRAWN.format(text=chr(39) + 'b|' + chr(39) + ' || draw || ' + chr(39) + '|' + chr(39) + ' || place')} * n) as bigint) as place from diffs cross join range({params.BOOTSTRAP_DRAWS}) r(draw)) w join diffs d using (place) group by draw)", "pool", "judged", "ideal", extra=_COMPOSED_EXTRA | _DIFFS)
 def sta_01_bootstrap_interval(spark, sf):
-    diffs = ST.differences(_composed_metrics(spark, sf), "M", "B0").withColumn("diff", F.round("diff", 9))
-    return ST.interval(ST.bootstrap_means(diffs, 1000)).select(r6("ci_lo").alias("ci_lo"), r6("ci_hi").alias("ci_hi"))
-
-
-@query(f"select round((1 + count(*) filter (m >= seen - 1e-12)) / 1001.0, 6) as p from (select draw, abs(avg(diff * case when {_DRAWN.format(text=chr(39) + 's|' + chr(39) + ' || draw || ' + chr(39) + '|' + chr(39) + ' || query_idx')} < 0.5 then -1.0 else 1.0 end)) as m from diffs cross join range(1000) r(draw) group by draw), (select abs(avg(diff)) as seen from diffs)", "pool", "judged", "ideal", extra=_COMPOSED_EXTRA | _DIFFS)
-def sta_02_sign_flips(spark, sf):
-    diffs = ST.differences(_composed_metrics(spark, sf), "M", "B0").withColumn("diff", F.round("diff", 9))
-    return ST.sign_flip_p(diffs, 1000).select(r6("p").alias("p"))
-
-
-def _with_draws(name: str, draws: int) -> str:
-    """The SQL of a resampling query at another number of draws."""
-    from .registry import SQL
-
-    assert "range(1000)" in SQL[name]
-    return SQL[name].replace("range(1000)", f"range({draws})").replace("/ 1001.0", f"/ {draws + 1}.0")
-
-
-@query(_with_draws("sta_01_bootstrap_interval", params.BOOTSTRAP_DRAWS))
-def sta_01_bootstrap_interval_whole(spark, sf):
-    """The interval at the reference's number of draws."""
     diffs = ST.differences(_composed_metrics(spark, sf), "M", "B0").withColumn("diff", F.round("diff", 9))
     return ST.interval(ST.bootstrap_means(diffs, params.BOOTSTRAP_DRAWS)).select(r6("ci_lo").alias("ci_lo"), r6("ci_hi").alias("ci_hi"))
 
 
-@query(_with_draws("sta_02_sign_flips", params.SIGN_FLIPS))
-def sta_02_sign_flips_whole(spark, sf):
-    """The p-value at the reference's number of sign flips."""
+@query(f"select round((1 + count(*) filter (m >= seen - 1e-12)) / {params.SIGN_FLIPS + 1}.0, 6) as p from (select draw, abs(avg(diff * case when {_DRAWN.format(text=chr(39) + 's|' + chr(39) + ' || draw || ' + chr(39) + '|' + chr(39) + ' || query_idx')} < 0.5 then -1.0 else 1.0 end)) as m from diffs cross join range({params.SIGN_FLIPS}) r(draw) group by draw), (select abs(avg(diff)) as seen from diffs)", "pool", "judged", "ideal", extra=_COMPOSED_EXTRA | _DIFFS)
+def sta_02_sign_flips(spark, sf):
     diffs = ST.differences(_composed_metrics(spark, sf), "M", "B0").withColumn("diff", F.round("diff", 9))
     return ST.sign_flip_p(diffs, params.SIGN_FLIPS).select(r6("p").alias("p"))
 
 
-@query("select name, p, round(least(1.0, max((m - rn + 1) * p) over (order by p, name rows unbounded preceding)), 6) as p_holm from (select name, p, count(*) over () as m, row_number() over (order by p, name) as rn from (values ('a', 0.01::double), ('b', 0.04::double), ('c', 0.03::double), ('d', 0.5::double), ('e', 0.9::double)) v(name, p))")
-def sta_03_holm(spark, sf):
-    rows = spark.createDataFrame([("a", 0.01), ("b", 0.04), ("c", 0.03), ("d", 0.5), ("e", 0.9)], "name string, p double")
-    return ST.holm(rows).select("name", "p", r6("p_holm").alias("p_holm"))
-
-
-_CI = "(values (-0.01::double, 0.01::double), (0.001::double, 0.02::double), (0.01::double, 0.2::double), (-0.3::double, -0.05::double), (-0.1::double, 0.2::double)) v(lo, hi)"
-
-
-@query(f"select lo, hi, case when lo > -0.03 and hi < 0.03 then 'equivalent' when lo > 0 then 'better' when hi < 0 then 'worse' else 'inconclusive' end as verdict from {_CI}")
-def sta_04_equivalence(spark, sf):
-    rows = spark.createDataFrame([(-0.01, 0.01), (0.001, 0.02), (0.01, 0.2), (-0.3, -0.05), (-0.1, 0.2)], "lo double, hi double")
-    return rows.select("lo", "hi", ST.equivalence(F.col("lo"), F.col("hi")).alias("verdict"))
-
-
-@query("select a, b, case when a > 3 and b >= 0.7 then 'contradicted' when a < 1.5 then 'supported' else 'mixed' end as pool_verdict, case when a <= 0 then 'nothing to explain' when b >= 0.5 * a then 'artefact' when b < 0.25 * a then 'not an artefact' else 'partial' end as tie_verdict, case when abs(a) > 0.03 or b > 0.04 then 'sensitive' else 'not sensitive' end as sensitivity from (values (4.0::double, 0.8::double), (1.0::double, 0.3::double), (2.0::double, 0.1::double), (-1.0::double, 0.5::double), (0.01::double, 0.02::double)) v(a, b)")
-def sta_05_to_07_verdicts(spark, sf):
-    rows = spark.createDataFrame([(4.0, 0.8), (1.0, 0.3), (2.0, 0.1), (-1.0, 0.5), (0.01, 0.02)], "a double, b double")
-    a, b = F.col("a"), F.col("b")
-    return rows.select("a", "b", ST.pool_verdict(a, b).alias("pool_verdict"), ST.tie_verdict(a, b).alias("tie_verdict"), ST.sensitivity(a, b).alias("sensitivity"))
-
-
-@query("select lo, hi, case when hi < 0 then 'harmful' when lo > 0 then 'informative' else 'no detectable information' end as encoder, case when hi > lo + 0.2 then 'evidence weight dominates' else 'evidence weight does not dominate' end as driver, abs(lo) <= 0.01 as control_ok from (values (-0.2::double, -0.1::double), (0.05::double, 0.3::double), (-0.01::double, 0.1::double), (0.0::double, 0.0::double), (-0.3::double, 0.2::double)) v(lo, hi)")
-def sta_07_encoder_driver_control(spark, sf):
-    rows = spark.createDataFrame([(-0.2, -0.1), (0.05, 0.3), (-0.01, 0.1), (0.0, 0.0), (-0.3, 0.2)], "lo double, hi double")
-    lo, hi = F.col("lo"), F.col("hi")
-    return rows.select("lo", "hi", ST.encoder_verdict(lo, hi).alias("encoder"), ST.driver_verdict(hi, lo).alias("driver"), ST.control_ok(lo).alias("control_ok"))
-
-
 @query(
     """select count(*) as differing from (
   (select query_idx, doc_idx, rank from bm25_top except all select query_idx, doc_idx, rank from padded) union all (select query_idx, doc_idx, rank from padded except all select query_idx, doc_idx, rank from bm25_top))""",
@@ -534,13 +488,16 @@ def snk_03_run_lines(spark, sf):
     return run_lines(rows).select(F.col("value").alias("line"))
 
 
-@query()
-def arm_34_learned_ranker(spark, sf):
-    """Held-out scores of the pairwise ranker, five folds and all penalties."""
+def learned_scores(spark, sf) -> DataFrame:
+    """The pools with held-out scores of the pairwise ranker, five folds and all penalties."""
     from ..operators import ranker
 
     rows = cut(P.normalised(_modules(spark, sf)))
-    items = rows.select("query_idx", "doc_idx", "pool_rank", "grade", P.features(rows).alias("features"))
-    items = cut(items)
+    items = cut(rows.select("query_idx", "doc_idx", "pool_rank", "grade", P.features(rows).alias("features")))
     scored, _ = ranker.cross_fit(items, V.judged(spark, sf))
-    return scored.select("query_idx", "doc_idx", r6("score").alias("score"))
+    return scored.withColumn("score", F.round("score", 9))
+
+
+@query()
+def arm_34_learned_ranker(spark, sf):
+    return learned_scores(spark, sf).select("query_idx", "doc_idx", r6("score").alias("score"))

@@ -94,22 +94,6 @@ def win_08_tie_at_cutoff(spark, sf):
     return rows.select("query_idx", (F.round("bm25", 9) == F.round("following", 9)).alias("tied"))
 
 
-_CASES = [(0.1, 0.06, 0.01, 0.2, True, 0.01, 0.01), (0.0, 0.06, 0.01, 0.2, True, 0.01, 0.01), (0.1, 0.02, 0.0, 0.04, True, 0.01, 0.01), (0.1, 0.06, 0.01, 0.2, False, 0.01, 0.01), (0.1, 0.06, 0.01, 0.2, True, 0.3, 0.01), (0.1, 0.04, 0.01, 0.2, True, 0.01, 0.01), (0.1, 0.06, 0.01, 0.2, True, 0.01, 0.09)]
-_CASE_COLUMNS = ["positive_lo", "primary_mean", "primary_lo", "primary_hi", "manipulated", "u_p", "noise_hi"]
-
-
-@query(
-    "select *, case when positive_lo <= 0 then 'Test failed' when primary_hi < 0.05 then 'Refuted' when not manipulated then 'Untestable' "
-    "when primary_mean >= 0.05 and primary_lo > 0 and u_p < 0.05 and noise_hi < 0.05 then 'Supported' "
-    "when primary_mean >= 0.05 and primary_lo > 0 and (u_p >= 0.05 or noise_hi >= 0.05) then 'Gain without attribution' else 'Inconclusive' end as decision from (values "
-    + ", ".join("(" + ", ".join(str(x).lower() if isinstance(x, bool) else f"{x}::double" for x in c) + ")" for c in _CASES) + f") v({', '.join(_CASE_COLUMNS)})"
-)
-def sta_08_decisions(spark, sf):
-    rows = spark.createDataFrame(_CASES, ", ".join(f"{c} {'boolean' if c == 'manipulated' else 'double'}" for c in _CASE_COLUMNS))
-    t = {c: F.col(c) for c in _CASE_COLUMNS} | {k: F.lit(v) for k, v in {"f_mean": 0.1, "f_p": 0.01, "u_mean": 0.1, "v_mean": 0.1, "v_p": 0.01}.items()}
-    return rows.select("*", ST.decide(t).alias("decision"))
-
-
 @query("select '2014-' || item_id % 9 as qid, cast(item_id as varchar) as id, 2 as grade from benchmark")
 def src_06_trec_judgments(spark, sf):
     items = spark.read.parquet(f"{sf}/benchmark.parquet")

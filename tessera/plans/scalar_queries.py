@@ -35,27 +35,22 @@ def scl_03_temporal_decay(spark, sf):
     return d.select("doc_idx", r6(S.temporal_decay(date, as_of(), F.col("domain"))).alias("tau"), r6(S.temporal_decay(date, as_of(), F.col("domain"), F.lit(0.3))).alias("tau_given"), r6(S.temporal_decay(date, as_of(), F.col("domain"), F.lit(0.0))).alias("tau_zero"))
 
 
-_RATES = ", ".join(f"('{k}', cast({v} as double))" for k, v in [*params.DECAY_RATES.items(), ("default", params.DEFAULT_DECAY)])
-
-
-def _rates(spark):
-    return spark.createDataFrame([*params.DECAY_RATES.items(), ("default", params.DEFAULT_DECAY)], "domain string, rate double")
-
-
-@query(f"select * from (values {_RATES}) v(domain, rate)")
+@query("select lower(domain) as domain, cast(rate as double) as rate, count(*) as documents from docs group by all", "docs")
 def scl_04_decay_table(spark, sf):
-    return _rates(spark)
+    rows = V.documents(spark, sf).select(F.lower("domain").alias("domain"), S.decay_rate(F.col("domain")).alias("rate"))
+    return rows.groupBy("domain", "rate").agg(F.count(F.lit(1)).alias("documents"))
 
 
-@query(f"select domain, round(ln(2) / rate, 6) as half_life from (values {_RATES}) v(domain, rate)")
+@query("select doc_idx, round(ln(2) / rate, 6) as half_life from docs", "docs")
 def scl_05_half_life(spark, sf):
-    return _rates(spark).select("domain", r6(S.half_life(F.col("domain"))).alias("half_life"))
+    return V.documents(spark, sf).select("doc_idx", r6(S.half_life(F.col("domain"))).alias("half_life"))
 
 
-@query(f"select domain, threshold, round(-ln(threshold) / rate, 6) as years from (values {_RATES}) v(domain, rate), (values (0.5::double), (0.25::double), (1.0::double)) t(threshold)")
+@query("select doc_idx, round(-ln(evidence) / rate, 6) as years from factors", "factors")
 def scl_06_years_until_threshold(spark, sf):
-    t = spark.createDataFrame([(0.5,), (0.25,), (1.0,)], "threshold double")
-    return _rates(spark).crossJoin(t).select("domain", "threshold", r6(S.years_until(F.col("threshold"), F.col("domain"))).alias("years"))
+    """Years until age discounts a document as much as its evidence level does."""
+    years = S.years_until(T.evidence_weight(F.col("evidence_level")), F.col("domain"))
+    return V.documents(spark, sf).select("doc_idx", r6(years).alias("years"))
 
 
 @query("select doc_idx, cast(evidence_level as int) as evidence_level, cast(evidence as double) as weight from factors", "factors")
@@ -63,9 +58,11 @@ def scl_07_evidence_weight(spark, sf):
     return V.documents(spark, sf).select("doc_idx", "evidence_level", T.evidence_weight(F.col("evidence_level")).alias("weight"))
 
 
-@query("select cast(level as int) as level, name, cast(weight as double) as weight, cast(lo as double) as lo, cast(hi as double) as hi from (values " + ", ".join(f"({x[0]}, '{x[1]}', {x[2]}, {x[3]}, {x[4]})" for x in params.EVIDENCE) + ") v(level, name, weight, lo, hi)")
+@query("select doc_idx, name, cast(weight as double) as weight, cast(lo as double) as lo, cast(hi as double) as hi from factors join (values " + ", ".join(f"({x[0]}, '{x[1]}', {x[2]}, {x[3]}, {x[4]})" for x in params.EVIDENCE) + ") v(level, name, weight, lo, hi) on level = evidence_level", "factors")
 def scl_08_weight_intervals(spark, sf):
-    return spark.createDataFrame([x[:5] for x in params.EVIDENCE], "level int, name string, weight double, lo double, hi double")
+    """Every document with the name, weight and interval of its evidence level."""
+    levels = spark.createDataFrame([x[:5] for x in params.EVIDENCE], "evidence_level int, name string, weight double, lo double, hi double")
+    return V.documents(spark, sf).select("doc_idx", "evidence_level").join(F.broadcast(levels), "evidence_level").drop("evidence_level")
 
 
 @query(f"select doc_idx, cast({V._LEVEL_SQL} as int) as level from docs", "docs")
