@@ -9,15 +9,18 @@ from the recall wanted at the threshold itself (closer pairs are found more sure
 Equal vectors are one class and enter the tables once, with their number.  Only codes go to the
 tables.  A bucket is split into blocks, and pairs of blocks are sieved as matrices of bits: a vector
 stays where the Hamming distance of its whole code to another's is within a radius, and only then
-is it sent there.  Vectors of different lengths never meet: a length has codes and buckets of its own.  Blocks of those vectors are compared as matrices in turn: what leaves a pair of
-blocks is a count of links and one edge of a spanning star for each vector, never the pairs.  A pair
-of vectors counts only in the first table where the two meet.
+is it sent there.  The distance of a pair is the same in every table, so a pair within the radius stays
+wherever it meets.  Tables and radius are fitted to sampled pairs at the threshold.  Vectors of different
+lengths never meet: a length has codes and buckets of its own.  Blocks of those vectors are compared as
+matrices in turn: what leaves a pair of blocks is a count of links and one edge of a spanning star for
+each vector, never the pairs.  A pair of vectors counts only in the first table where the two meet.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -32,8 +35,10 @@ from .embeddings import matrix, usable
 
 #: Rows of a block; a pair of blocks is what one comparison holds.
 BLOCK = 2048
-#: Share of the bits of a code in which two vectors may differ and still be compared.
+#: Share of the bits of a code in which two vectors may differ and still be compared, at least.
 SIEVE = 0.35
+#: Of the loss allowed, the part kept in reserve, since recall is measured on the sample that codes are learnt from.
+RESERVE = 0.3
 
 
 def itq_rotation(x: np.ndarray, seed: int, turns: int = 40) -> np.ndarray:
@@ -74,28 +79,77 @@ def by_length(sample) -> dict[int, np.ndarray]:
     return out
 
 
-def bit_agreement(x: np.ndarray, mean: np.ndarray, axes: np.ndarray, threshold: float, band: float = 0.03, rows: int = 4096, least: int = 50) -> float:
-    """Share of bits in which vectors at the threshold agree: by the angle, or what the sample shows if that is less.
+def threshold_pairs(x: np.ndarray, threshold: float, band: float = 0.03, rows: int = 4096, least: int = 50, most: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of unit vectors just above the threshold: those of the sample, or made ones where it has too few.
 
-    Codes are of centred vectors, whose angles may be wider than the vectors' own.
+    A made pair is a vector and one at exactly the threshold from it, on the way to another vector of
+    the sample, so that it lies where the data lie.
     """
-    by_angle = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
     own = x[:rows]
-    if not len(own):
-        return by_angle
-    bits = (own - mean) @ axes[:, : own.shape[1]] >= 0
-    cosine = own @ own.T
-    a, b = np.nonzero(np.triu((cosine >= threshold) & (cosine < threshold + band), 1))
-    if len(a) < least:
-        return by_angle
-    a, b = a[:100_000], b[:100_000]
-    return min(by_angle, float((bits[a] == bits[b]).mean()))
+    a, b = np.nonzero(np.triu((cosine := own @ own.T) >= threshold, 1) & (cosine < threshold + band)) if len(own) else (np.zeros(0, int),) * 2
+    if len(a) >= least:
+        some = np.linspace(0, len(a) - 1, min(len(a), most)).astype(int)
+        return own[a[some]], own[b[some]]
+    rng = np.random.default_rng(11)
+    at, to = rng.integers(0, max(1, len(own)), (2, 4096 if len(own) > 1 else 0))
+    start = own[at]
+    away = own[to] - (own[to] * start).sum(axis=1, keepdims=True) * start
+    length = np.linalg.norm(away, axis=1)
+    good = length > 1e-6
+    start, away = start[good], away[good] / length[good, None]
+    return start, threshold * start + math.sqrt(max(0.0, 1 - threshold**2)) * away
+
+
+def tables_for(rows: int, agree: float, recall: float, bucket: int = 64, most_bits: int = 24) -> tuple[int, int]:
+    """Bits of a run so that buckets hold about ``bucket`` vectors, and tables for the recall wanted, if bits were independent."""
+    run = min(most_bits, max(1, math.ceil(math.log2(max(2, rows / bucket)))))
+    hit = min(1 - 1e-9, max(1e-6, agree**run))
+    return run, max(1, math.ceil(math.log(1 - recall) / math.log(1 - hit)))
+
+
+@dataclass
+class Coding:
+    """Codes of ``tables`` runs of ``run`` bits, by length of the vectors; pairs further apart than ``radius`` bits are not compared.
+
+    ``recall`` is the share of the pairs just above the threshold, in the sample, that are found.
+    """
+
+    run: int
+    tables: int
+    radius: int
+    learnt: dict[int, tuple[np.ndarray, np.ndarray]]
+    recall: float
 
 
-def tables_for(rows: int, agree: float, recall: float, bucket: int = 64, least_bits: int = 6, most_bits: int = 24) -> tuple[int, int]:
-    """Bits of a run so that buckets hold about ``bucket`` vectors, and tables for the recall wanted."""
-    run = min(most_bits, max(least_bits, math.ceil(math.log2(max(2, rows / bucket)))))
-    return run, max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree**run)))
+def fitted(units: dict[int, np.ndarray], rows: int, threshold: float, recall: float) -> Coding:
+    """Tables and radius such that sampled pairs just above the threshold are found.
+
+    Codes are of centred vectors, whose angles may be far wider than the vectors' own (vectors with a
+    common direction), so what bits tell is measured and not derived from the threshold: tables are
+    added until the recall on the pairs holds, and the radius covers all but a thousandth of them.
+    """
+    pairs = {d: threshold_pairs(x, threshold) for d, x in units.items()}
+
+    def bits(d: int, mean: np.ndarray, axes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return tuple((x - mean) @ axes >= 0 for x in pairs[d])
+
+    agree = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    for d, x in units.items():
+        one, other = bits(d, *learn_codes(x, d))
+        agree = min(agree, float((one == other).mean())) if len(one) else agree
+    run, tables = tables_for(rows, agree, recall)
+    while True:
+        learnt = {d: learn_codes(x, run * tables) for d, x in units.items()}
+        radius, found = math.ceil(SIEVE * run * tables), 1.0
+        for d, own in learnt.items():
+            one, other = bits(d, *own)
+            if len(one):
+                apart = (one != other).sum(axis=1)
+                radius = max(radius, math.ceil(float(np.quantile(apart, 0.999)) + 0.03 * run * tables))
+                found = min(found, float((~(one != other).reshape(len(one), tables, run).any(axis=2)).any(axis=1).mean()))
+        if found >= recall + RESERVE * (1 - recall) or run * tables >= 64 * 1024:
+            return Coding(run, tables, min(radius, run * tables), learnt, found)
+        tables = math.ceil(1.25 * tables) + 1
 
 
 #: Pairs whose codes are looked at together.
@@ -171,12 +225,9 @@ def vector_links(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding
     share = min(1.0, fit_rows / max(1, n))
     sample = heads.where(F.pmod(F.xxhash64("id", F.lit(41)), F.lit(1_000_003)) < share * 1_000_003).select("id", "v").toArrow().sort_by("id")
     units = by_length(sample["v"]) if sample.num_rows else {1: np.zeros((0, 1))}
-    agree = min(bit_agreement(x, *learn_codes(x, d), threshold) for d, x in units.items())
-    run, tables = tables_for(n, agree, recall)
-    learnt = {d: learn_codes(x, run * tables) for d, x in units.items()}
+    coding = fitted(units, n, threshold, recall)
+    run, tables, radius, learnt = coding.run, coding.tables, coding.radius, coding.learnt
     powers = 1 << np.arange(run)
-    # unlike pairs differ in half their bits, pairs at the threshold in far fewer
-    radius = math.ceil(SIEVE * run * tables)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import top_k, vector_links
@@ -32,11 +33,46 @@ def test_links_recall_and_precision(spark):
     y /= np.linalg.norm(y, axis=1, keepdims=True)
     near = (y @ y.T >= 0.9) & ~np.eye(len(y), dtype=bool)
     found = np.array([rows[i].n_links for i in range(len(x))])
-    assert (found <= near.sum(axis=1)).all() and found.sum() >= 0.9 * near.sum()
+    assert (found <= near.sum(axis=1)).all() and found.sum() >= 0.98 * near.sum()
     assert all(rows[i].component_id == 3 for i in range(200, 240))
     assert all(rows[i].n_links == 0 and rows[i].kept and rows[i].component_id == i for i, _ in ODD)
 
 
+def shaped(kind, n=1200, d=64, seed=9):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, d))
+    if kind == "common":  # a mean cosine of 0.85
+        x = x * (0.15 / d) ** 0.5 + 0.85**0.5 * np.eye(d)[0]
+    elif kind == "clustered":
+        x = rng.normal(size=(12, d))[rng.integers(0, 12, n)] + 0.33 * x
+    elif kind == "low_rank":
+        x = x[:, :5] @ rng.normal(size=(5, d))
+    else:
+        x[n // 2 :] = x[: n - n // 2] + rng.uniform(0.2, 0.6, (n - n // 2, 1)) * x[n // 2 :]
+    return x.astype(np.float32)
+
+
+@pytest.mark.parametrize("kind", ["isotropic", "common", "clustered", "low_rank"])
+def test_links_are_found_whatever_the_shape(spark, kind):
+    x = shaped(kind)
+    rows = {r.vec_id: r.n_links for r in vector_links.vector_links(table(spark, x)).collect()}
+    y = x.astype(np.float64)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    near = (y @ y.T >= 0.9).sum(axis=1) - 1
+    found = np.array([rows[i] for i in range(len(x))])
+    assert near.sum() > 300 and (found <= near).all() and found.sum() >= 0.98 * near.sum()
+
+
+def test_fit_without_pairs_in_the_sample():
+    y = shaped("common", 200)
+    y = y / np.linalg.norm(y, axis=1, keepdims=True)
+    one, other = vector_links.threshold_pairs(y.astype(np.float64), 0.999)
+    assert len(one) > 1000 and np.allclose((one * other).sum(axis=1), 0.999)
+    coding = vector_links.fitted({64: y.astype(np.float64)}, 5_000, 0.97, 0.98)
+    assert coding.recall >= 0.98 and coding.radius <= coding.run * coding.tables
+    assert vector_links.fitted({1: np.zeros((0, 1))}, 0, 0.9, 0.98).tables >= 1
+
+
 def test_links_within_each_length(spark):
     one, two, rare = data(5), data(6, d=8), np.array([[1.0, 2.0], [2.0, 4.0], [2.0, -1.0], [1.0, 2.1]])
     rows = [*one, *two, *rare, np.append(one[0], [0.0] * 3), one[0][:2]]
@@ -45,7 +81,7 @@ def test_links_within_each_length(spark):
         y = x / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
         near = (y @ y.T >= 0.9).sum(axis=1) - 1
         own = np.array(found[at : at + 300])
-        assert (own <= near).all() and own.sum() >= 0.9 * near.sum()
+        assert (own <= near).all() and own.sum() >= 0.98 * near.sum()
     assert found[600:604] == [2, 2, 0, 2] and found[604] == 0
 
 
