@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +24,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The frame as a Parquet table in the shared folder, read again with its schema."""
+    path = f"{shared_folder(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The frame from a reliable checkpoint, so that later plans are short and survive lost executors."""
     spark = df.sparkSession

@@ -12,8 +12,10 @@ from ..functions import scores as S
 from ..operators import pool as P
 from ..operators import search as R
 from ..operators import stats as ST
-from ..operators.stages import shared_folder
+from ..operators.stages import shared_folder, stored
 from ..sources import articles as A
+from ..sources import corpus as C
+from ..sources import embedding_cache as EC
 from . import views as V
 from .registry import query, r6
 
@@ -110,3 +112,47 @@ def src_04_split_judgments(spark, sf):
     rows.write.partitionBy("split").option("sep", "\t").option("header", True).csv(folder)
     halves = A.read_qrels(spark, f"{folder}/split=0", "0").unionByName(A.read_qrels(spark, f"{folder}/split=1", "1"))
     return halves.groupBy("qid", F.col("split").cast("long").alias("parity")).agg(F.count(F.lit(1)).alias("judged"))
+
+
+_FILES = "select doc_id, doc_id % 900 as own, doc_id % 800 as inside, case when doc_id % 7 = 3 then 'parse_error' when doc_id % 11 = 5 then 'no_article_meta' else 'parsed' end as status from documents"
+
+
+def _article_files(spark, sf) -> DataFrame:
+    """An article file for each document (source, path, member, text); some are broken, without meta data, or of one number."""
+    i = F.col("doc_id")
+    text = lambda c: c.cast("string")
+    tag = lambda kind, c: F.concat(F.lit(f'<article-id pub-id-type="{kind}">'), text(c), F.lit("</article-id>"))
+    when = lambda c, x: F.when(F.expr(c), x).otherwise(F.lit(""))
+    meta = F.concat(
+        tag("pmc", F.concat(F.lit("PMC"), text(i % 800))), when("doc_id % 3 = 0", tag("pmid", i)), when("doc_id % 4 = 1", F.lit('<pub-date pub-type="epub"><year>2000</year></pub-date>')),
+        when("doc_id % 5 <> 0", F.concat(F.lit("<abstract>"), F.length("text").cast("string"), F.lit(" signs</abstract>"))),
+    )
+    whole = F.concat(F.lit("<article><front><article-meta>"), meta, F.lit("</article-meta></front></article>"))
+    file = F.when(F.expr("doc_id % 7 = 3"), "<article><front>").when(F.expr("doc_id % 11 = 5"), "<article><front/></article>").otherwise(whole)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return docs.select(F.lit(0).alias("source"), F.concat(F.lit("a/PMC"), text(i % 900), F.lit(".nxml")).alias("path"), i.alias("member"), file.alias("text"))
+
+
+@query(f"""with f as ({_FILES}), k as (select * from f where status = 'parsed' qualify row_number() over (partition by own order by doc_id) = 1)
+select (select count(*) from f where status = 'parse_error') as parse_error, (select count(*) from f where status = 'no_article_meta') as no_article_meta,
+  (select count(*) from f where status = 'parsed') - count(*) as duplicate_id, count(*) as written, count(*) filter (doc_id % 5 <> 0) as with_abstract, count(*) filter (doc_id % 4 = 1) as with_date,
+  count(*) filter (doc_id % 3 = 0) as with_pmid, count(*) filter (own <> inside) as file_name_differs_from_article_id from k""")
+def agg_18_corpus_counts(spark, sf):
+    """What became of every article file: errors, duplicates and what the records kept hold."""
+    parsed = stored(C.article_statuses(_article_files(spark, sf)), "parsed")
+    return C.corpus_counts(parsed, C.first_of_each(parsed))
+
+
+@query(f"select cast(own as varchar) as _id, cast(inside as varchar) as pmc_in_file, case when doc_id % 3 = 0 then cast(doc_id as varchar) end as pmid, case when doc_id % 5 <> 0 then coalesce(length(text), 0) || ' signs' else '' end as abstract, case when doc_id % 4 = 1 then '2000-01-01' end as pub_date from (select f.*, text from ({_FILES}) f join documents using (doc_id)) where status = 'parsed' qualify row_number() over (partition by own order by doc_id) = 1")
+def src_08_articles(spark, sf):
+    return C.first_of_each(C.article_statuses(_article_files(spark, sf))).select("_id", "pmc_in_file", "pmid", "abstract", "pub_date")
+
+
+@query("select count(distinct text) as first_misses, 0::bigint as second_misses, count(*) as documents, count(text) as embedded from documents")
+def src_14_embedding_cache(spark, sf):
+    """Documents through the embedding cache twice: the second run finds every text that the first has written back."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    path = f"{shared_folder(spark)}/tables/cache-{uuid.uuid4().hex}"
+    first, second = (EC.fill(docs, path, "hash", EC.hash_encoder()) for _ in range(2))
+    out = EC.with_embeddings(docs, path, "hash").agg(F.count(F.lit(1)).alias("documents"), F.count("embedding").alias("embedded"))
+    return out.select(F.lit(first).cast("long").alias("first_misses"), F.lit(second).cast("long").alias("second_misses"), "documents", "embedded")

@@ -1,4 +1,4 @@
-"""Writers of results: per-query tables, run files, corpora with their counts, embeddings."""
+"""Writers of results: per-query tables, run files, embeddings."""
 
 from __future__ import annotations
 
@@ -26,12 +26,5 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.option("header", True).csv(path)
 
 
-def write_corpus(articles: DataFrame, path: str) -> dict[str, int]:
-    """Writes JSON lines and returns how many records had an id, a pmid, a date."""
-    articles.write.json(path)
-    row = articles.agg(F.count("_id").alias("written"), F.count("pmid").alias("with_pmid"), F.count("pub_date").alias("dated")).first()
-    return row.asDict()
-
-
 def write_embeddings(df: DataFrame, path: str) -> None:
     df.write.parquet(path)

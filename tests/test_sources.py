@@ -1,12 +1,17 @@
 from __future__ import annotations
 
+import hashlib
 import io
+import json
 import tarfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.sources import articles as A
+from tessera.sources import corpus as C
+from tessera.sources import embedding_cache as EC
 from tessera.streaming import incremental
 
 NXML = """<!DOCTYPE article [<!ENTITY x "y">]><article article-type="research-article"><front><article-meta><article-id pub-id-type="pmid">7</article-id>
@@ -21,6 +26,9 @@ def test_qrels(spark):
     bad = spark.createDataFrame([(0, "1 0 PMC5 1 9")], "line_no long, value string")
     with pytest.raises(Exception, match="not a judgment"):
         A.parse_trec_qrels(bad, 2014).collect()
+    with pytest.raises(Exception, match="not a judgment"):
+        A.parse_trec_qrels(spark.createDataFrame([(0, "1 0 PMC5 +1")], "line_no long, value string"), 2014).collect()
+    assert A.parse_trec_qrels(spark.createDataFrame([(0, "1 0 PMC5 -1")], "line_no long, value string"), 2014).first().grade == -1
 
 
 def test_topics(spark):
@@ -116,3 +124,52 @@ def test_readers_number_rows_in_file_order(spark, tmp_path):
     assert A.refuse_missing(queries, qrels).count() == 2
     with pytest.raises(Exception, match="without judgments: q2"):
         A.refuse_missing(queries, qrels.where("qid = 'q10'")).collect()
+
+
+def test_prepared_corpus_accounts_for_every_file(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    abstract, date, pmid = "<abstract>x</abstract>", "<pub-date pub-type='epub'><year>2001</year></pub-date>", "<article-id pub-id-type='pmid'>{}</article-id>"
+    files = {"PMC5.nxml": _file(abstract + date), "PMC6.nxml": _file(pmid.format(8)), "PMC7.xml": "<article><", "PMC8.nxml": "<article><front/></article>", "name.nxml": _file(abstract), "PMC9.nxml": _file(pmid.format(""))}
+    for name, text in files.items():
+        (tmp_path / "in" / name).write_text(text)
+    with tarfile.open(tmp_path / "more.tar.gz", "w:gz") as tar:
+        for name, text in [("z/PMC6.nxml", _file(abstract)), ("z/PMC11.nxml", _file(abstract)), ("z/PMC11.nxml", _file(date))]:
+            info = tarfile.TarInfo(name)
+            info.size = len(text)
+            tar.addfile(info, io.BytesIO(text.encode()))
+    out = str(tmp_path / "out")
+    counts = C.prepare_corpus(spark, [str(tmp_path / "in"), str(tmp_path / "more.tar.gz")], out)
+    assert counts == {"parse_error": 1, "no_article_meta": 1, "duplicate_id": 3, "written": 4, "with_abstract": 2, "with_date": 1, "with_pmid": 1, "file_name_differs_from_article_id": 3}
+    rows = {r["_id"]: r for r in spark.read.schema(A.ARTICLE).json(out).collect()}
+    assert set(rows) == {"5", "6", "9", "11"} and rows["6"].pmid == "8" and rows["9"].pmid is None and rows["11"].abstract == "x" and rows["5"].pub_date == "2001-01-01"
+    (meta,) = [json.loads(x) for f in (tmp_path / "out.meta").glob("part-*") for x in f.read_text().splitlines()]
+    assert meta["counts"] == counts and [i["file"] for i in meta["inputs"]] == ["more.tar.gz"]
+    parts = {f.name: hashlib.sha256(f.read_bytes()).hexdigest() for f in (tmp_path / "out").glob("part-*")}
+    assert {p["file"]: p["sha256"] for p in meta["parts"]} == parts and C.altered(spark, out).count() == 0
+    part = next((tmp_path / "out").glob("part-*"))
+    (part.parent / f".{part.name}.crc").unlink()
+    part.write_text("{}")
+    assert C.altered(spark, out).count() == 1
+
+
+def test_embedding_cache_is_filled_once(spark, tmp_path):
+    path, seen = str(tmp_path / "cache"), str(tmp_path / "seen")
+    rows = [(i, t) for i, t in enumerate(["a b", "", None, "a b", "long " * 500, "c"])]
+    texts = spark.createDataFrame(rows, "id long, text string")
+
+    def encode(given):
+        with open(seen, "a") as f:
+            f.writelines(json.dumps(t) + "\n" for t in given)
+        return EC.hash_encoder(8)(given)
+
+    assert EC.entries(spark, path).count() == 0 and all(r.embedding is None for r in EC.with_embeddings(texts, path, "m").collect())
+    assert EC.fill(texts, path, "m", encode) == 4 and EC.fill(texts, path, "m", encode) == 0
+    assert EC.fill(texts.unionByName(spark.createDataFrame([(9, "new")], texts.schema)), path, "m", encode) == 1
+    encoded = [json.loads(x) for x in open(seen)]
+    assert sorted(encoded) == sorted({t for _, t in rows if t is not None} | {"new"}) and encoded[:4] == sorted(encoded[:4], key=len)
+    got = {r.id: r.embedding for r in EC.with_embeddings(texts, path, "m").collect()}
+    assert len(got) == len(rows) and got[2] is None and got[0] == got[3]
+    assert all(np.allclose(got[i], EC.hash_encoder(8)([t])[0]) for i, t in rows if t is not None)
+    assert EC.fill(texts, path, "other", EC.hash_encoder(8)) == 4
+    EC.encoded(texts.limit(1).select(F.lit("k").alias("key"), "text"), EC.hash_encoder(8)).write.parquet(f"{path}/entries/died")
+    assert EC.entries(spark, path).count() == 9
