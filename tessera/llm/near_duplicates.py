@@ -205,11 +205,11 @@ def _crowds(rows: DataFrame, sets: DataFrame, percent: int, hot: DataFrame) -> D
     member = rows.select("id", "component", "n").distinct().join(crowd.select(F.col("node").alias("id"), F.col("component").alias("crowd")), "id")
     member = written(member, "crowds")
     sizes = member.groupBy("crowd", "component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("shingles"))
-    most = F.max(F.struct("k", (-F.col("component")).alias("first"), "shingles")).alias("most")
+    most = F.min(F.struct((-F.col("k")).alias("less"), "component", "k", "shingles")).alias("most")  # the largest, ties to the least id
     sizes = sizes.groupBy("crowd").agg(F.sum("k").alias("k"), F.sum("shingles").alias("shingles"), most)
     blocks = lambda k, shingles, rows, size: F.greatest(F.ceil(k / rows), F.ceil(shingles / size)).cast("int")
     sizes = sizes.select(
-        "crowd", (-F.col("most.first")).alias("main"),
+        "crowd", F.col("most.component").alias("main"),
         blocks(F.col("k") - F.col("most.k"), F.col("shingles") - F.col("most.shingles"), ROWS_FEW, BLOCK_FEW).alias("few"),
         blocks(F.col("k"), F.col("shingles"), ROWS_ALL, BLOCK_ALL).alias("whole"),
     )

@@ -65,6 +65,12 @@ def test_equals_brute_force(spark, k):
     assert all(r.kept == (r.doc_id == r.component_id) for r in rows)
 
 
+def test_ids_may_be_strings(spark):
+    docs = [(f"doc-{i}", t) for i, t in corpus(4)]
+    rows = N.near_duplicates(spark.createDataFrame(docs, "doc_id string, text string"), shingle=2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute(docs, 2)
+
+
 def test_without_duplicates_keeps_one_of_each(spark):
     docs = corpus(2)[:60] + [(None, "one two"), (7, "word " * 5000)]
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in docs], "doc_id long, text string, kept long, id string")
