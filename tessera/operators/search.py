@@ -26,7 +26,7 @@ from .. import params
 from ..functions import scores as S
 from ..functions import text as T
 from .index import Index, build_index  # noqa: F401
-from .stages import cut
+from .stages import cut, stored
 
 #: Query tables up to so many rows may be broadcast.
 BROADCAST_QUERIES = 20_000
@@ -216,7 +216,7 @@ def bm25_search(index: Index, queries: DataFrame, k: int = params.SEARCH_K, k1:
     A query with fewer than k matches has a filler among the first 2k documents, so only those meet
     the queries.
     """
-    matched = ranked(bm25_best(index, queries, k, k1, b), F.col("bm25"), "doc_idx", k)
+    matched = stored(ranked(bm25_best(index, queries, k, k1, b), F.col("bm25"), "doc_idx", k), "matched")  # read three times below
     first = index.rows.select("doc_idx").orderBy("doc_idx").limit(2 * k)
     filler = queries.select("query_idx").crossJoin(F.broadcast(first)).withColumn("bm25", F.lit(0.0))
     short = queries.select("query_idx").join(matched.groupBy("query_idx").agg(F.count(F.lit(1)).alias("n")), "query_idx", "left").where(F.coalesce("n", F.lit(0)) < k).select("query_idx")
@@ -224,23 +224,17 @@ def bm25_search(index: Index, queries: DataFrame, k: int = params.SEARCH_K, k1:
     return ranked(matched.drop("rank").unionByName(filler.select("query_idx", "doc_idx", "bm25")), F.col("bm25"), "doc_idx", k)
 
 
-def bm25_standard(scores: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Per query the mean and population deviation of BM25 over the whole corpus, zeros included.
-
-    From sums over the matches alone; a deviation that is nothing but rounding counts as 0.
-    """
-    sums = scores.groupBy("query_idx").agg(F.sum("bm25").alias("s"), F.sum(F.col("bm25") * F.col("bm25")).alias("ss")).crossJoin(F.broadcast(corpus.select("n")))
-    return _standard(sums, F.col("n"))
-
-
 def _standard(sums: DataFrame, n: Column) -> DataFrame:
-    """(query_idx, mean, sd) of sums (query_idx, s, ss) over n documents."""
+    """(query_idx, mean, sd) of sums (query_idx, s, ss) over n documents; a deviation that is nothing but rounding counts as 0."""
     variance = F.col("ss") / n - (F.col("s") / n) * (F.col("s") / n)
     return sums.select("query_idx", (F.col("s") / n).alias("mean"), F.when(variance > 1e-18, F.sqrt(variance)).otherwise(F.lit(0.0)).alias("sd"))
 
 
 def bm25_moments(index: Index, queries: DataFrame) -> DataFrame:
-    """As ``bm25_standard`` of all scores, which are added up where they are made."""
+    """(query_idx, mean, sd): of BM25 over the whole corpus, zeros included, the mean and population deviation.
+
+    Scores are added up where they are made; a sum and a sum of squares of each query leave a task.
+    """
     rows = index.rows.select("doc_idx", "dl", "terms", "tfs")
 
     def scored(part: DataFrame) -> DataFrame:
