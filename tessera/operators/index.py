@@ -79,14 +79,15 @@ def append(docs: DataFrame, path: str) -> None:
     spark.createDataFrame([(segment, total.n, total.length)], SEGMENTS).coalesce(1).write.mode("append").parquet(f"{path}/segments")
 
 
-def read(spark: SparkSession, path: str) -> Index | None:
-    """The index at ``path`` with all its segments; None where there is none."""
+def read(spark: SparkSession, path: str, most: int | None = None) -> Index | None:
+    """The index at ``path`` with all its segments, or the first ``most`` by name; None where there is none."""
     try:
         segments = spark.read.schema(SEGMENTS).parquet(f"{path}/segments").collect()  # a row for each append
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e):
             return None
         raise
+    segments = sorted(segments, key=lambda s: s.segment)[:most]
     rows = spark.read.parquet(*[f"{path}/rows/{s.segment}" for s in segments])
     terms = spark.read.parquet(*[f"{path}/terms/{s.segment}" for s in segments])
     if len(segments) > 1:
@@ -107,7 +108,8 @@ def build_index(docs: DataFrame, path: str | None = None) -> Index:
 def kept_index(spark: SparkSession, sources: list[str], docs) -> Index:
     """The index of ``docs()``, made once for the files of ``sources`` as they are now.
 
-    Their names, sizes and times are its key, so that changed files have an index of their own.
+    Their names, sizes and times are its key, so that changed files have an index of their own.  Two
+    sessions that make it at the same time leave two segments of the same documents; one is read.
     """
     files = None
     for path in sources:
@@ -115,5 +117,8 @@ def kept_index(spark: SparkSession, sources: list[str], docs) -> Index:
         files = m if files is None else files.unionByName(m)
     key = files.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", "file_path", "file_size", F.col("file_modification_time").cast("string")))), "\n"), 256).alias("key")).first().key
     path = f"{shared_folder(spark)}/indexes/{key}"
-    found = read(spark, path)
-    return found if found is not None else build_index(docs(), path)
+    found = read(spark, path, most=1)
+    if found is None:
+        append(docs(), path)
+        found = read(spark, path, most=1)
+    return found

@@ -3,6 +3,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -62,6 +63,9 @@ def test_kept_index_follows_the_files(spark):
         return spark.read.parquet(source)
 
     assert I.kept_index(spark, [source], docs).n == I.kept_index(spark, [source], docs).n == 3 and len(built) == 1
+    (path,) = [p for p in Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"), "indexes").iterdir() if I.read(spark, f"file://{p}").n == 3]
+    I.append(docs(), f"file://{path}")  # as another session does that found nothing yet
+    assert I.kept_index(spark, [source], docs).n == 3 and built.pop() == 1
     frame(spark, TEXTS[3:5], first=3).write.mode("append").parquet(source)
     assert I.kept_index(spark, [source], docs).n == 5 and len(built) == 2
 
