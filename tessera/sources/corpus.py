@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.stages import stored
-from .articles import ARTICLE, NO_META, PARSE_ERROR, PARSED, article_statuses, expand_archives
+from .archives import article_files, checksums, listed
+from .articles import ARTICLE, NO_META, PARSE_ERROR, PARSED, article_statuses
 
 COUNTS = ["parse_error", "no_article_meta", "duplicate_id", "written", "with_abstract", "with_date", "with_pmid", "file_name_differs_from_article_id"]
 _RECORD = ["_id", "pmc_in_file", "pmid", "title", "abstract", "pub_date", "article_type"]
@@ -37,28 +38,20 @@ def corpus_counts(parsed: DataFrame, kept: DataFrame) -> DataFrame:
     return row.select(*COUNTS)
 
 
-def checksums(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """(file, bytes, sha256) of the files at ``path``, each of up to 2 GB."""
-    reader = spark.read.format("binaryFile")
-    files = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-
-
 def prepare_corpus(spark: SparkSession, sources: list[str], out: str) -> dict[str, int]:
     """Writes the articles of ``sources`` (folders or archives, in this order) to ``out`` as JSON lines, and returns COUNTS.
 
     Files are parsed once, into a stored table.  ``<out>.meta`` gets one JSON line: the step, the
     counts, and the checksums of the parts written and of the archives read.
     """
-    read = lambda path: spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    files = [expand_archives(read(path)).withColumn("source", F.lit(at)) for at, path in enumerate(sources)]
+    files = [article_files(spark, path).withColumn("source", F.lit(at)) for at, path in enumerate(sources)]
     parsed = stored(article_statuses(reduce(DataFrame.unionByName, files)), "parsed")
     first_of_each(parsed).write.json(out)
     counts = corpus_counts(parsed, spark.read.schema(ARTICLE).json(out)).first().asDict()
     listed = lambda df: F.array_sort(F.collect_list(F.struct(*df.columns)))
-    parts = checksums(spark, out, "part-*")
-    inputs = [i for i, path in enumerate(sources) if read(path).select("path").limit(2).count() == 1]
-    given = reduce(DataFrame.unionByName, [checksums(spark, sources[i]) for i in inputs]) if inputs else parts.limit(0)
+    parts = checksums(spark, out, "part-*").drop("path")
+    inputs = [i for i, path in enumerate(sources) if listed(spark, path).select("path").limit(2).count() == 1]
+    given = reduce(DataFrame.unionByName, [checksums(spark, sources[i]).drop("path") for i in inputs]) if inputs else parts.limit(0)
     meta = parts.agg(listed(parts).alias("parts")).crossJoin(given.agg(listed(given).alias("inputs")))
     total = F.struct(*[F.lit(counts[c]).alias(c) for c in COUNTS]).alias("counts")
     meta.select(F.lit("prepare-corpus").alias("step"), total, "parts", "inputs").coalesce(1).write.json(f"{out}.meta")

@@ -4,11 +4,13 @@ import hashlib
 import io
 import json
 import tarfile
+import tracemalloc
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.sources import archives as AR
 from tessera.sources import articles as A
 from tessera.sources import corpus as C
 from tessera.sources import embedding_cache as EC
@@ -101,12 +103,78 @@ def test_archives_of_any_compression(spark, tmp_path):
                 info.size = len(body)
                 tar.addfile(info, io.BytesIO(body))
             tar.addfile(tarfile.TarInfo("x/readme.txt"), io.BytesIO(b""))
-    files = spark.read.format("binaryFile").load(str(tmp_path))
-    rows = A.expand_archives(files).collect()
+    rows = AR.article_files(spark, str(tmp_path)).collect()
     assert len(rows) == 15 and {r.path.rpartition("!")[2] for r in rows} == {f"x/PMC{k}{c}.nxml" for k in range(3) for c in "abcde"}
     assert A.read_articles(spark, [str(tmp_path)]).count() == 10  # what follows a root element is no article
 
 
+def _pack(path, mode, files, **more):
+    with tarfile.open(path, mode, **more) as tar:
+        for name, body in files:
+            info = tarfile.TarInfo(name)
+            info.size = len(body)
+            tar.addfile(info, io.BytesIO(body))
+
+
+def test_one_archive_is_read_by_many_tasks(spark, tmp_path):
+    inner = tmp_path / "inner"
+    _pack(inner, "w", [("no.nxml", b"x" * 700)])
+    files = [(f"d/{'long' * 40 if k % 7 == 0 else 'x'}/é {k}.nxml", f"text {k} ".encode() * (k % 50)) for k in range(400)]
+    files[100:100] = [("nested.xml", inner.read_bytes()), ("notes.txt", b"z" * 5000), ("empty.XML", b"")]
+    want = [(n, b.decode()) for n, b in files if not n.endswith("txt")]
+    for name, form in (("a b%20c.tar", tarfile.GNU_FORMAT), ("p.TAR", tarfile.PAX_FORMAT)):
+        _pack(tmp_path / name, "w", files, format=form, pax_headers={"comment": "for all"} if form == tarfile.PAX_FORMAT else None)
+        ranges = list(AR.archive_ranges(str(tmp_path / name), 4096))
+        assert len(ranges) > 20 and all(a[2] == b[1] for a, b in zip(ranges, ranges[1:]))
+        assert all(r[4] == ({"comment": "for all"} if form == tarfile.PAX_FORMAT else {}) for r in ranges[1:])
+        own = AR.archive_files(spark.createDataFrame([(f"file:{tmp_path}/{name}",)], "path string"), 4096)
+        rows = sorted((r.member, r.path.partition("!")[2], r.text) for r in own.collect())
+        assert rows == [(i, n, t) for i, (n, t) in enumerate(want)]
+        assert own.select(F.spark_partition_id()).distinct().count() > 1
+        whole = AR.archive_files(spark.createDataFrame([(str(tmp_path / name),)], "path string"))
+        assert {(r.member, r.text) for r in whole.collect()} == {(m, t) for m, _, t in rows}
+
+
+def test_damaged_archives_are_errors(spark, tmp_path):
+    files = [(f"{k}.nxml", b"abc" * 500) for k in range(20)]
+    _pack(tmp_path / "whole.tar", "w", files)
+    whole = (tmp_path / "whole.tar").read_bytes()
+    one = 512 + 1536
+    cases = {"cut.tar": whole[: 7 * one + 900], "header.tar": whole[: 7 * one + 100], "noise.tar": whole[: 7 * one] + b"noise" * 200 + whole[7 * one + 1000 :], "none.tar": b"", "wrong.tar": b"no archive" * 100}
+    for name, body in cases.items():
+        (tmp_path / name).write_bytes(body)
+        with pytest.raises(Exception, match="ReadError"):
+            AR.archive_files(spark.createDataFrame([(str(tmp_path / name),)], "path string"), 4096).collect()
+    (tmp_path / "open.tar").write_bytes(whole[: 20 * one])  # without the empty blocks at the end, as some writers leave it
+    _pack(tmp_path / "void.tar", "w", [])
+    frame = spark.createDataFrame([(str(tmp_path / n),) for n in ("open.tar", "void.tar")], "path string")
+    assert AR.archive_files(frame, 4096).count() == 20
+    assert AR.archive_files(frame.limit(0)).count() == 0
+
+
+def test_a_large_archive_takes_little_memory(tmp_path):
+    path = str(tmp_path / "large.tar")
+    with open(path, "wb") as f:  # holes on disk: 3 GB that no file reader takes as one value
+        for k in range(3):
+            info = tarfile.TarInfo(f"{k}.bin" if k < 2 else "last.nxml")
+            info.size = (3 << 29) if k < 2 else 3
+            f.write(info.tobuf())
+            f.seek(info.size, 1) if k < 2 else f.write(b"end" + bytes(509))
+    tracemalloc.start()
+    ranges = list(AR.archive_ranges(path, 1 << 20))
+    texts = [t for r in ranges for t in AR.range_texts(*r)]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert texts == [(f"{path}!last.nxml", 0, "end")] and most < 5_000_000
+
+
+def test_checksums_of_files(spark, tmp_path):
+    for name, body in (("a", b"1"), ("b c", b"x" * 20_000_000)):
+        (tmp_path / name).write_bytes(body)
+    got = {r.file: (r.bytes, r.sha256) for r in AR.checksums(spark, str(tmp_path)).collect()}
+    assert got == {f.name: (f.stat().st_size, hashlib.sha256(f.read_bytes()).hexdigest()) for f in tmp_path.iterdir()}
+
+
 def test_readers_number_rows_in_file_order(spark, tmp_path):
     (tmp_path / "c").mkdir()
     for k in range(3):
