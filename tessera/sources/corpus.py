@@ -48,11 +48,11 @@ def prepare_corpus(spark: SparkSession, sources: list[str], out: str) -> dict[st
     parsed = stored(article_statuses(reduce(DataFrame.unionByName, files)), "parsed")
     first_of_each(parsed).write.json(out)
     counts = corpus_counts(parsed, spark.read.schema(ARTICLE).json(out)).first().asDict()
-    listed = lambda df: F.array_sort(F.collect_list(F.struct(*df.columns)))
+    gathered = lambda df: F.array_sort(F.collect_list(F.struct(*df.columns)))
     parts = checksums(spark, out, "part-*").drop("path")
     inputs = [i for i, path in enumerate(sources) if listed(spark, path).select("path").limit(2).count() == 1]
     given = reduce(DataFrame.unionByName, [checksums(spark, sources[i]).drop("path") for i in inputs]) if inputs else parts.limit(0)
-    meta = parts.agg(listed(parts).alias("parts")).crossJoin(given.agg(listed(given).alias("inputs")))
+    meta = parts.agg(gathered(parts).alias("parts")).crossJoin(given.agg(gathered(given).alias("inputs")))
     total = F.struct(*[F.lit(counts[c]).alias(c) for c in COUNTS]).alias("counts")
     meta.select(F.lit("prepare-corpus").alias("step"), total, "parts", "inputs").coalesce(1).write.json(f"{out}.meta")
     return counts
