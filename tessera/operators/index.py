@@ -28,12 +28,14 @@ _TOKEN = re.compile(r"\w+")
 
 @dataclass
 class Index:
-    """rows (doc_idx, dl, terms, tfs and what came with the documents), terms (term, df), n documents of ``length`` tokens in all."""
+    """rows (doc_idx, dl, terms, tfs and what came with the documents), terms (term, df), n documents of ``length`` tokens in all; its segments at ``path``."""
 
     rows: DataFrame
     terms: DataFrame
     n: int
     length: int
+    path: str
+    segments: tuple[str, ...]
 
     @property
     def avgdl(self) -> float:
@@ -92,7 +94,7 @@ def read(spark: SparkSession, path: str, most: int | None = None) -> Index | Non
     terms = spark.read.parquet(*[f"{path}/terms/{s.segment}" for s in segments])
     if len(segments) > 1:
         terms = terms.groupBy("term").agg(F.sum("df").alias("df"))
-    return Index(rows, terms, sum(s.n for s in segments), sum(s.length for s in segments))
+    return Index(rows, terms, sum(s.n for s in segments), sum(s.length for s in segments), path, tuple(s.segment for s in segments))
 
 
 def build_index(docs: DataFrame, path: str | None = None) -> Index:

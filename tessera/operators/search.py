@@ -211,12 +211,17 @@ def ranked(scored: DataFrame, score: Column, position: str, k: int | None, by: s
 
 
 def bm25_search(index: Index, queries: DataFrame, k: int = params.SEARCH_K, k1: float = params.K1, b: float = params.B) -> DataFrame:
-    """(query_idx, doc_idx, bm25, rank): the best k; documents without a match fill up in corpus order.
+    """(query_idx, doc_idx, bm25, rank): the best k; documents without a match fill up in corpus order."""
+    return filled(index, queries, ranked(bm25_best(index, queries, k, k1, b), F.col("bm25"), "doc_idx", k), k)
+
+
+def filled(index: Index, queries: DataFrame, matched: DataFrame, k: int) -> DataFrame:
+    """The k best matches (query_idx, doc_idx, bm25, rank), filled up to k with documents that score 0.
 
     A query with fewer than k matches has a filler among the first 2k documents, so only those meet
     the queries.
     """
-    matched = stored(ranked(bm25_best(index, queries, k, k1, b), F.col("bm25"), "doc_idx", k), "matched")  # read three times below
+    matched = stored(matched, "matched")  # read three times below
     first = index.rows.select("doc_idx").orderBy("doc_idx").limit(2 * k)
     filler = queries.select("query_idx").crossJoin(F.broadcast(first)).withColumn("bm25", F.lit(0.0))
     short = queries.select("query_idx").join(matched.groupBy("query_idx").agg(F.count(F.lit(1)).alias("n")), "query_idx", "left").where(F.coalesce("n", F.lit(0)) < k).select("query_idx")

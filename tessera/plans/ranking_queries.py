@@ -11,6 +11,7 @@ from .. import params
 from ..functions import scores as S
 from ..operators import metrics as M
 from ..operators import pool as P
+from ..operators import postings as PO
 from ..operators import search as R
 from ..operators import stats as ST
 from ..operators.stages import cut
@@ -106,6 +107,25 @@ def top_01_bm25_search(spark, sf):
     return R.bm25_search(_index(spark, sf), V.asked(spark, sf)).select("query_idx", "doc_idx", r6("bm25").alias("bm25"), "rank")
 
 
+@query("select query_idx, doc_idx, round(bm25, 6) as bm25, cast(rank as int) as rank from bm25_top where rank <= 10", "bm25_top")
+def top_01_block_search(spark, sf):
+    found = PO.bm25_block_search(PO.postings_of(_index(spark, sf)), V.asked(spark, sf))
+    return found.select("query_idx", "doc_idx", r6("bm25").alias("bm25"), "rank")
+
+
+@query(
+    f"""select term, doc_idx // {PO.BLOCK_DOCS} as block, cast(count(*) as int) as n, min(doc_idx) as first_doc, max(doc_idx) as last_doc, cast(sum(tf) as bigint) as tokens,
+    cast(max(tf) as int) as most, min(dl) as shortest from postings join lengths using (doc_idx) group by all""",
+    "postings", "lengths",
+)
+def agg_06_posting_blocks(spark, sf):
+    tokens = F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x)
+    return PO.postings_of(_index(spark, sf)).rows.select(
+        "term", "block", "n", F.element_at("docs", 1).alias("first_doc"), F.element_at("docs", -1).alias("last_doc"), tokens.alias("tokens"),
+        F.element_at("front.tf", -1).alias("most"), F.element_at("front.dl", 1).alias("shortest"),
+    )
+
+
 @query("select query_idx, round(mean, 5) as mean, round(sd, 5) as sd from standard", "standard")
 def win_02_bm25_standard(spark, sf):
     i = _index(spark, sf)
