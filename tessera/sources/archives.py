@@ -8,8 +8,10 @@ member and a batch of texts, never an archive.
 from __future__ import annotations
 
 import hashlib
+import io
 import re
 import tarfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,6 +19,8 @@ from pyarrow import fs as afs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.stages import stored
+
 TAR = r"(?i)\.(?:tar(?:\.[a-z0-9]+)?|t[gbx]z2?)$"
 XML = re.compile(r"\.n?xml$", re.IGNORECASE)
 _XML_FILES = "*.{[xX][mM][lL],[nN][xX][mM][lL]}"  # a path filter has no flags
@@ -30,14 +34,19 @@ _RANGE = "archive string, start long, stop long, member long, headers map<string
 _PACKED = (b"\x1f\x8b", b"BZh", b"\xfd7zXZ\x00")  # fixed values: how gzip, bzip2 and xz files begin
 
 
-def opened(path: str):
-    """The file at a path as Spark names it, open for reading at any place."""
+def opened(path: str, write: bool = False):
+    """The file at a path as Spark names it: open for reading at any place, or for writing, with its folder."""
     found = re.fullmatch(r"(?s)([A-Za-z][A-Za-z0-9+.-]*)://([^/]*)/(.*)", path)
     if found is None or found[1] == "file":
-        return afs.LocalFileSystem().open_input_file("/" + re.sub("^(?:file:)?/+", "", path))
-    scheme, host, rest = found.groups()
-    system, base = afs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}://{host}/")
-    return system.open_input_file(f"{base.rstrip('/')}/{rest}")
+        system, own = afs.LocalFileSystem(), "/" + re.sub("^(?:file:)?/+", "", path)
+    else:
+        scheme, host, rest = found.groups()
+        system, base = afs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}://{host}/")
+        own = f"{base.rstrip('/')}/{rest}"
+    if not write:
+        return system.open_input_file(own)
+    system.create_dir(own.rpartition("/")[0], recursive=True)
+    return system.open_output_stream(own, compression=None)  # by default the name would decide
 
 
 class _Header(tarfile.TarInfo):
@@ -139,6 +148,27 @@ def archive_files(archives: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFr
     return ranges.repartition(partitions, "archive", "start").mapInPandas(read, FILE)
 
 
+def write_archives(files: DataFrame, folder: str, packed: bool = False) -> DataFrame:
+    """Writes files (path, text) to tar archives in ``folder``, one a task, and returns the stored list of archives (path).
+
+    A task that runs twice leaves two archives; only the one of the run that counted is in the list.
+    Null texts are empty files.  Nothing larger than a text is held.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        path = f"{folder}/{uuid.uuid4().hex}.tar{'.gz' if packed else ''}"
+        with opened(path, write=True) as file, tarfile.open(fileobj=file, mode="w|gz" if packed else "w|") as tar:
+            for frame in frames:
+                for name, text in zip(frame["path"], frame["text"], strict=True):
+                    body = (text or "").encode()
+                    header = tarfile.TarInfo(name)
+                    header.size = len(body)
+                    tar.addfile(header, io.BytesIO(body))
+        yield pd.DataFrame({"path": [path]})
+
+    return stored(files.select("path", "text").mapInPandas(run, "path string"), "archives")
+
+
 def _ranges(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=columns).astype({"stop": "Int64"})
 

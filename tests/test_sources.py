@@ -135,6 +135,17 @@ def test_one_archive_is_read_by_many_tasks(spark, tmp_path):
         assert {(r.member, r.text) for r in whole.collect()} == {(m, t) for m, _, t in rows}
 
 
+@pytest.mark.parametrize("packed", [False, True])
+def test_archives_written_are_read_back(spark, tmp_path, packed):
+    rows = [(f"d {k}/é{k}.xml", None if k == 7 else f"täxt {k}\n" * k) for k in range(40)] + [("d 1/é1.xml", "again")]
+    files = spark.createDataFrame(rows, "path string, text string").repartition(3)
+    made = AR.write_archives(files, f"file://{tmp_path}/a b", packed)
+    assert made.count() == 3 and all(r.path.endswith(".tar.gz" if packed else ".tar") for r in made.collect())
+    assert sorted((r.path.partition("!")[2], r.text) for r in AR.archive_files(made, 2048).collect()) == sorted((p, t or "") for p, t in rows)
+    none = AR.write_archives(files.limit(0), f"file://{tmp_path}/none", packed)
+    assert AR.archive_files(none).count() == 0
+
+
 def test_damaged_archives_are_errors(spark, tmp_path):
     files = [(f"{k}.nxml", b"abc" * 500) for k in range(20)]
     _pack(tmp_path / "whole.tar", "w", files)
