@@ -103,6 +103,13 @@ def _met(postings: Postings, terms: DataFrame, *columns: str) -> DataFrame:
     return rows.where(F.col("folder").isin(folders)).join(small(terms), ["folder", "term"])
 
 
+def query_postings(postings: Postings, queries: DataFrame) -> DataFrame:
+    """(query_idx, doc_idx, term, times, tf): the postings of each query's terms, from the folders of these terms."""
+    met = _met(postings, stored(_weighted(postings.index, queries), "asked"), "docs", "tfs")
+    rows = met.select("query_idx", "term", "times", F.explode(F.arrays_zip("docs", "tfs")).alias("p"))
+    return rows.select("query_idx", F.col("p.docs").alias("doc_idx"), "term", "times", F.col("p.tfs").alias("tf"))
+
+
 def _scores(postings: Postings, picks: DataFrame, terms: DataFrame, k1: float, b: float) -> DataFrame:
     """(query_idx, doc_idx, bm25) of the documents in the blocks picked (query_idx, block): sums of whole picounits."""
     wanted = picks.select("query_idx", "block").join(terms, "query_idx")

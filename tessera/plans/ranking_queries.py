@@ -113,6 +113,18 @@ def top_01_block_search(spark, sf):
     return found.select("query_idx", "doc_idx", r6("bm25").alias("bm25"), "rank")
 
 
+@query("select query_idx, doc_idx, term, cast(times as bigint) as times, cast(tf as int) as tf from query_terms join postings using (term)", "query_terms", "postings")
+def jon_01_query_postings(spark, sf):
+    return PO.query_postings(PO.postings_of(_index(spark, sf)), V.asked(spark, sf))
+
+
+@query("select query_idx, count(distinct doc_idx) as documents, count(*) as met from query_terms join postings using (term) group by query_idx", "query_terms", "postings")
+def flt_01_documents_with_a_term(spark, sf):
+    """Of each query, the documents that hold one of its terms; the others are never met."""
+    met = PO.query_postings(PO.postings_of(_index(spark, sf)), V.asked(spark, sf))
+    return met.groupBy("query_idx").agg(F.count_distinct("doc_idx").alias("documents"), F.count(F.lit(1)).alias("met"))
+
+
 @query(
     f"""select term, doc_idx // {PO.BLOCK_DOCS} as block, cast(count(*) as int) as n, min(doc_idx) as first_doc, max(doc_idx) as last_doc, cast(sum(tf) as bigint) as tokens,
     cast(max(tf) as int) as most, min(dl) as shortest from postings join lengths using (doc_idx) group by all""",

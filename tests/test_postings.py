@@ -100,6 +100,13 @@ def test_postings_are_made_once_and_appended_to(spark):
         PO.postings_of(I.read(spark, path), 32)
 
 
+def test_postings_of_queries(spark, index, postings):
+    got = [(r.query_idx, r.doc_idx, r.term, r.times, r.tf) for r in PO.query_postings(postings, queries(spark)).collect()]
+    times = {(r.query_idx, r.term): r.times for r in R.query_terms(queries(spark)).collect()}
+    want = [(q, r.doc_idx, r.term, n, r.tf) for r in index.postings.collect() for (q, term), n in times.items() if term == r.term]
+    assert sorted(got) == sorted(want) and (8, "w0") in times and times[8, "w0"] == 3
+
+
 def test_few_folders_are_read(spark, postings):
     terms = PO._weighted(postings.index, queries(spark).where("query_idx = 1"))
     plan = PO._met(postings, terms, "front")._jdf.queryExecution().executedPlan().toString()
