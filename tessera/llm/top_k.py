@@ -3,8 +3,8 @@
 Candidates are dealt by length, longest first, to buckets of about ``bucket_rows``.  Every block of
 queries first meets the bucket of the longest vectors, which gives each query a bound: the score of
 its k-th best so far.  By that bound and a bucket's longest vector a query has a local cosine
-threshold in each other bucket.  Above 1 the bucket cannot matter; where no query of a block needs
-a bucket, the two never meet.  A high threshold prunes by coordinates: a vector of at least that
+threshold in each other bucket.  Above 1 the bucket cannot matter.  Queries of like thresholds share
+a block, and where no query of a block needs a bucket, the two never meet.  A high threshold prunes by coordinates: a vector of at least that
 cosine must have each coordinate within a range about the query's, checked on the query's largest
 coordinates.  A low one prunes by length: only vectors long enough to reach the bound are looked at.
 What remains is verified by exact integer products.
@@ -25,6 +25,8 @@ from .embeddings import matrix, usable
 #: Local cosine thresholds from here on prune by coordinates, lower ones by length.
 COORDINATE_COSINE = 0.6
 FOCUS = 4
+#: Levels of the threshold by which queries are ordered into blocks.
+LEVELS = 32
 
 
 def exact_products(q: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -77,6 +79,23 @@ def search_bucket(q_ids, q, bound, p_ids, p, k: int):
     return out
 
 
+def with_blocks(asked: DataFrame, longest: DataFrame, query_rows: int) -> DataFrame:
+    """Adds ``block`` to queries (id, d, length, bound): about ``query_rows`` of them, of like thresholds.
+
+    ``longest`` (d, longest) has the greatest length of a candidate; bound / (length * longest) is the
+    least cosine that a query still needs anywhere.  Queries go to blocks in the order of its level, by
+    hash within a level, so one without a bound does not make well-bounded ones meet every bucket.
+    Only the counts of levels, LEVELS + 1 rows at most for each ``d``, are summed in order.
+    """
+    cosine = F.when(F.col("bound") > 0, F.least(F.lit(1.0), F.col("bound") / (F.col("length") * F.col("longest")))).otherwise(F.lit(0.0))
+    leveled = written(asked.join(longest, "d").withColumn("level", F.floor(cosine * LEVELS).cast("int")).drop("longest"), "bounded")
+    levels = leveled.groupBy("d", "level").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("d").orderBy("level").rowsBetween(Window.unboundedPreceding, -1))
+    levels = levels.withColumn("before", F.coalesce(before, F.lit(0)))
+    place = F.col("before") + F.pmod(F.xxhash64("id", F.lit(59)), F.col("n"))
+    return leveled.join(levels, ["d", "level"]).withColumn("block", F.floor(place / query_rows).cast("int")).drop("level", "n", "before")
+
+
 def top_k(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector: str = "embedding", k: int = 10, scale: int = 1024, bucket_rows: int = 4096, query_rows: int = 1024) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best of all other rows, exactly.
 
@@ -88,11 +107,13 @@ def top_k(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector: str =
     spark = df.sparkSession
     given = df.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where(usable(F.col("v")) & F.col("id").isNotNull())
     whole = F.transform("v", lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long"))
-    given = given.withColumn("v", whole).groupBy("id").agg(F.min(F.struct("v", "q")).alias("r")).select("id", "r.v", "r.q") if given.count() != given.select("id").distinct().count() else given.withColumn("v", whole)
+    n, ids = given.agg(F.count(F.lit(1)), F.count_distinct("id")).first()
+    given = given.withColumn("v", whole)
+    if n != ids:
+        given = given.groupBy("id").agg(F.min(F.struct("v", "q")).alias("r")).select("id", "r.v", "r.q")
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
     given = given.withColumn("length", length).withColumn("d", F.size("v"))
-    n = max(1, given.count())
-    dealt = given.repartitionByRange(-(-n // bucket_rows), F.col("d"), F.desc("length"), "id")
+    dealt = given.repartitionByRange(max(1, -(-ids // bucket_rows)), F.col("d"), F.desc("length"), "id")
     rows = written(dealt.withColumn("bucket", F.spark_partition_id()), "buckets")
     buckets = written(rows.groupBy("d", "bucket").agg(F.max("length").alias("most"), F.count(F.lit(1)).alias("n")), "bucket_sizes")
     queries = rows.where("q").select("id", "v", "length", "d")
@@ -122,7 +143,8 @@ def top_k(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector: str =
     start = by_block.join(first, "d")
     found = meet(start, queries.withColumn("bound", F.lit(None).cast("double")))
     bound = found.groupBy(F.col("query_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("bound")).where(F.col("n") >= k)
-    asked = written(queries.join(bound.select("id", F.col("bound").cast("double").alias("bound")), "id", "left"), "queries")
+    asked = queries.drop("block").join(bound.select("id", F.col("bound").cast("double").alias("bound")), "id", "left")
+    asked = written(with_blocks(asked, buckets.groupBy("d").agg(F.max("most").alias("longest")), query_rows), "queries")
     # a block needs a bucket if one of its queries could still find something there
     need = asked.groupBy("d", "block").agg(F.max(F.when(F.col("bound") > 0, F.col("length") / F.col("bound")).otherwise(F.lit(float("inf")))).alias("reach"))
     plan = buckets.join(need, "d").where(F.col("reach") * F.col("most") >= 1 - 1e-9).join(first.withColumn("was", F.lit(True)), ["d", "bucket"], "left").where("was is null").select("d", "bucket", "block")

@@ -115,6 +115,25 @@ def test_top_k_of_few(spark):
     assert sorted(tuple(r) for r in rows) == [(0, 1, 1, 0), (0, 2, 2, 0)]
 
 
+def test_repeated_ids_are_one_candidate(spark):
+    x = data(5)[:60]
+    df = table(spark, x).unionByName(table(spark, x))
+    got = {tuple(r) for r in top_k.top_k(df, F.col("vec_id") % 20 == 0, bucket_rows=16, query_rows=2).collect()}
+    assert got == brute(x, list(range(60)), range(0, 60, 20), 10)
+
+
+def test_queries_of_like_thresholds_share_blocks(spark):
+    bounds = [None if i % 3 == 0 else float(i) for i in range(1, 301)]
+    asked = spark.createDataFrame([(i, 4, 1.0, b) for i, b in enumerate(bounds)], "id long, d int, length double, bound double")
+    longest = spark.createDataFrame([(4, 300.0)], "d int, longest double")
+    rows = top_k.with_blocks(asked, longest, 50).collect()
+    assert sorted(r.id for r in rows) == list(range(300))
+    blocks = {b: [r.bound or 0.0 for r in rows if r.block == b] for b in {r.block for r in rows}}
+    assert sorted(blocks) == list(range(6)) and max(map(len, blocks.values())) < 100
+    for b in range(5):  # up to a level, blocks are in the order of what they still need
+        assert max(blocks[b]) <= min(blocks[b + 1]) + 300 / top_k.LEVELS
+
+
 def test_coordinate_pruning_loses_nothing():
     rng = np.random.default_rng(4)
     p = np.floor(1024 * rng.normal(size=(500, 8))).astype(np.int64)
