@@ -92,15 +92,17 @@ def marked(df: DataFrame, bits: DataFrame, id_col: str, output: str) -> DataFram
 HOT_ROWS, SALTS = 512, 64
 
 
-def salted_join(rows: DataFrame, side: DataFrame, key: str, spread: Column, hot: DataFrame) -> DataFrame:
+def salted_join(rows: DataFrame, side: DataFrame, key: str, spread: Column, hot: DataFrame, how: str = "inner") -> DataFrame:
     """``rows`` with the columns of ``side``, which has one row a key; both need distinct column names.
 
+    With ``how`` "left" rows whose key the side lacks stay, with nulls.
+
     Rows whose key is in the map ``hot`` (see ``id_map``) are spread by ``spread`` over SALTS parts, to
     each of which the side's one row is copied; so no key's rows meet in one task.
     """
     left = marked(rows, hot, key, "tessera_hot").withColumn("tessera_salt", F.when(F.col("tessera_hot"), F.pmod(F.xxhash64(spread, F.lit(71)), F.lit(SALTS)).cast("int")).otherwise(0))
     right = marked(side, hot, key, "tessera_hot").withColumn("tessera_salt", F.explode(F.when(F.col("tessera_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    return left.drop("tessera_hot").join(right.drop("tessera_hot"), [key, "tessera_salt"]).drop("tessera_salt")
+    return left.drop("tessera_hot").join(right.drop("tessera_hot"), [key, "tessera_salt"], how).drop("tessera_salt")
 
 
 def slices(sizes: list[int], limit: int) -> Iterator[slice]:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import zip_archive
-from .common import shared_folder, table, written
+from .common import HOT_ROWS, id_map, salted_join, shared_folder, table, written
 
 RECORDS = "archive/data.warc.gz"
 INDEX = "indexes/index.jsonl"
@@ -80,14 +80,16 @@ def with_revisits(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     """Adds payload (null html: empty), size, sha1 and refers_to (null for responses) to pages.
 
     Of equal payloads of at least ``least_bytes`` the record with the largest page_id is the
-    response and the others refer to it.
+    response and the others refer to it.  A payload that very many pages share is spread over tasks.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     given = pages.select("page_id", "url", payload.alias("payload"))
     given = given.withColumn("size", F.octet_length("payload").cast("long")).withColumn("sha1", F.sha1("payload"))
-    groups = given.where(F.col("size") >= least_bytes).groupBy("sha1", "size").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("original"))
-    groups = written(groups.where("n > 1 and original is not null").drop("n"), "payloads")  # its size decides how it is joined
-    joined = given.join(groups, ["sha1", "size"], "left")
+    given = given.withColumn("same", F.concat_ws(":", "sha1", "size"))
+    groups = given.where(F.col("size") >= least_bytes).groupBy("same").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("original"))
+    groups = written(groups.where("n > 1 and original is not null"), "payloads")  # its size decides how it is joined
+    hot = id_map(groups.where(F.col("n") >= HOT_ROWS).select(F.col("same").alias("id")))
+    joined = salted_join(given, groups.drop("n"), "same", F.monotonically_increasing_id(), hot, "left")
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("original")), F.col("original"))
     return joined.select("page_id", "url", "payload", "size", "sha1", refers.alias("refers_to"))
 

@@ -237,6 +237,29 @@ def test_warc_round_trip(spark):
     assert warc.archive(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_pages_of_a_hot_payload_are_spread(spark, monkeypatch):
+    """Without broadcasts, 2,000 pages of one payload among others do not meet in one task."""
+    monkeypatch.setattr(warc, "HOT_ROWS", 100)
+    html = lambda i: "boilerplate " * 100 if i < 2000 else f"page {i % 2100} " * 200
+    pages = spark.createDataFrame([(i, None, html(i)) for i in range(2200)] + [(None, None, html(0)), (None, None, html(2050)), (7000, None, "short"), (7001, None, "short")], "page_id long, url string, html string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = warc.with_revisits(pages).select("page_id", "refers_to", F.octet_length("payload").alias("n"), F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before[0])
+        spark.conf.set("spark.sql.adaptive.enabled", before[1])
+    assert len(rows) == 2204
+    refers = {r.page_id: r.refers_to for r in rows if r.page_id is not None}
+    assert all(refers[i] == 1999 for i in range(1999)) and refers[1999] is None
+    assert all(refers[i] is None for i in range(2000, 2200))
+    assert refers[7000] is None and refers[7001] is None
+    assert sorted((r.refers_to, r.n) for r in rows if r.page_id is None) == [(1999, 1200), (2050, 2000)]
+    held = [r.task for r in rows if r.refers_to == 1999]
+    assert max(held.count(t) for t in set(held)) < 1000
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
