@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import zip_archive
-from .common import HOT_ROWS, id_map, salted_join, shared_folder, table, written
+from .common import HOT_ROWS, id_map, marked, salted_join, shared_folder, table, written
 
 RECORDS = "archive/data.warc.gz"
 INDEX = "indexes/index.jsonl"
@@ -30,6 +30,8 @@ DATE = "2000-01-01T00:00:00Z"
 #: Payload bytes after which a package is closed, and bytes that one range read covers at least.
 PACKAGE_BYTES = 32 << 20
 READ_BYTES = 4 << 20
+#: Shared payloads up to so many (some 100 bytes each) are broadcast; for more, only pages that may share one move.
+BROADCAST_PAYLOADS = 100_000
 
 
 def _header(value: str) -> str:
@@ -87,9 +89,17 @@ def with_revisits(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     given = given.withColumn("size", F.octet_length("payload").cast("long")).withColumn("sha1", F.sha1("payload"))
     given = given.withColumn("same", F.concat_ws(":", "sha1", "size"))
     groups = given.where(F.col("size") >= least_bytes).groupBy("same").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("original"))
-    groups = written(groups.where("n > 1 and original is not null"), "payloads")  # its size decides how it is joined
-    hot = id_map(groups.where(F.col("n") >= HOT_ROWS).select(F.col("same").alias("id")))
-    joined = salted_join(given, groups.drop("n"), "same", F.monotonically_increasing_id(), hot, "left")
+    groups = written(groups.where("n > 1 and original is not null"), "payloads")
+    side = groups.drop("n")
+    if groups.count() <= BROADCAST_PAYLOADS:
+        joined = given.join(F.broadcast(side), "same", "left")
+    else:
+        ids = F.col("same").alias("id")
+        given = marked(given, id_map(groups.select(ids)), "same", "shared")
+        hot = id_map(groups.where(F.col("n") >= HOT_ROWS).select(ids))
+        joined = salted_join(given.where("shared"), side, "same", F.monotonically_increasing_id(), hot, "left")
+        apart = given.where("not shared").withColumn("original", F.lit(None).cast(side.schema["original"].dataType))
+        joined = joined.unionByName(apart)
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("original")), F.col("original"))
     return joined.select("page_id", "url", "payload", "size", "sha1", refers.alias("refers_to"))
 

@@ -237,9 +237,11 @@ def test_warc_round_trip(spark):
     assert warc.archive(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_pages_of_a_hot_payload_are_spread(spark, monkeypatch):
-    """Without broadcasts, 2,000 pages of one payload among others do not meet in one task."""
+@pytest.mark.parametrize("most", [0, 100])
+def test_pages_of_a_hot_payload_are_spread(spark, monkeypatch, most):
+    """2,000 pages of one payload among others do not meet in one task, broadcast or not."""
     monkeypatch.setattr(warc, "HOT_ROWS", 100)
+    monkeypatch.setattr(warc, "BROADCAST_PAYLOADS", most)
     html = lambda i: "boilerplate " * 100 if i < 2000 else f"page {i % 2100} " * 200
     pages = spark.createDataFrame([(i, None, html(i)) for i in range(2200)] + [(None, None, html(0)), (None, None, html(2050)), (7000, None, "short"), (7001, None, "short")], "page_id long, url string, html string")
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.conf.get("spark.sql.adaptive.enabled")
