@@ -120,10 +120,14 @@ _FQ = "from factors f join asked q on f.embedding is not null and q.embedding is
 
 
 def _relevance(spark, sf, **options):
-    d = V.documents(spark, sf).where("embedding is not null and publication_date is not null")
-    q = V.asked(spark, sf).where("embedding is not null").select("query_idx", F.col("embedding").alias("qe"), F.col("population").alias("qp"))
-    doc = {c: F.col(c) for c in ("embedding", "population", "title", "abstract", "publication_date", "domain", "evidence_level")}
-    score = S.clinical_relevance(doc, {"embedding": F.col("qe"), "population": F.col("qp")}, as_of(), **options)
+    """``S.clinical_relevance`` of every pair; what a document has alone is worked out once, before it meets the queries."""
+    d = V.documents(spark, sf).where("embedding is not null and publication_date is not null").select(
+        "doc_idx", F.col("embedding").cast("array<double>").alias("embedding"), "population", S.norm(F.col("embedding")).alias("dn"), T.actionability(F.col("title"), F.col("abstract")).alias("action"),
+        S.temporal_decay(F.col("publication_date"), as_of(), F.col("domain")).alias("tau"), T.evidence_weight(F.col("evidence_level")).alias("evidence"),
+    )
+    q = V.asked(spark, sf).where("embedding is not null").select("query_idx", F.col("embedding").cast("array<double>").alias("qe"), F.col("population").alias("qp"), S.norm(F.col("embedding")).alias("qn"))
+    topic, apply = S.cosine(F.col("embedding"), F.col("qe"), F.col("dn"), F.col("qn")), S.applicability(F.col("population"), F.col("qp"))
+    score = S.composite(topic, apply, F.col("action"), F.col("tau"), F.col("evidence"), **options)
     return d.crossJoin(F.broadcast(q)).select("query_idx", "doc_idx", r6(score).alias("score"))
 
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,3 +75,19 @@ def test_types_and_dates(spark):
     assert date("x", "1", "1") == "None"
     assert one(spark, T.pmc_id(F.lit("pmc12"))) == "12"
     assert one(spark, T.question_type(F.lit("What tests detect it?"))) == "diagnosis_test"
+
+
+def test_relevance_of_pairs_reads_texts_once_a_document(spark):
+    from tessera.plans import scalar_queries as Q
+    from tessera.plans import views as V
+
+    sf = "/root/testdata/sf0.001"
+    d = V.documents(spark, sf).where("embedding is not null and publication_date is not null")
+    q = V.asked(spark, sf).where("embedding is not null").select("query_idx", F.col("embedding").alias("qe"), F.col("population").alias("qp"))
+    doc = {c: F.col(c) for c in ("embedding", "population", "title", "abstract", "publication_date", "domain", "evidence_level")}
+    for found, options in ((Q.scl_16_clinical_relevance, {}), (Q.scl_18_weights_without_topic, {"weights": S.weights_without("topic")}), (Q.scl_17_score_toggles, {"use_tau": False, "use_evidence": False})):
+        rows = found(spark, sf)
+        above = re.split("Join (?:Cross|Inner)", rows._jdf.queryExecution().optimizedPlan().toString())[0]
+        assert "contains(" not in above.lower(), "texts are searched for every pair"
+        pairs = d.crossJoin(q).select("query_idx", "doc_idx", F.round(S.clinical_relevance(doc, {"embedding": F.col("qe"), "population": F.col("qp")}, Q.as_of(), **options), 6).alias("score"))
+        assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, pairs.collect())) != []
