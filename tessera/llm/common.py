@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 import os
 import uuid
 from collections.abc import Iterator
@@ -12,24 +11,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.stages import shared_folder
+from ..operators.stages import bounded_batches, give_back, shared_folder
 
 #: Words as the contracts have them: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]++"
 
 
-#: Bounds of a batch that goes to a Python worker, and so of the worker's memory.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Lowers the session's batch bounds to BATCH where they are higher; they stay so for all frames."""
-    for key, most in BATCH.items():
-        now = spark.conf.get(key)
-        if not now.isdigit() or not 0 < int(now) <= most:
-            spark.conf.set(key, str(most))
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame as a Parquet table in the shared folder: lineage ends here, and executors may go."""
     spark = df.sparkSession
@@ -39,17 +26,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def give_back() -> None:
-    """Returns memory that is free, but still held by the allocators of this worker, to the system.
-
-    Workers are kept between tasks; without this each would hold what its largest task ever took.
-    """
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -129,3 +129,22 @@ def test_gaussians_are_standard_and_repeatable(spark):
     x = np.array([r.v for r in rows.collect()])
     assert x.shape == (400, 8) and abs(x.mean()) < 0.06 and abs(x.std() - 1) < 0.05 and abs(np.corrcoef(x.T) - np.eye(8)).max() < 0.2
     assert (np.array([r.v for r in rows.repartition(3).orderBy("id").collect()]) == x).all()
+
+
+def test_memory_of_a_task_has_a_bound(spark):
+    import pyarrow as pa
+
+    from tessera.operators import stages
+    from tessera.operators.index import tokenised
+
+    kept = {k: spark.conf.get(k) for k in stages.BATCH}
+    try:
+        for k in stages.BATCH:
+            spark.conf.set(k, "1000000000")
+        tokenised(spark.createDataFrame([(1, "a", "b")], "doc_idx long, title string, abstract string"))
+        assert {k: int(spark.conf.get(k)) for k in stages.BATCH} == stages.BATCH
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    batch = pa.RecordBatch.from_pydict({"doc_idx": list(range(600))})
+    assert [b.num_rows for b in stages.pieces([batch])] == [256, 256, 88]
