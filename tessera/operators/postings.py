@@ -110,6 +110,17 @@ def query_postings(postings: Postings, queries: DataFrame) -> DataFrame:
     return rows.select("query_idx", F.col("p.docs").alias("doc_idx"), "term", "times", F.col("p.tfs").alias("tf"))
 
 
+def query_documents(postings: Postings, queries: DataFrame) -> DataFrame:
+    """(query_idx, documents, met): how many documents hold a term of each query, and how many postings they are.
+
+    Documents are counted within their block, so whole blocks move and no posting on its own.
+    """
+    met = _met(postings, stored(_weighted(postings.index, queries), "asked"), "n", "docs")
+    held = F.size(F.array_distinct(F.flatten(F.collect_list("docs"))))
+    each = met.groupBy("query_idx", "block").agg(held.alias("documents"), F.sum("n").alias("met"))
+    return each.groupBy("query_idx").agg(F.sum("documents").alias("documents"), F.sum("met").alias("met"))
+
+
 def _scores(postings: Postings, picks: DataFrame, terms: DataFrame, k1: float, b: float) -> DataFrame:
     """(query_idx, doc_idx, bm25) of the documents in the blocks picked (query_idx, block): sums of whole picounits."""
     wanted = picks.select("query_idx", "block").join(terms, "query_idx")

@@ -118,3 +118,15 @@ def test_empty_postings(spark):
     assert made.rows.count() == PO.bm25_block_search(made, queries(spark)).count() == 0
     one = PO.postings_of(I.build_index(documents(spark, 3), fresh(spark)))
     assert PO.bm25_block_search(one, queries(spark).limit(0)).count() == 0
+
+
+def test_documents_of_a_query_are_counted_by_block(spark):
+    from tessera.operators import postings as PO
+    from tessera.operators.index import build_index
+
+    texts = [(i, "", " ".join(w for w, n in (("all", 1), ("two", 2), ("three", 3)) if i % n == 0)) for i in range(1300)]
+    index = build_index(spark.createDataFrame(texts, "doc_idx long, title string, abstract string"))
+    queries = spark.createDataFrame([(0, "two three"), (1, "all two all"), (2, "none")], "query_idx long, text string")
+    found = PO.query_documents(PO.postings_of(index), queries).orderBy("query_idx").collect()
+    two, three = set(range(0, 1300, 2)), set(range(0, 1300, 3))
+    assert [tuple(r) for r in found] == [(0, len(two | three), len(two) + len(three)), (1, 1300, 1300 + len(two))]
