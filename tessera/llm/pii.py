@@ -4,7 +4,7 @@ Base spans follow fixed rules per kind.  Beyond them, high-recall generators pro
 overlap: addresses written out or without a domain's dot, long digit runs, grouped numbers without
 a plus, colon-separated addresses.  Gradient-boosted trees score each candidate by its format and
 its context.  They learn from candidates with labels of their own: examples of every generator's
-format and its decoys (``pii_examples``), and those candidates of a bounded sample of documents
+format and its decoys (``pii_examples``), and those candidates of the documents
 that a check digit, a valid form or the words before them settle; others have no label and count
 neither as a hit nor as a miss.  The threshold of each generator is calibrated on labelled
 candidates kept out of the training: it is the least at which the precision is met.
@@ -283,23 +283,22 @@ def labelled(docs: DataFrame, text: str = "text") -> DataFrame:
     return made.unionByName(own)
 
 
-def fit(docs: DataFrame, text: str = "text", sample_docs: int = 20_000, precision: float = 0.95, trees: int = 20, depth: int = 3, least_rows: int = 30) -> SpanModel:
-    """Trees and thresholds from the examples and about ``sample_docs`` documents, chosen by a hash of their text.
+def fit(docs: DataFrame, text: str = "text", precision: float = 0.95, trees: int = 20, depth: int = 3, least_rows: int = 30) -> SpanModel:
+    """Trees and thresholds from the examples and all documents.
 
-    A generator without enough evidence has no threshold and adds no span.
+    Candidates of the same features, label and fold are one row that weighs as many.  A generator
+    without enough evidence has no threshold and adds no span.
     """
-    n = docs.count()
-    if not n:
+    if docs.isEmpty():
         return SpanModel()
-    share = min(1.0, sample_docs / n)
-    place = F.pmod(F.xxhash64(F.col(text), F.lit(29)), F.lit(1_000_003))
-    given = docs.select(F.col(text).alias("text")).where(F.col("text").isNotNull() & (place < share * 1_000_003))
-    rows = written(labelled(given), "spans")
-    names = [c for c in rows.columns if c not in ("source", "by", "fold", "label")]
-    grown = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, seed=1, featuresCol="x", labelCol="label").fit(VectorAssembler(inputCols=names, outputCol="x").transform(rows.where("fold <> 0")))
+    given = docs.select(F.col(text).alias("text")).where(F.col("text").isNotNull())
+    each = labelled(given)
+    rows = written(each.groupBy(*each.columns).agg(F.count(F.lit(1)).cast("double").alias("weight")), "spans")
+    names = [c for c in rows.columns if c not in ("source", "by", "fold", "label", "weight")]
+    grown = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, seed=1, featuresCol="x", labelCol="label", weightCol="weight").fit(VectorAssembler(inputCols=names, outputCol="x").transform(rows.where("fold <> 0")))
     model = SpanModel(names, [_tree(t._java_obj.rootNode()) for t in grown.trees], list(grown.treeWeights))
     score = 1 / (1 + F.exp(-2 * model.margin({k: F.col(k) for k in names})))
-    tested = rows.where("fold = 0").groupBy("by", F.floor(score * 50).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("hits")).collect()
+    tested = rows.where("fold = 0").groupBy("by", F.floor(score * 50).alias("bin")).agg(F.sum("weight").alias("n"), F.sum(F.col("label") * F.col("weight")).alias("hits")).collect()
     for by in GENERATORS:
         total = hits = 0
         for r in sorted((r for r in tested if r["by"] == by), key=lambda r: -r["bin"]):

@@ -285,3 +285,15 @@ def test_pipeline_stages(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, "")
         assert empty.count() == 0
+
+
+def test_spans_are_learnt_from_all_documents(spark, monkeypatch):
+    class Given(Exception):
+        pass
+
+    def labelled(docs):
+        raise Given(docs.count())
+
+    monkeypatch.setattr(pii, "labelled", labelled)
+    with pytest.raises(Given, match="^25000$"):
+        pii.fit(spark.range(25_000).selectExpr("concat('plain text ', id) as text"))
