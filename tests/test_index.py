@@ -148,3 +148,25 @@ def test_memory_of_a_task_has_a_bound(spark):
             spark.conf.set(k, v)
     batch = pa.RecordBatch.from_pydict({"doc_idx": list(range(600))})
     assert [b.num_rows for b in stages.pieces([batch])] == [256, 256, 88]
+
+
+def test_searches_of_a_standing_index_bound_their_batches(spark):
+    from tessera.operators import stages
+
+    index = I.build_index(frame(spark, TEXTS), fresh(spark))
+    asked = spark.createDataFrame([(0, "blood loss iron", [1.0, 0.0, 0.0, 0.0])], "query_idx long, text string, embedding array<double>")
+    kept = {k: spark.conf.get(k) for k in stages.BATCH}
+    passages = spark.createDataFrame([(0, "loss")], "query_idx long, text string")
+    searches = [
+        lambda: R.bm25_best(index, asked, 3), lambda: R.bm25_moments(index, asked), lambda: R.vector_best(index.rows, asked, 3, True), lambda: R.hybrid_search(index, asked),
+        lambda: R.containing(index.rows.select("doc_idx", F.concat_ws(" ", "terms").alias("text")), passages),
+    ]
+    try:
+        for search in searches:
+            for k in stages.BATCH:
+                spark.conf.set(k, "1000000000")
+            search()
+            assert {k: int(spark.conf.get(k)) for k in stages.BATCH} == stages.BATCH
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
