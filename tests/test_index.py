@@ -170,3 +170,34 @@ def test_searches_of_a_standing_index_bound_their_batches(spark):
     finally:
         for k, v in kept.items():
             spark.conf.set(k, v)
+
+
+def test_tasks_of_the_index_get_and_give_small_batches(spark, tmp_path, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    kept, plain = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")}, DataFrame.mapInArrow
+
+    def watched(self, run, *rest, **more):
+        def noted(batches):
+            def seen():
+                for batch in batches:
+                    (tmp_path / uuid.uuid4().hex).write_text(f"in {batch.num_rows} {batch.nbytes}")
+                    yield batch
+
+            for batch in run(seen()):
+                (tmp_path / uuid.uuid4().hex).write_text(f"out {batch.num_rows} {batch.nbytes}")
+                yield batch
+
+        return plain(self, noted, *rest, **more)
+
+    monkeypatch.setattr(DataFrame, "mapInArrow", watched)
+    docs = spark.range(0, 1500, numPartitions=1).select(F.col("id").alias("doc_idx"), F.lit("").alias("title"), F.repeat(F.concat(F.lit("w"), F.col("id"), F.lit(" ")), 1200).alias("abstract"))
+    try:
+        for k, v in zip(kept, ("10000", str(64 << 20)), strict=True):
+            spark.conf.set(k, v)
+        assert I.tokenised(docs).agg(F.count("*"), F.sum("dl")).first() == (1500, 1500 * 1200)
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    notes = [x.read_text().split() for x in tmp_path.iterdir()]
+    assert max(int(n) for way, _, n in notes if way == "in") < 5 << 20 and max(int(n) for way, n, _ in notes if way == "out") <= 256
